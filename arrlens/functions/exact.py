@@ -56,3 +56,9 @@ def scaled_sql(x: str, num: int, den: int) -> str:
 
 def scaled(x: str, num: int, den: int) -> Column:
     return F.expr(scaled_sql(x, num, den))
+
+
+def dround_col(c: Column, digits: int) -> Column:
+    """Column form of ``dround`` for expressions that are not plain SQL text."""
+    from pyspark.sql.types import DecimalType
+    return F.round(c.cast(DecimalType(38, digits + 6)), digits).cast("double")

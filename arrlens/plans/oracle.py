@@ -374,4 +374,5 @@ def _():
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracle_model  # noqa: F401  (registers the model-side oracles)
     return {k: with_views(fn() if callable(fn) else fn) for k, fn in ORACLE.items()}

@@ -62,3 +62,106 @@ register("mrr_month_pivot", sql_queries.mrr_month_pivot)
 
 def queries() -> dict[str, QueryFn]:
     return {k: _wrap(fn) for k, fn in _REGISTRY.items()}
+
+
+# features, signals, model, scoring, targets ------------------------------------
+from ..operators import features as _feat  # noqa: E402
+from ..operators import signals as _sig  # noqa: E402
+from ..operators import targets as _tg  # noqa: E402
+from ..operators.features import Snapshot  # noqa: E402
+from ..operators.scoring import ScoringRun  # noqa: E402
+
+register("features_subscription",
+         lambda t: _feat.subscription_signals(t.active_paid_subscriptions))
+register("features_usage", lambda t: _feat.usage_signals(
+    _feat.usage_by_account_feature(t.feature_usage, t.active_paid_subscriptions)))
+register("features_support", lambda t: _feat.support_signals(t.support))
+register("account_features", _feat.account_features)
+register("null_audit", lambda t: profile.null_audit(_feat.account_features(t)))
+register("cohort_usage", lambda t: _sig.cohort_comparison(_feat.account_features(t), _sig.COHORT_USAGE))
+register("cohort_support",
+         lambda t: _sig.cohort_comparison(_feat.account_features(t), _sig.COHORT_SUPPORT))
+register("cohort_seats", lambda t: _sig.cohort_comparison(_feat.account_features(t), _sig.COHORT_SEATS))
+register("account_upgrade_rate", lambda t: _sig.account_upgrade_rate(_feat.account_features(t)))
+register("box_stats", lambda t: _sig.box_stats(_feat.account_features(t)))
+register("label_correlation", lambda t: _sig.label_correlation(_feat.account_features(t)))
+register("label_correlation_top5", lambda t: _sig.label_correlation_top(_feat.account_features(t)))
+register("upgrade_by_usage_quartile",
+         lambda t: _sig.upgrade_by_usage_quartile(_feat.account_features(t)))
+register("usage_p90_trigger", lambda t: _sig.usage_p90_trigger(_feat.universe_features(t)))
+register("usage_decline", _sig.usage_decline)
+
+# model ------------------------------------------------------------------------
+register("class_balance", lambda t: _feat.account_features(t).where("has_upgraded IS NOT NULL")
+         .groupBy("has_upgraded").count().withColumnRenamed("count", "accounts"))
+register("one_hot", lambda t: ScoringRun(t).encoded)
+register("train_test_split", lambda t: ScoringRun(t).labelled.select("account_id", "has_upgraded", "is_test"))
+register("class_weights", lambda t: __import__("arrlens.operators.model", fromlist=["x"])
+         .class_weights(ScoringRun(t).train))
+register("standardized_features", lambda t: ScoringRun(t).standardized())
+register("linear_score", lambda t: ScoringRun(t).test_scores())
+register("auc", lambda t: ScoringRun(t).auc())
+register("classification_report", lambda t: ScoringRun(t).classification_report())
+register("roc_curve", lambda t: ScoringRun(t).roc_curve())
+register("contribution_summary", lambda t: ScoringRun(t).contribution_summary())
+register("engagement_score", lambda t: ScoringRun(t).engagement_score())
+
+
+def _lr_fit(t):
+    run = ScoringRun(t)
+    from ..operators.model import coefficient_table
+    return coefficient_table(t.spark, run.fitted(), run.names)
+
+
+def _lr_coefficients(t):
+    """Top-5 positive and top-5 negative fitted coefficients."""
+    from pyspark.sql import functions as F
+    tab = _lr_fit(t).where("feature <> 'intercept'")
+    pos = tab.where("coefficient > 0").orderBy(F.desc("coefficient"), "feature").limit(5)
+    neg = tab.where("coefficient < 0").orderBy("coefficient", "feature").limit(5)
+    return pos.withColumn("direction", F.lit("increases")).unionByName(
+        neg.withColumn("direction", F.lit("decreases")))
+
+
+def _lr_scored(t):
+    """Universe scored with the coefficients fitted on this data."""
+    run = ScoringRun(t)
+    return ScoringRun(t, model=run.fitted(), reference=run).scored_accounts
+
+
+register("lr_fit", _lr_fit)
+register("lr_coefficients", _lr_coefficients)
+register("lr_scored_accounts", _lr_scored)
+
+# scoring ------------------------------------------------------------------------
+register("universe_features", _feat.universe_features)
+register("readiness_score", lambda t: ScoringRun(t).readiness_score())
+register("readiness_band", lambda t: ScoringRun(t).readiness_bands())
+register("contributions", lambda t: ScoringRun(t).contributions())
+register("top_reasons", lambda t: ScoringRun(t).top_reasons())
+register("score_distribution", lambda t: ScoringRun(t).score_distribution())
+register("top_scored", lambda t: ScoringRun(t).top_scored(10))
+register("score_histogram", lambda t: ScoringRun(t).score_histogram())
+register("scored_accounts", lambda t: ScoringRun(t).scored_accounts)
+
+# target list ----------------------------------------------------------------------
+register("score_by_plan", lambda t: _tg.score_by_plan(ScoringRun(t)))
+register("target_uplift", lambda t: _tg.target_uplift(ScoringRun(t)))
+register("tier_summary", lambda t: _tg.tier_summary(ScoringRun(t)))
+register("top_targets", lambda t: _tg.top_targets(ScoringRun(t)))
+register("arr_opportunity", lambda t: _tg.arr_opportunity(ScoringRun(t)))
+register("arr_by_plan", lambda t: _tg.arr_by_plan(ScoringRun(t)))
+register("target_list", lambda t: _tg.target_list(ScoringRun(t)))
+register("dual_top_overlap", lambda t: _tg.dual_top_overlap(ScoringRun(t)))
+
+
+def _transitions(t):
+    cur = ScoringRun(t)
+    prev = ScoringRun(t, snap=Snapshot(lag_days=180), reference=cur)
+    return _tg.tier_transitions(prev, cur)
+
+
+register("tier_transitions", _transitions)
+register("conversion_by_tier", lambda t: _tg.conversion_by_tier(ScoringRun(t)))
+register("model_drift", lambda t: _tg.model_drift(ScoringRun(t)))
+register("kpi_vs_target", _tg.kpi_vs_target)
