@@ -610,3 +610,16 @@ k AS (SELECT 'expansion_mrr_converted' AS kpi, CAST(expansion_mrr AS DOUBLE) AS
       UNION ALL SELECT 'pro_to_enterprise_conversion_pct', pro, {t['pro_to_enterprise_conversion_pct']!r}, TRUE FROM pro)
 SELECT kpi, actual, CAST(target AS DOUBLE) AS target,
        CASE WHEN hib THEN actual >= target ELSE actual <= target END AS met FROM k"""
+
+
+@oracle("model_drift")
+def _():
+    phis = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, AVG(ABS({_phi(f, lambda g: 'z_' + g)})) AS a FROM t_z" for f in NAMES)
+    auc = _auc_body().replace("\nSELECT ", "\n, auc_row AS (SELECT ", 1) + ")"
+    return W(test_scores_ctes() + ",", auc + f""",
+cs AS (SELECT feature, {dr('a', 6)} AS m FROM ({phis}) p),
+top AS (SELECT feature FROM cs ORDER BY m DESC, feature LIMIT 1)
+SELECT auc, auc < 0.6 AS retrain, top.feature AS top_feature,
+       'total_usage_duration' AS baseline_top_feature, top.feature <> 'total_usage_duration' AS top_feature_changed
+FROM auc_row, top""")

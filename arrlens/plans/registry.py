@@ -61,7 +61,9 @@ register("mrr_month_pivot", sql_queries.mrr_month_pivot)
 
 
 def queries() -> dict[str, QueryFn]:
-    return {k: _wrap(fn) for k, fn in _REGISTRY.items()}
+    out = {k: _wrap(fn) for k, fn in _REGISTRY.items()}
+    out.update(_STREAMING)
+    return out
 
 
 # features, signals, model, scoring, targets ------------------------------------
@@ -165,3 +167,13 @@ register("tier_transitions", _transitions)
 register("conversion_by_tier", lambda t: _tg.conversion_by_tier(ScoringRun(t)))
 register("model_drift", lambda t: _tg.model_drift(ScoringRun(t)))
 register("kpi_vs_target", _tg.kpi_vs_target)
+
+
+# streaming --------------------------------------------------------------------------
+def _usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.usage_stream import usage_stream
+    configure(spark)
+    return usage_stream(spark, sf_dir)
+
+
+_STREAMING = {"usage_stream": _usage_stream}

@@ -23,6 +23,23 @@ def _floor_long(expr: Column) -> Column:
     return F.floor(expr).cast("bigint")
 
 
+def usage_from_lineitem(li: DataFrame) -> DataFrame:
+    """feature_usage rows from lineitem rows (batch or streaming frame)."""
+    part = F.col("l_partkey")
+    return li.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    part.cast("string"), F.col("l_suppkey").cast("string")).alias("usage_id"),
+        F.col("l_orderkey").alias("subscription_id"),
+        F.to_date("l_shipdate").alias("usage_date"),
+        F.concat(F.lit("feature_"), (part % 40).cast("string")).alias("feature_name"),
+        F.col("l_quantity").cast("bigint").alias("usage_count"),
+        _floor_long(F.col("l_extendedprice") / 10).alias("usage_duration_secs"),
+        F.when(F.col("l_returnflag") == "R", (F.col("l_linenumber") % 3).cast("bigint"))
+         .otherwise(F.lit(0).cast("bigint")).alias("error_count"),
+        (part % 40 >= 36).alias("is_beta_feature"),
+    )
+
+
 class Tables:
     """Lazy access to driver tables and the business views built on them.
 
@@ -105,20 +122,7 @@ class Tables:
     # -- feature usage ----------------------------------------------------
     @cached_property
     def feature_usage(self) -> DataFrame:
-        li = self.raw("lineitem")
-        part = F.col("l_partkey")
-        return li.select(
-            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
-                        part.cast("string"), F.col("l_suppkey").cast("string")).alias("usage_id"),
-            F.col("l_orderkey").alias("subscription_id"),
-            F.to_date("l_shipdate").alias("usage_date"),
-            F.concat(F.lit("feature_"), (part % 40).cast("string")).alias("feature_name"),
-            F.col("l_quantity").cast("bigint").alias("usage_count"),
-            _floor_long(F.col("l_extendedprice") / 10).alias("usage_duration_secs"),
-            F.when(F.col("l_returnflag") == "R", (F.col("l_linenumber") % 3).cast("bigint"))
-             .otherwise(F.lit(0).cast("bigint")).alias("error_count"),
-            (part % 40 >= 36).alias("is_beta_feature"),
-        )
+        return usage_from_lineitem(self.raw("lineitem"))
 
     # -- support tickets --------------------------------------------------
     @cached_property
