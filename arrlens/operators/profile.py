@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import ratio_round
 from ..sources.fixtures import Tables
+from ..sources.schemas import UPSELL_TIERS
 
 BUSINESS = ["accounts", "subscriptions", "feature_usage", "support", "churn_events"]
 
@@ -123,10 +124,14 @@ def active_accounts(t: Tables) -> DataFrame:
     return t.accounts.where(~F.col("churn_flag"))
 
 
-def expansion_universe(t: Tables, accounts: DataFrame | None = None) -> DataFrame:
+def universe_filter():
     """Active accounts on a tier that has a higher tier to move to."""
+    return ~F.col("churn_flag") & F.col("plan_tier").isin(*UPSELL_TIERS)
+
+
+def expansion_universe(t: Tables, accounts: DataFrame | None = None) -> DataFrame:
     acc = t.accounts if accounts is None else accounts
-    return acc.where(~F.col("churn_flag") & F.col("plan_tier").isin("Basic", "Pro"))
+    return acc.where(universe_filter())
 
 
 def subscription_summary(t: Tables) -> DataFrame:

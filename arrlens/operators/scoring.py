@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.exact import dround, dround_col
 from ..sources.fixtures import Tables
 from . import model as M
-from .features import Snapshot, account_features, universe_features
+from ..session import materialize
+from .features import Snapshot, fill_features, raw_features
+from .profile import universe_filter
 
 OUTPUT_COLS = ["account_id", "account_name", "industry", "country", "plan_tier",
                "referral_source", "total_mrr", "total_seats", "total_usage_count",
@@ -40,9 +42,15 @@ class ScoringRun:
         self._reference = reference
 
     # -- training side -------------------------------------------------------
+    @cached_property
+    def raw_features(self) -> DataFrame:
+        """Joined per-account signals for all accounts, checkpointed once; both
+        the training table and the universe table are read from it."""
+        return materialize(raw_features(self.t, None, self.snap))
+
     @cached_property
     def features(self) -> DataFrame:
-        return account_features(self.t, self.snap)
+        return fill_features(self.raw_features)
 
     @cached_property
     def vocab(self) -> dict[str, list[str]]:
@@ -129,7 +137,10 @@ class ScoringRun:
     # -- expansion universe --------------------------------------------------
     @cached_property
     def universe_features(self) -> DataFrame:
-        return universe_features(self.t, self.snap)
+        """Universe rows of the checkpointed raw table, filled with medians
+        taken over the universe. Per-account signals do not depend on the
+        population, so this equals rebuilding them for the universe's ids."""
+        return fill_features(self.raw_features.where(universe_filter()))
 
     @cached_property
     def universe_scored(self) -> DataFrame:

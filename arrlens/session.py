@@ -41,7 +41,7 @@ def build_session(master: str | None = None, app: str = "arrlens",
         if master.startswith("local"):
             # local mode: the driver JVM is the only executor
             builder = builder.config("spark.driver.memory", "8g")
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():

@@ -170,3 +170,20 @@ class Tables:
     @property
     def active_paid_subscriptions(self) -> DataFrame:
         return self.subscriptions.where((F.col("mrr_amount") > 0) & F.col("end_date").isNull())
+
+
+class FrameTables(Tables):
+    """Business tables given directly as DataFrames (hand-written test frames,
+    or tables loaded by ``readers.read_csv_tables``)."""
+
+    def __init__(self, spark: SparkSession, **frames: DataFrame):
+        self.spark = spark
+        self.sf_dir = ""
+        self._frames = frames
+
+    accounts = property(lambda self: self._frames["accounts"])
+    accounts_core = property(lambda self: self._frames["accounts"])
+    subscriptions = property(lambda self: self._frames["subscriptions"])
+    feature_usage = property(lambda self: self._frames["feature_usage"])
+    support = property(lambda self: self._frames["support"])
+    churn_events = property(lambda self: self._frames["churn_events"])

@@ -72,13 +72,14 @@ def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = No
     run_id = uuid.uuid4().hex[:12]
     out_dir = out_dir or shared_dir(spark, "usage_trigger", run_id, "alerts")
     ckpt = shared_dir(spark, "usage_trigger", run_id, "stream")
-    threshold = monthly_threshold(t, q)
+    # One number, computed once by a batch job before the stream starts.
+    threshold = F.lit(monthly_threshold(t, q).first()["threshold"]).cast("double")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        alerts = (batch.where(F.col("usage_duration") >= threshold.scalar())
+        alerts = (batch.where(F.col("usage_duration") >= threshold)
                   .select("account_id", F.col("w.start").alias("window_start"),
                           F.col("w.end").alias("window_end"), "usage_duration",
-                          threshold.scalar().alias("threshold"),
+                          threshold.alias("threshold"),
                           F.lit(batch_id).alias("batch_id")))
         (alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_dir))
