@@ -62,3 +62,8 @@ def dround_col(c: Column, digits: int) -> Column:
     """Column form of ``dround`` for expressions that are not plain SQL text."""
     from pyspark.sql.types import DecimalType
     return F.round(c.cast(DecimalType(38, digits + 6)), digits).cast("double")
+
+
+def currency(c: Column) -> Column:
+    """'$1,234' display string (whole dollars, thousands separators)."""
+    return F.concat(F.lit("$"), F.format_number(c, 0))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantile_col, exact_quantiles
 from ..sources.fixtures import Tables
 
 SUB_COLS = ["total_mrr", "avg_mrr", "max_mrr", "total_seats", "avg_seats", "n_subscriptions",
@@ -144,20 +145,28 @@ def support_signals(support: DataFrame) -> DataFrame:
 def median_col(df: DataFrame, c: str) -> Column:
     """Median of ``c`` over ``df`` as a scalar subquery (evaluated once).
 
-    Exact and interpolated like pandas: the mean of the lower and upper
-    middle values, each a discrete percentile (the upper one taken as the
-    lower middle of -c). Both are mergeable aggregates with partial
-    aggregation per partition; memory is one map of distinct values.
-    Setting ``arrlens.median.approx=true`` switches to a fixed-size sketch
-    (``percentile_approx``) for columns with very many distinct values.
+    Exact and interpolated like pandas (mean of the two middle values),
+    computed by ``exact_quantiles`` with bounded per-task state. Setting
+    ``arrlens.median.approx=true`` switches to a fixed-size sketch
+    (``percentile_approx``) when a cheaper, approximate fill is acceptable.
     """
     spark = df.sparkSession
     if (spark.conf.get("arrlens.median.approx", "false") or "false").lower() == "true":
-        m = F.percentile_approx(F.col(c), 0.5, 100000).cast("double")
-    else:
-        m = (F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")
-             - F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{c})")) / 2
-    return df.select(m.alias("m")).scalar()
+        return df.select(F.percentile_approx(F.col(c), 0.5, 100000).cast("double")).scalar()
+    return exact_quantile_col(df, c, 0.5, median=True)
+
+
+def medians(df: DataFrame, cols: list[str]) -> dict[str, Column]:
+    """Medians of several columns from one quantile pipeline (unpivoted)."""
+    spark = df.sparkSession
+    if (spark.conf.get("arrlens.median.approx", "false") or "false").lower() == "true":
+        return {c: median_col(df, c) for c in cols}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"),
+                                                 F.col(c).cast("double").alias("v"))
+                                        for c in cols])))
+    res = exact_quantiles(long, "v", [0.5], by=["metric"], median=True)
+    m = res.select(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).scalar()
+    return {c: m[F.lit(c)] for c in cols}
 
 
 def raw_features(t: Tables, population: DataFrame | None = None,
@@ -176,13 +185,13 @@ def raw_features(t: Tables, population: DataFrame | None = None,
 def fill_features(raw: DataFrame) -> DataFrame:
     """Zero-fill count signals; median-fill satisfaction and resolution time,
     with medians taken over the same table after the joins."""
-    medians = {c: median_col(raw, c) for c in MEDIAN_FILL}
+    meds = medians(raw, MEDIAN_FILL)
     out = []
     for c in FEATURE_COLS:
         if c in ZERO_FILL:
             out.append(F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c))
         elif c in MEDIAN_FILL:
-            out.append(F.coalesce(F.col(c), medians[c]).alias(c))
+            out.append(F.coalesce(F.col(c), meds[c]).alias(c))
         else:
             out.append(F.col(c))
     return raw.select(*out)

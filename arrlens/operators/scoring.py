@@ -50,7 +50,9 @@ class ScoringRun:
 
     @cached_property
     def features(self) -> DataFrame:
-        return fill_features(self.raw_features)
+        """Filled training table, checkpointed: the vocabulary, the scaler fit
+        and every scoring projection read it (fills computed once)."""
+        return materialize(fill_features(self.raw_features))
 
     @cached_property
     def vocab(self) -> dict[str, list[str]]:
@@ -140,7 +142,7 @@ class ScoringRun:
         """Universe rows of the checkpointed raw table, filled with medians
         taken over the universe. Per-account signals do not depend on the
         population, so this equals rebuilding them for the universe's ids."""
-        return fill_features(self.raw_features.where(universe_filter()))
+        return materialize(fill_features(self.raw_features.where(universe_filter())))
 
     @cached_property
     def universe_scored(self) -> DataFrame:

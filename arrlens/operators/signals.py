@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import dround, dround_col, ratio_round
+from ..functions.quantiles import exact_quantile_col, exact_quantile_cols, exact_quantiles
 from ..sources.fixtures import Tables
 
 LABEL = "has_upgraded"
@@ -64,18 +65,26 @@ def account_upgrade_rate(features: DataFrame, dims=PROFILE_DIMS) -> DataFrame:
 
 
 def box_stats(features: DataFrame, metrics=BOX_METRICS) -> DataFrame:
-    """Min, quartiles (linear interpolation) and max per cohort and metric."""
+    """Min, quartiles (linear interpolation) and max per cohort and metric.
+
+    Quartiles come from ``exact_quantiles`` (bounded per-task state);
+    count/min/max from one partially-aggregated group-by; the two small
+    results (cohorts x metrics rows) are joined.
+    """
     long = (features.where(F.col(LABEL).isNotNull())
             .select(F.col(LABEL).alias("upgraded"),
                     F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), _num(m).alias("v"))
-                                       for m in metrics]))))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = (long.where(F.col("v").isNotNull()).groupBy("upgraded", "metric")
-           .agg(F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"),
-                F.count(F.lit(1)).alias("n")))
-    return agg.select("upgraded", "metric", "n", "min",
-                      dround("_q[0]", 6).alias("q1"), dround("_q[1]", 6).alias("median"),
-                      dround("_q[2]", 6).alias("q3"), "max")
+                                       for m in metrics])))
+            .where(F.col("v").isNotNull()))
+    keys = ["upgraded", "metric"]
+    simple = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"),
+                                     F.max("v").alias("max"))
+    q = (exact_quantiles(long, "v", [0.25, 0.5, 0.75], by=keys)
+         .groupBy(*keys).pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value")))
+    q = q.toDF(*keys, "_q1", "_q2", "_q3")
+    return simple.join(q, keys).select(
+        "upgraded", "metric", "n", "min", dround("_q1", 6).alias("q1"),
+        dround("_q2", 6).alias("median"), dround("_q3", 6).alias("q3"), "max")
 
 
 def label_correlation(features: DataFrame, cols=CORRELATION_FEATURES) -> DataFrame:
@@ -100,13 +109,12 @@ def label_correlation_top(features: DataFrame, k: int = 5, strong: float = 0.1)
 def upgrade_by_usage_quartile(features: DataFrame, col: str = "total_usage_duration") -> DataFrame:
     """Upgrade rate per quartile of usage duration.
 
-    Quartile edges are interpolated percentiles computed once as scalar
-    subqueries; each account is then placed by comparison (right-closed bins,
-    as quantile cuts do). No global ordering window over accounts.
+    Quartile edges are exact interpolated percentiles (``exact_quantiles``)
+    bound as scalar subqueries; each account is then placed by comparison
+    (right-closed bins, as quantile cuts do). No global ordering window.
     """
     base = features.where(F.col(col).isNotNull())
-    edges = base.select(F.percentile(_num(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-                        .alias("e")).scalar()
+    edges = exact_quantile_cols(base, col, [0.25, 0.5, 0.75])
     x = _num(col)
     quartile = (1 + (x > edges[0]).cast("int") + (x > edges[1]).cast("int")
                 + (x > edges[2]).cast("int"))
@@ -121,7 +129,7 @@ def usage_p90_trigger(features: DataFrame, col: str = "total_usage_duration",
                       q: float = 0.9) -> DataFrame:
     """Accounts at or above the q-th percentile of usage duration."""
     base = features.where(F.col(col).isNotNull())
-    thr = base.select(F.percentile(_num(col), F.lit(q)).alias("t")).scalar()
+    thr = exact_quantile_col(base, col, q)
     return (base.where(_num(col) >= thr)
             .select("account_id", "account_name", "plan_tier", col,
                     dround_col(thr, 6).alias("threshold")))

@@ -195,3 +195,12 @@ def kpi_vs_target(t: Tables, targets: dict[str, float] | None = None) -> DataFra
     met = F.when(F.col("higher_is_better"), F.col("actual") >= F.col("target")) \
            .otherwise(F.col("actual") <= F.col("target"))
     return long.select("kpi", "actual", "target", met.alias("met"))
+
+
+def tier_summary_formatted(run: ScoringRun) -> DataFrame:
+    """Tier summary as displayed: uplift totals as '$1,234' strings."""
+    from ..functions.exact import currency
+    s = tier_summary(run)
+    return s.select("outreach_priority", "accounts", "avg_score",
+                    currency(F.col("total_mrr_uplift")).alias("total_mrr_uplift"),
+                    currency(F.col("total_arr_uplift")).alias("total_arr_uplift"))

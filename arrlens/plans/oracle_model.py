@@ -623,3 +623,12 @@ top AS (SELECT feature FROM cs ORDER BY m DESC, feature LIMIT 1)
 SELECT auc, auc < 0.6 AS retrain, top.feature AS top_feature,
        'total_usage_duration' AS baseline_top_feature, top.feature <> 'total_usage_duration' AS top_feature_changed
 FROM auc_row, top""")
+
+
+@oracle("tier_summary_formatted")
+def _():
+    return W(scored_ctes(), f"""SELECT outreach_priority, COUNT(*) AS accounts,
+       {dr('AVG(expansion_readiness_score)', 1)} AS avg_score,
+       '$' || format('{{:,}}', CAST(SUM(potential_mrr_uplift) AS BIGINT)) AS total_mrr_uplift,
+       '$' || format('{{:,}}', CAST(SUM(potential_arr_uplift) AS BIGINT)) AS total_arr_uplift
+FROM scored WHERE outreach_priority IS NOT NULL GROUP BY outreach_priority""")

@@ -177,3 +177,4 @@ def _usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STREAMING = {"usage_stream": _usage_stream}
+register("tier_summary_formatted", lambda t: _tg.tier_summary_formatted(ScoringRun(t)))
