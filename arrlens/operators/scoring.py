@@ -34,6 +34,8 @@ class ScoringRun:
     """Train-set scaler + linear model applied to test rows and to the
     expansion universe of one snapshot."""
 
+    _shared: dict = {}
+
     def __init__(self, t: Tables, model: M.LinearModel | None = None,
                  snap: Snapshot = Snapshot(), reference: ScoringRun | None = None):
         self.t = t
@@ -41,6 +43,28 @@ class ScoringRun:
         self.model = model or M.LinearModel()
         self._reference = reference
 
+    @classmethod
+    def shared(cls, t: Tables, snap: Snapshot = Snapshot()) -> ScoringRun:
+        """The session's run for these source tables and snapshot.
+
+        Like the analysis' stage chaining through a persisted feature table,
+        the feature table, vocabulary and scaler are materialised once and
+        every report reads them. Sources are treated as an immutable
+        snapshot for the life of the session; ``clear_shared`` starts over.
+        Frames given directly (``FrameTables``) are never shared.
+        """
+        if not t.sf_dir:
+            return cls(t, snap=snap)
+        key = (t.spark.sparkContext.applicationId, t.sf_dir, snap)
+        run = cls._shared.get(key)
+        if run is None:
+            run = cls._shared[key] = cls(Tables(t.spark, t.sf_dir), snap=snap)
+        return run
+
+    @classmethod
+    def clear_shared(cls) -> None:
+        cls._shared.clear()
+
     # -- training side -------------------------------------------------------
     @cached_property
     def raw_features(self) -> DataFrame:

@@ -78,39 +78,39 @@ register("features_subscription",
 register("features_usage", lambda t: _feat.usage_signals(
     _feat.usage_by_account_feature(t.feature_usage, t.active_paid_subscriptions)))
 register("features_support", lambda t: _feat.support_signals(t.support))
-register("account_features", _feat.account_features)
-register("null_audit", lambda t: profile.null_audit(_feat.account_features(t)))
-register("cohort_usage", lambda t: _sig.cohort_comparison(_feat.account_features(t), _sig.COHORT_USAGE))
+register("account_features", lambda t: ScoringRun.shared(t).features)
+register("null_audit", lambda t: profile.null_audit(ScoringRun.shared(t).features))
+register("cohort_usage", lambda t: _sig.cohort_comparison(ScoringRun.shared(t).features, _sig.COHORT_USAGE))
 register("cohort_support",
-         lambda t: _sig.cohort_comparison(_feat.account_features(t), _sig.COHORT_SUPPORT))
-register("cohort_seats", lambda t: _sig.cohort_comparison(_feat.account_features(t), _sig.COHORT_SEATS))
-register("account_upgrade_rate", lambda t: _sig.account_upgrade_rate(_feat.account_features(t)))
-register("box_stats", lambda t: _sig.box_stats(_feat.account_features(t)))
-register("label_correlation", lambda t: _sig.label_correlation(_feat.account_features(t)))
-register("label_correlation_top5", lambda t: _sig.label_correlation_top(_feat.account_features(t)))
+         lambda t: _sig.cohort_comparison(ScoringRun.shared(t).features, _sig.COHORT_SUPPORT))
+register("cohort_seats", lambda t: _sig.cohort_comparison(ScoringRun.shared(t).features, _sig.COHORT_SEATS))
+register("account_upgrade_rate", lambda t: _sig.account_upgrade_rate(ScoringRun.shared(t).features))
+register("box_stats", lambda t: _sig.box_stats(ScoringRun.shared(t).features))
+register("label_correlation", lambda t: _sig.label_correlation(ScoringRun.shared(t).features))
+register("label_correlation_top5", lambda t: _sig.label_correlation_top(ScoringRun.shared(t).features))
 register("upgrade_by_usage_quartile",
-         lambda t: _sig.upgrade_by_usage_quartile(_feat.account_features(t)))
-register("usage_p90_trigger", lambda t: _sig.usage_p90_trigger(_feat.universe_features(t)))
+         lambda t: _sig.upgrade_by_usage_quartile(ScoringRun.shared(t).features))
+register("usage_p90_trigger", lambda t: _sig.usage_p90_trigger(ScoringRun.shared(t).universe_features))
 register("usage_decline", _sig.usage_decline)
 
 # model ------------------------------------------------------------------------
-register("class_balance", lambda t: _feat.account_features(t).where("has_upgraded IS NOT NULL")
+register("class_balance", lambda t: ScoringRun.shared(t).features.where("has_upgraded IS NOT NULL")
          .groupBy("has_upgraded").count().withColumnRenamed("count", "accounts"))
-register("one_hot", lambda t: ScoringRun(t).encoded)
-register("train_test_split", lambda t: ScoringRun(t).labelled.select("account_id", "has_upgraded", "is_test"))
+register("one_hot", lambda t: ScoringRun.shared(t).encoded)
+register("train_test_split", lambda t: ScoringRun.shared(t).labelled.select("account_id", "has_upgraded", "is_test"))
 register("class_weights", lambda t: __import__("arrlens.operators.model", fromlist=["x"])
-         .class_weights(ScoringRun(t).train))
-register("standardized_features", lambda t: ScoringRun(t).standardized())
-register("linear_score", lambda t: ScoringRun(t).test_scores())
-register("auc", lambda t: ScoringRun(t).auc())
-register("classification_report", lambda t: ScoringRun(t).classification_report())
-register("roc_curve", lambda t: ScoringRun(t).roc_curve())
-register("contribution_summary", lambda t: ScoringRun(t).contribution_summary())
-register("engagement_score", lambda t: ScoringRun(t).engagement_score())
+         .class_weights(ScoringRun.shared(t).train))
+register("standardized_features", lambda t: ScoringRun.shared(t).standardized())
+register("linear_score", lambda t: ScoringRun.shared(t).test_scores())
+register("auc", lambda t: ScoringRun.shared(t).auc())
+register("classification_report", lambda t: ScoringRun.shared(t).classification_report())
+register("roc_curve", lambda t: ScoringRun.shared(t).roc_curve())
+register("contribution_summary", lambda t: ScoringRun.shared(t).contribution_summary())
+register("engagement_score", lambda t: ScoringRun.shared(t).engagement_score())
 
 
 def _lr_fit(t):
-    run = ScoringRun(t)
+    run = ScoringRun.shared(t)
     from ..operators.model import coefficient_table
     return coefficient_table(t.spark, run.fitted(), run.names)
 
@@ -127,7 +127,7 @@ def _lr_coefficients(t):
 
 def _lr_scored(t):
     """Universe scored with the coefficients fitted on this data."""
-    run = ScoringRun(t)
+    run = ScoringRun.shared(t)
     return ScoringRun(t, model=run.fitted(), reference=run).scored_accounts
 
 
@@ -137,35 +137,35 @@ register("lr_scored_accounts", _lr_scored)
 
 # scoring ------------------------------------------------------------------------
 register("universe_features", _feat.universe_features)
-register("readiness_score", lambda t: ScoringRun(t).readiness_score())
-register("readiness_band", lambda t: ScoringRun(t).readiness_bands())
-register("contributions", lambda t: ScoringRun(t).contributions())
-register("top_reasons", lambda t: ScoringRun(t).top_reasons())
-register("score_distribution", lambda t: ScoringRun(t).score_distribution())
-register("top_scored", lambda t: ScoringRun(t).top_scored(10))
-register("score_histogram", lambda t: ScoringRun(t).score_histogram())
-register("scored_accounts", lambda t: ScoringRun(t).scored_accounts)
+register("readiness_score", lambda t: ScoringRun.shared(t).readiness_score())
+register("readiness_band", lambda t: ScoringRun.shared(t).readiness_bands())
+register("contributions", lambda t: ScoringRun.shared(t).contributions())
+register("top_reasons", lambda t: ScoringRun.shared(t).top_reasons())
+register("score_distribution", lambda t: ScoringRun.shared(t).score_distribution())
+register("top_scored", lambda t: ScoringRun.shared(t).top_scored(10))
+register("score_histogram", lambda t: ScoringRun.shared(t).score_histogram())
+register("scored_accounts", lambda t: ScoringRun.shared(t).scored_accounts)
 
 # target list ----------------------------------------------------------------------
-register("score_by_plan", lambda t: _tg.score_by_plan(ScoringRun(t)))
-register("target_uplift", lambda t: _tg.target_uplift(ScoringRun(t)))
-register("tier_summary", lambda t: _tg.tier_summary(ScoringRun(t)))
-register("top_targets", lambda t: _tg.top_targets(ScoringRun(t)))
-register("arr_opportunity", lambda t: _tg.arr_opportunity(ScoringRun(t)))
-register("arr_by_plan", lambda t: _tg.arr_by_plan(ScoringRun(t)))
-register("target_list", lambda t: _tg.target_list(ScoringRun(t)))
-register("dual_top_overlap", lambda t: _tg.dual_top_overlap(ScoringRun(t)))
+register("score_by_plan", lambda t: _tg.score_by_plan(ScoringRun.shared(t)))
+register("target_uplift", lambda t: _tg.target_uplift(ScoringRun.shared(t)))
+register("tier_summary", lambda t: _tg.tier_summary(ScoringRun.shared(t)))
+register("top_targets", lambda t: _tg.top_targets(ScoringRun.shared(t)))
+register("arr_opportunity", lambda t: _tg.arr_opportunity(ScoringRun.shared(t)))
+register("arr_by_plan", lambda t: _tg.arr_by_plan(ScoringRun.shared(t)))
+register("target_list", lambda t: _tg.target_list(ScoringRun.shared(t)))
+register("dual_top_overlap", lambda t: _tg.dual_top_overlap(ScoringRun.shared(t)))
 
 
 def _transitions(t):
-    cur = ScoringRun(t)
+    cur = ScoringRun.shared(t)
     prev = ScoringRun(t, snap=Snapshot(lag_days=180), reference=cur)
     return _tg.tier_transitions(prev, cur)
 
 
 register("tier_transitions", _transitions)
-register("conversion_by_tier", lambda t: _tg.conversion_by_tier(ScoringRun(t)))
-register("model_drift", lambda t: _tg.model_drift(ScoringRun(t)))
+register("conversion_by_tier", lambda t: _tg.conversion_by_tier(ScoringRun.shared(t)))
+register("model_drift", lambda t: _tg.model_drift(ScoringRun.shared(t)))
 register("kpi_vs_target", _tg.kpi_vs_target)
 
 
@@ -177,4 +177,4 @@ def _usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STREAMING = {"usage_stream": _usage_stream}
-register("tier_summary_formatted", lambda t: _tg.tier_summary_formatted(ScoringRun(t)))
+register("tier_summary_formatted", lambda t: _tg.tier_summary_formatted(ScoringRun.shared(t)))
