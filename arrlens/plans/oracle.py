@@ -171,9 +171,9 @@ _NRR_SELECT = f"""
   {rr('starting_mrr + expansion_mrr - churned_mrr - contraction_mrr', 'starting_mrr', 1, 100)} AS nrr_pct"""
 _NRR_AGGS = f"""
   {B('SUM(mrr_amount)')} AS starting_mrr,
-  {B('SUM(CASE WHEN upgrade_flag THEN mrr_amount ELSE 0 END)')} AS expansion_mrr,
-  {B('SUM(CASE WHEN churn_flag THEN mrr_amount ELSE 0 END)')} AS churned_mrr,
-  {B('SUM(CASE WHEN downgrade_flag THEN mrr_amount ELSE 0 END)')} AS contraction_mrr"""
+  {B('COALESCE(SUM(mrr_amount) FILTER (WHERE upgrade_flag), 0)')} AS expansion_mrr,
+  {B('COALESCE(SUM(mrr_amount) FILTER (WHERE churn_flag), 0)')} AS churned_mrr,
+  {B('COALESCE(SUM(mrr_amount) FILTER (WHERE downgrade_flag), 0)')} AS contraction_mrr"""
 
 
 @oracle("nrr")
@@ -262,102 +262,93 @@ FROM allm"""
 @oracle("sql_mrr_by_plan_month")
 def _():
     return f"""
-SELECT {MONTH} AS month, plan_tier, COUNT(*) AS subscriptions,
-       {B('SUM(mrr_amount)')} AS total_mrr,
-       {rr('SUM(mrr_amount)', 'COUNT(*)', 0)} AS avg_mrr,
-       {rr('SUM(mrr_amount)', f'SUM(SUM(mrr_amount)) OVER (PARTITION BY {MONTH})', 1, 100)} AS pct_of_month_mrr
-FROM subscriptions
-WHERE mrr_amount > 0 AND end_date IS NULL
-GROUP BY {MONTH}, plan_tier"""
+WITH per_month_tier AS (
+  SELECT {MONTH} AS month, plan_tier, COUNT(*) AS subscriptions, {B('SUM(mrr_amount)')} AS total_mrr
+  FROM {ACTIVE_PAID} s GROUP BY ALL),
+month_total AS (SELECT month, SUM(total_mrr) AS month_mrr FROM per_month_tier GROUP BY month)
+SELECT p.month, p.plan_tier, p.subscriptions, p.total_mrr,
+       {rr('p.total_mrr', 'p.subscriptions', 0)} AS avg_mrr,
+       {rr('p.total_mrr', 'm.month_mrr', 1, 100)} AS pct_of_month_mrr
+FROM per_month_tier p JOIN month_total m ON p.month = m.month"""
 
 
 @oracle("sql_upgrade_by_segment")
 def _():
-    up = "SUM(CASE WHEN s.upgrade_flag = TRUE THEN 1 ELSE 0 END)"
+    ups = "COUNT(*) FILTER (WHERE s.upgrade_flag)"
     return f"""
 SELECT a.industry, a.referral_source,
-       COUNT(DISTINCT a.account_id) AS total_accounts,
-       COUNT(s.subscription_id) AS total_subscriptions,
-       {B(up)} AS upgrades,
-       {rr(up, 'COUNT(s.subscription_id)', 1, 100)} AS upgrade_rate_pct,
-       {rr('SUM(s.mrr_amount)', 'COUNT(s.mrr_amount)', 0)} AS avg_mrr
-FROM accounts a JOIN subscriptions s ON a.account_id = s.account_id
-WHERE s.mrr_amount > 0
-GROUP BY a.industry, a.referral_source"""
-
-
-_USAGE_SUMMARY_SQL = """usage_summary AS (
-  SELECT a.account_id,
-         COUNT(fu.usage_id) AS total_usage_events,
-         CAST(SUM(fu.usage_count) AS BIGINT) AS total_usage_count,
-         CAST(SUM(fu.usage_duration_secs) AS BIGINT) AS total_usage_duration,
-         COUNT(DISTINCT fu.feature_name) AS unique_features_used,
-         CAST(SUM(fu.error_count) AS BIGINT) AS total_errors
-  FROM subscriptions s
-  JOIN feature_usage fu ON s.subscription_id = fu.subscription_id
-  JOIN accounts a ON s.account_id = a.account_id
-  WHERE s.end_date IS NULL
-  GROUP BY a.account_id)"""
+       COUNT(DISTINCT s.account_id) AS total_accounts,
+       COUNT(*) AS total_subscriptions,
+       {ups} AS upgrades,
+       {rr(ups, 'COUNT(*)', 1, 100)} AS upgrade_rate_pct,
+       {rr('SUM(s.mrr_amount)', 'COUNT(*)', 0)} AS avg_mrr
+FROM {PAID} s JOIN accounts a ON a.account_id = s.account_id
+GROUP BY ALL"""
+
+
+# usage of live subscriptions (trials included) of known accounts, per account
+_LIVE_USAGE = f"""live_usage AS (
+  SELECT s.account_id, u.usage_count, u.usage_duration_secs, u.feature_name, u.error_count
+  FROM feature_usage u JOIN subscriptions s ON u.subscription_id = s.subscription_id
+  WHERE s.end_date IS NULL AND s.account_id IN (SELECT account_id FROM accounts)),
+usage_by_account AS (
+  SELECT account_id, {B('SUM(usage_count)')} AS usage_count, {B('SUM(usage_duration_secs)')} AS duration,
+         COUNT(DISTINCT feature_name) AS features, {B('SUM(error_count)')} AS errors
+  FROM live_usage GROUP BY account_id),
+tickets_by_account AS (
+  SELECT account_id, COUNT(*) AS tickets,
+         {rr('SUM(satisfaction_score)', 'COUNT(satisfaction_score)', 2)} AS satisfaction,
+         COUNT(*) FILTER (WHERE escalation_flag) AS escalations
+  FROM support GROUP BY account_id)"""
 
 
 @oracle("sql_account_summary")
 def _():
     return f"""
-WITH sub_summary AS (
-  SELECT account_id, COUNT(subscription_id) AS n_subscriptions,
-         {B('SUM(mrr_amount)')} AS total_mrr, {B('SUM(seats)')} AS total_seats,
-         MAX(CASE WHEN upgrade_flag = TRUE THEN 1 ELSE 0 END) AS has_upgraded,
-         MAX(CASE WHEN downgrade_flag = TRUE THEN 1 ELSE 0 END) AS has_downgraded
-  FROM subscriptions WHERE mrr_amount > 0 AND end_date IS NULL GROUP BY account_id),
-{_USAGE_SUMMARY_SQL},
-support_summary AS (
-  SELECT account_id, COUNT(ticket_id) AS n_tickets,
-         {rr('SUM(satisfaction_score)', 'COUNT(satisfaction_score)', 2)} AS avg_satisfaction,
-         {B('SUM(CASE WHEN escalation_flag = TRUE THEN 1 ELSE 0 END)')} AS n_escalations
-  FROM support GROUP BY account_id)
+WITH live_paid AS (
+  SELECT account_id, COUNT(*) AS n_subscriptions, {B('SUM(mrr_amount)')} AS total_mrr,
+         {B('SUM(seats)')} AS total_seats,
+         MAX(CASE WHEN upgrade_flag THEN 1 ELSE 0 END) AS has_upgraded,
+         MAX(CASE WHEN downgrade_flag THEN 1 ELSE 0 END) AS has_downgraded
+  FROM {ACTIVE_PAID} s GROUP BY account_id),
+{_LIVE_USAGE}
 SELECT a.account_id, a.account_name, a.industry, a.plan_tier, a.referral_source, a.churn_flag,
-       ss.n_subscriptions, ss.total_mrr, ss.total_seats, ss.has_upgraded, ss.has_downgraded,
-       COALESCE(us.total_usage_count, 0) AS total_usage_count,
-       COALESCE(us.total_usage_duration, 0) AS total_usage_duration,
-       COALESCE(us.unique_features_used, 0) AS unique_features_used,
-       COALESCE(us.total_errors, 0) AS total_errors,
-       COALESCE(sp.n_tickets, 0) AS n_tickets,
-       COALESCE(sp.avg_satisfaction, 0) AS avg_satisfaction,
-       COALESCE(sp.n_escalations, 0) AS n_escalations
+       p.n_subscriptions, p.total_mrr, p.total_seats, p.has_upgraded, p.has_downgraded,
+       COALESCE(u.usage_count, 0) AS total_usage_count,
+       COALESCE(u.duration, 0) AS total_usage_duration,
+       COALESCE(u.features, 0) AS unique_features_used,
+       COALESCE(u.errors, 0) AS total_errors,
+       COALESCE(k.tickets, 0) AS n_tickets,
+       COALESCE(k.satisfaction, 0) AS avg_satisfaction,
+       COALESCE(k.escalations, 0) AS n_escalations
 FROM accounts a
-LEFT JOIN sub_summary ss ON a.account_id = ss.account_id
-LEFT JOIN usage_summary us ON a.account_id = us.account_id
-LEFT JOIN support_summary sp ON a.account_id = sp.account_id
-WHERE a.churn_flag = FALSE"""
+LEFT JOIN live_paid p USING (account_id)
+LEFT JOIN usage_by_account u USING (account_id)
+LEFT JOIN tickets_by_account k USING (account_id)
+WHERE NOT a.churn_flag"""
 
 
 def sql_targets_body(limit: int | None = 20) -> str:
-    score_num = ("(COALESCE(us.total_usage_duration, 0) + 150 * ss.total_seats + ss.total_mrr "
-                 "+ 1250 * ss.n_subscriptions)")
+    num = "(COALESCE(u.duration, 0) + 150 * p.total_seats + p.total_mrr + 1250 * p.n_subscriptions)"
     tail = f"ORDER BY sql_expansion_score DESC, a.account_id LIMIT {limit}" if limit else ""
     return f"""
-WITH sub_signals AS (
-  SELECT account_id, {B('SUM(mrr_amount)')} AS total_mrr, {B('SUM(seats)')} AS total_seats,
-         COUNT(subscription_id) AS n_subscriptions
-  FROM subscriptions WHERE mrr_amount > 0 AND end_date IS NULL GROUP BY account_id),
-{_USAGE_SUMMARY_SQL},
-support_signals AS (
-  SELECT account_id,
-         {rr('SUM(satisfaction_score)', 'COUNT(satisfaction_score)', 2)} AS avg_satisfaction,
-         {B('SUM(CASE WHEN escalation_flag = TRUE THEN 1 ELSE 0 END)')} AS n_escalations
-  FROM support GROUP BY account_id)
+WITH live_paid AS (
+  SELECT account_id, COUNT(*) AS n_subscriptions, {B('SUM(mrr_amount)')} AS total_mrr,
+         {B('SUM(seats)')} AS total_seats
+  FROM {ACTIVE_PAID} s GROUP BY account_id),
+{_LIVE_USAGE}
 SELECT a.account_id, a.account_name, a.industry, a.plan_tier, a.referral_source,
-       ss.total_mrr, ss.total_seats, ss.n_subscriptions,
-       COALESCE(us.total_usage_duration, 0) AS total_usage_duration,
-       COALESCE(us.unique_features_used, 0) AS unique_features_used,
-       COALESCE(sp.avg_satisfaction, 0) AS avg_satisfaction,
-       COALESCE(sp.n_escalations, 0) AS n_escalations,
-       {rr(score_num, '2500', 1)} AS sql_expansion_score
+       p.total_mrr, p.total_seats, p.n_subscriptions,
+       COALESCE(u.duration, 0) AS total_usage_duration,
+       COALESCE(u.features, 0) AS unique_features_used,
+       COALESCE(k.satisfaction, 0) AS avg_satisfaction,
+       COALESCE(k.escalations, 0) AS n_escalations,
+       {rr(num, '2500', 1)} AS sql_expansion_score
 FROM accounts a
-JOIN sub_signals ss ON a.account_id = ss.account_id
-LEFT JOIN usage_summary us ON a.account_id = us.account_id
-LEFT JOIN support_signals sp ON a.account_id = sp.account_id
-WHERE a.churn_flag = FALSE AND a.plan_tier IN ('Basic', 'Pro')
+JOIN live_paid p ON p.account_id = a.account_id
+LEFT JOIN usage_by_account u ON u.account_id = a.account_id
+LEFT JOIN tickets_by_account k ON k.account_id = a.account_id
+WHERE NOT a.churn_flag AND a.plan_tier IN ('Basic', 'Pro')
 {tail}"""
 
 
