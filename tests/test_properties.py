@@ -39,3 +39,16 @@ def test_views_and_catalog(spark):
     assert {"accounts", "subscriptions"} <= names
     n = spark.sql("SELECT COUNT(*) FROM subscriptions WHERE mrr_amount > 0").first()[0]
     assert n == t.paid_subscriptions.count()
+
+
+def test_write_outputs(spark, tmp_path):
+    from arrlens.plans.outputs import write_outputs
+    from arrlens.sources.fixtures import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    paths = write_outputs(t, str(tmp_path))
+    assert set(paths) == {"active_accounts", "expansion_universe", "account_features",
+                          "scored_accounts", "expansion_target_list"}
+    uni = spark.read.parquet(paths["expansion_universe"]).count()
+    assert spark.read.parquet(paths["expansion_target_list"]).count() == uni
+    assert spark.read.parquet(paths["scored_accounts"]).count() == uni
+    assert spark.read.parquet(paths["account_features"]).count() == t.accounts.count()
