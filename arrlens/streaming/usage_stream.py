@@ -40,18 +40,42 @@ def monthly_threshold(t: Tables, q: float = 0.9, accuracy: int = 10000) -> DataF
                         .alias("threshold"))
 
 
+# Bytes per row of the (subscription_id, account_id) mapping when hashed for
+# a broadcast join: two longs plus hash-table overhead.
+MAPPING_ROW_BYTES = 48
+
+
+def subscription_mapping(spark: SparkSession, t: Tables) -> DataFrame:
+    """Active paid subscription -> account, broadcast only behind a size check.
+
+    AQE does not re-plan streaming joins, so the decision is made here: the
+    mapping is counted once and broadcast when its hashed size stays under
+    ``arrlens.stream.broadcastMappingBytes`` (default 1 GiB). Beyond that the
+    stream-static join is a shuffle join on subscription_id.
+    """
+    subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
+    limit = int(spark.conf.get("arrlens.stream.broadcastMappingBytes", str(1 << 30)))
+    rows = subs.count()
+    return F.broadcast(subs) if rows * MAPPING_ROW_BYTES <= limit else subs
+
+
 def usage_windows(spark: SparkSession, t: Tables, window: str = "30 days",
                   slide: str = "1 day", watermark: str = "30 days",
-                  max_files_per_trigger: int = 1) -> DataFrame:
-    """Streaming frame of usage duration per account and sliding window."""
+                  max_files_per_trigger: int = 1, source_dir: str | None = None,
+                  glob: str = "lineitem.parquet") -> DataFrame:
+    """Streaming frame of usage duration per account and sliding window.
+
+    The source is a directory of usage files (by default the driver's
+    lineitem file, mapped to usage rows); new files are picked up as they
+    arrive, ``max_files_per_trigger`` at a time.
+    """
     schema = t.raw("lineitem").schema
     stream = (spark.readStream.schema(schema)
-              .option("pathGlobFilter", "lineitem.parquet")
+              .option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(t.sf_dir))
+              .parquet(source_dir or t.sf_dir))
     usage = usage_from_lineitem(stream).withColumn("event_ts", F.col("usage_date").cast("timestamp"))
-    subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
-    joined = usage.join(subs, "subscription_id")
+    joined = usage.join(subscription_mapping(spark, t), "subscription_id")
     return (joined.withWatermark("event_ts", watermark)
             .groupBy(F.window("event_ts", window, slide).alias("w"), "account_id")
             .agg(F.sum("usage_duration_secs").alias("usage_duration")))
