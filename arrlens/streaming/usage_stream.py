@@ -74,7 +74,8 @@ def usage_windows(spark: SparkSession, t: Tables, window: str = "30 days",
               .option("pathGlobFilter", glob)
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir or t.sf_dir))
-    usage = usage_from_lineitem(stream).withColumn("event_ts", F.col("usage_date").cast("timestamp"))
+    usage = usage_from_lineitem(stream).withColumn(
+        "event_ts", F.timestamp_seconds(F.unix_date("usage_date").cast("bigint") * 86400))  # UTC midnight
     joined = usage.join(subscription_mapping(spark, t), "subscription_id")
     return (joined.withWatermark("event_ts", watermark)
             .groupBy(F.window("event_ts", window, slide).alias("w"), "account_id")
