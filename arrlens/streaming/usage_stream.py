@@ -7,8 +7,10 @@ stream only keeps additive state: sums per (account, sliding window).
 
 Plan: file source of usage rows -> stream-static join to active paid
 subscriptions (subscription -> account) -> watermark on the usage date ->
-sliding-window sum per account -> ``foreachBatch``: compare with the
-threshold and write alerts. Each micro-batch writes its own partition
+daily usage per account (tumbling 1-day windows: the only streaming state)
+-> ``foreachBatch``: store the updated daily totals, recompute the 30-day
+windows (one starting on every day) that the updates touch, compare with the
+threshold and write alerts. Every write goes to the batch's own partition
 ``batch_id=N`` with dynamic partition overwrite, so a replayed batch after a
 failure rewrites the same files instead of duplicating them.
 """
@@ -59,11 +61,11 @@ def subscription_mapping(spark: SparkSession, t: Tables) -> DataFrame:
     return F.broadcast(subs) if rows * MAPPING_ROW_BYTES <= limit else subs
 
 
-def usage_windows(spark: SparkSession, t: Tables, window: str = "30 days",
-                  slide: str = "1 day", watermark: str = "30 days",
-                  max_files_per_trigger: int = 1, source_dir: str | None = None,
-                  glob: str = "lineitem.parquet") -> DataFrame:
-    """Streaming frame of usage duration per account and sliding window.
+def daily_usage(spark: SparkSession, t: Tables, watermark: str = "30 days",
+                max_files_per_trigger: int = 1, source_dir: str | None = None,
+                glob: str = "lineitem.parquet") -> DataFrame:
+    """Streaming frame of usage duration per (account, day): the only state
+    the stream keeps (one row per account-day inside the watermark).
 
     The source is a directory of usage files (by default the driver's
     lineitem file, mapped to usage rows); new files are picked up as they
@@ -78,38 +80,69 @@ def usage_windows(spark: SparkSession, t: Tables, window: str = "30 days",
         "event_ts", F.timestamp_seconds(F.unix_date("usage_date").cast("bigint") * 86400))  # UTC midnight
     joined = usage.join(subscription_mapping(spark, t), "subscription_id")
     return (joined.withWatermark("event_ts", watermark)
-            .groupBy(F.window("event_ts", window, slide).alias("w"), "account_id")
-            .agg(F.sum("usage_duration_secs").alias("usage_duration")))
+            .groupBy(F.window("event_ts", "1 day").alias("d"), "account_id")
+            .agg(F.sum("usage_duration_secs").alias("day_duration"))
+            .select("account_id",
+                    (F.unix_seconds(F.col("d.start")) / 86400).cast("int").alias("day"),
+                    "day_duration"))
+
+
+def rolling_windows(updated: DataFrame, daily: DataFrame, days: int = 30) -> DataFrame:
+    """Usage sums of the ``days``-day windows (one starting on every day) of
+    the accounts updated in this batch, from the latest daily totals.
+
+    Per touched account only windows starting on or after its earliest
+    updated day minus ``days - 1`` are rebuilt, from the daily totals on or
+    after that day, so every emitted window is complete; windows that did
+    not change are re-emitted with their unchanged sum (readers keep the
+    latest). Each daily total feeds the ``days`` windows that contain it,
+    partially aggregated per (account, window start).
+    """
+    lo = updated.groupBy("account_id").agg((F.min("day") - (days - 1)).alias("lo"))
+    contrib = (daily.join(lo, "account_id").where(F.col("day") >= F.col("lo"))
+               .select("account_id", "lo", "day_duration",
+                       F.explode(F.sequence(F.col("day") - (days - 1), F.col("day"))).alias("start"))
+               .where(F.col("start") >= F.col("lo")))
+    return contrib.groupBy("account_id", "start").agg(F.sum("day_duration").alias("usage_duration"))
 
 
 def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
                       q: float = 0.9, available_now: bool = True) -> str:
     """Run the trigger job; returns the alert table path.
 
-    With ``available_now`` the query processes what is there and stops (the
-    batch-style use in tests); otherwise it keeps running on new files.
+    The stream maintains daily totals per account; each micro-batch stores
+    its updated totals (partition ``batch_id=N``), recomputes the 30-day
+    windows those updates touch from the stored totals (latest value per
+    account-day), and writes the windows at or above the threshold. Both
+    writes overwrite their own batch partition, so a replayed batch is
+    idempotent. With ``available_now`` the query processes what is there
+    and stops; otherwise it keeps running on new files.
     """
     configure(spark)
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     t = Tables(spark, sf_dir)
     run_id = uuid.uuid4().hex[:12]
     out_dir = out_dir or shared_dir(spark, "usage_trigger", run_id, "alerts")
+    daily_dir = shared_dir(spark, "usage_trigger", run_id, "daily")
     ckpt = shared_dir(spark, "usage_trigger", run_id, "stream")
     # One number, computed once by a batch job before the stream starts.
     threshold = F.lit(monthly_threshold(t, q).first()["threshold"]).cast("double")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        alerts = (batch.where(F.col("usage_duration") >= threshold)
-                  .select("account_id", F.col("w.start").alias("window_start"),
-                          F.col("w.end").alias("window_end"), "usage_duration",
-                          threshold.alias("threshold"),
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(daily_dir))
+        stored = batch.sparkSession.read.parquet(daily_dir)
+        daily = (stored.groupBy("account_id", "day")
+                 .agg(F.max_by("day_duration", "batch_id").alias("day_duration")))
+        alerts = (rolling_windows(batch, daily).where(F.col("usage_duration") >= threshold)
+                  .select("account_id",
+                          F.timestamp_seconds(F.col("start").cast("bigint") * 86400).alias("window_start"),
+                          F.timestamp_seconds((F.col("start") + 30).cast("bigint") * 86400).alias("window_end"),
+                          "usage_duration", threshold.alias("threshold"),
                           F.lit(batch_id).alias("batch_id")))
         (alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out_dir))
 
-    writer = (usage_windows(spark, t).writeStream.outputMode("update")
+    writer = (daily_usage(spark, t).writeStream.outputMode("update")
               .option("checkpointLocation", ckpt).foreachBatch(emit))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime="1 minute")
