@@ -68,6 +68,7 @@ def queries() -> dict[str, QueryFn]:
 
 # features, signals, model, scoring, targets ------------------------------------
 from ..operators import features as _feat  # noqa: E402
+from ..operators import model as _model  # noqa: E402
 from ..operators import signals as _sig  # noqa: E402
 from ..operators import targets as _tg  # noqa: E402
 from ..operators.features import Snapshot  # noqa: E402
@@ -98,8 +99,7 @@ register("class_balance", lambda t: ScoringRun.shared(t).features.where("has_upg
          .groupBy("has_upgraded").count().withColumnRenamed("count", "accounts"))
 register("one_hot", lambda t: ScoringRun.shared(t).encoded)
 register("train_test_split", lambda t: ScoringRun.shared(t).labelled.select("account_id", "has_upgraded", "is_test"))
-register("class_weights", lambda t: __import__("arrlens.operators.model", fromlist=["x"])
-         .class_weights(ScoringRun.shared(t).train))
+register("class_weights", lambda t: _model.class_weights(ScoringRun.shared(t).train))
 register("standardized_features", lambda t: ScoringRun.shared(t).standardized())
 register("linear_score", lambda t: ScoringRun.shared(t).test_scores())
 register("auc", lambda t: ScoringRun.shared(t).auc())
@@ -111,8 +111,7 @@ register("engagement_score", lambda t: ScoringRun.shared(t).engagement_score())
 
 def _lr_fit(t):
     run = ScoringRun.shared(t)
-    from ..operators.model import coefficient_table
-    return coefficient_table(t.spark, run.fitted(), run.names)
+    return _model.coefficient_table(t.spark, run.fitted(), run.names)
 
 
 def _lr_coefficients(t):

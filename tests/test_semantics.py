@@ -229,3 +229,41 @@ def test_readers_roundtrip_csv(spark, tmp_path):
     assert back.schema == t.subscriptions.schema.__class__(back.schema.fields)
     assert back.count() == t.subscriptions.count()
     assert back.exceptAll(t.subscriptions).count() == 0
+
+
+# -- more edge frames ---------------------------------------------------------------
+def test_orphans_are_counted(spark):
+    t = tables(spark, [acc(1)], [sub(10, 1), sub(20, 99)],
+               [use("u1", 10), use("u2", 77), use("u3", 77)], [ticket(1, 1), ticket(2, 55)])
+    got = {r.table_name: (r.distinct_keys, r.orphans) for r in profile.foreign_keys(t).collect()}
+    assert got["subscriptions"] == (2, 1)
+    assert got["feature_usage"] == (2, 1)
+    assert got["support"] == (2, 1)
+    assert got["accounts"] == (1, None)
+
+
+def test_top_k_ties_broken_by_account_id(spark):
+    model = M.LinearModel({}, 0.0)  # every account scores exactly 50.0
+    t = tables(spark, [acc(i) for i in range(1, 31)], [sub(i, i) for i in range(1, 31)])
+    run = ScoringRun(t, model=model)
+    top = [r.account_id for r in run.top_scored(10).collect()]
+    assert top == list(range(1, 11))
+    sql_top = [r.account_id for r in sql_queries.top_targets(t, 5).collect()]
+    assert sql_top == [1, 2, 3, 4, 5]
+
+
+def test_single_class_training_is_rejected(spark):
+    t = tables(spark, [acc(i) for i in range(1, 6)], [sub(i, i, up=False) for i in range(1, 6)])
+    with pytest.raises(ValueError):
+        ScoringRun(t).fitted()
+
+
+def test_empty_tables(spark):
+    t = tables(spark, [], [], [], [], [])
+    r = revenue.nrr(t).first()
+    assert r.starting_mrr is None and r.nrr_pct is None
+    assert revenue.mrr_snapshot(t).first().active_subscriptions == 0
+    assert FE.account_features(t, materialize=False).count() == 0
+    assert signals.upgrade_by_usage_quartile(
+        spark.createDataFrame([], "account_id bigint, total_usage_duration bigint, has_upgraded boolean")
+    ).count() == 0
