@@ -46,7 +46,13 @@ def _key(row):
                  else (1, "num", float(x)) for x in row)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+    s_types = dict(spark_df.dtypes)
     s_cols = spark_df.columns
     s_rows = [tuple(_norm(r[c]) for c in s_cols) for r in spark_df.collect()]
     cur = con.execute(sql)
@@ -54,6 +60,11 @@ def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     d_rows = [tuple(_norm(v) for v in r) for r in cur.fetchall()]
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    d_types = {d[0]: str(d[1]) for d in cur.description}
+    bad_types = {c: (t, d_types[c]) for c, t in s_types.items()
+                 if SPARK_TO_DUCK.get(t, t) != d_types[c]}
+    if bad_types:
+        return False, f"types differ: {bad_types}"
     order = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
     d_index = [d_cols.index(s_cols[i]) for i in order]
     s_sorted = sorted((tuple(r[i] for i in order) for r in s_rows), key=_key)
