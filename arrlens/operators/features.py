@@ -100,21 +100,51 @@ def subscription_signals(active_paid: DataFrame) -> DataFrame:
         F.bool_or("auto_renew_flag").alias("auto_renew"))
 
 
-def usage_by_account_feature(usage: DataFrame, active_paid: DataFrame) -> DataFrame:
-    """Usage rolled up to (account, feature), joined through active paid subs.
+def usage_rollup(usage: DataFrame) -> DataFrame:
+    """Usage per (subscription, feature, month): the compact fact table every
+    usage consumer reads (feature table, SQL summaries, monthly trends).
 
-    Rolling up per (subscription, feature) first shrinks the big side of the
-    join to one row per pair; a subscription holding a large share of the
-    usage collapses in the map-side partial aggregate.
+    Map-side combined, so a subscription holding a large share of the events
+    collapses to one row per feature and month in each task.
     """
-    per_sub = usage.groupBy("subscription_id", "feature_name").agg(
+    return usage.groupBy("subscription_id", "feature_name",
+                         F.date_format("usage_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.sum("usage_count").alias("usage_count"),
         F.sum("usage_duration_secs").alias("usage_duration"),
         F.sum("error_count").alias("errors"),
         F.count_if("is_beta_feature").alias("beta"))
+
+
+_ROLLUPS: dict = {}
+
+
+def shared_usage_rollup(t: Tables) -> DataFrame:
+    """The session's materialised usage rollup for these source tables.
+
+    Written once under the checkpoint folder and read by every report (the
+    usage table is the largest input, so it is scanned once per session).
+    Sources are treated as an immutable snapshot; given frames are rolled up
+    lazily instead.
+    """
+    if not t.sf_dir:
+        return usage_rollup(t.feature_usage)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _ROLLUPS:
+        from ..session import materialize
+        _ROLLUPS[key] = materialize(usage_rollup(t.feature_usage), "usage_rollup")
+    return _ROLLUPS[key]
+
+
+def usage_by_account_feature(rollup: DataFrame, active_paid: DataFrame) -> DataFrame:
+    """Usage rolled up to (account, feature), joined through active paid subs.
+
+    The rollup is already reduced to (subscription, feature, month) rows, so
+    the join sees the compact side; the result is summed per (account,
+    feature), which makes the distinct-feature count a plain count.
+    """
     subs = active_paid.select("subscription_id", "account_id")
-    return (per_sub.join(subs, "subscription_id")
+    return (rollup.join(subs, "subscription_id")
             .groupBy("account_id", "feature_name")
             .agg(*[F.sum(c).alias(c) for c in
                    ["n_events", "usage_count", "usage_duration", "errors", "beta"]]))
@@ -173,7 +203,8 @@ def raw_features(t: Tables, population: DataFrame | None = None,
                  snap: Snapshot = Snapshot()) -> DataFrame:
     """Accounts (or ``population``) left-joined to the three signal tables."""
     active_paid = _restrict(_active_paid(t, snap), population)
-    usage = usage_by_account_feature(_usage(t, snap), active_paid)
+    rollup = shared_usage_rollup(t) if snap.current else usage_rollup(_usage(t, snap))
+    usage = usage_by_account_feature(rollup, active_paid)
     base = population if population is not None else t.accounts
     return (base.select(*ACCOUNT_COLS)
             .join(subscription_signals(active_paid), "account_id", "left")

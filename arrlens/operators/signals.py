@@ -139,13 +139,13 @@ def usage_decline(t: Tables) -> DataFrame:
     """Accounts whose latest month of usage duration fell below the previous
     month with usage (downgrade early warning).
 
-    Usage is rolled up per (subscription, month) before the join and per
-    (account, month) after it; the lag window is partitioned by account over
-    at most one row per month.
+    Usage comes from the session's usage rollup, summed per (subscription,
+    month) before the join and per (account, month) after it; the lag window
+    is partitioned by account over at most one row per month.
     """
-    month = F.date_format("usage_date", "yyyy-MM")
-    per_sub = (t.feature_usage.groupBy("subscription_id", month.alias("month"))
-               .agg(F.sum("usage_duration_secs").alias("duration")))
+    from .features import shared_usage_rollup
+    per_sub = (shared_usage_rollup(t).groupBy("subscription_id", "month")
+               .agg(F.sum("usage_duration").alias("duration")))
     subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
     monthly = (per_sub.join(subs, "subscription_id").groupBy("account_id", "month")
                .agg(F.sum("duration").alias("duration")))

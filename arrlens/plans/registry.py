@@ -77,7 +77,7 @@ from ..operators.scoring import ScoringRun  # noqa: E402
 register("features_subscription",
          lambda t: _feat.subscription_signals(t.active_paid_subscriptions))
 register("features_usage", lambda t: _feat.usage_signals(
-    _feat.usage_by_account_feature(t.feature_usage, t.active_paid_subscriptions)))
+    _feat.usage_by_account_feature(_feat.shared_usage_rollup(t), t.active_paid_subscriptions)))
 register("features_support", lambda t: _feat.support_signals(t.support))
 register("account_features", lambda t: ScoringRun.shared(t).features)
 register("null_audit", lambda t: profile.null_audit(ScoringRun.shared(t).features))

@@ -32,9 +32,9 @@ def monthly_threshold(t: Tables, q: float = 0.9, accuracy: int = 10000) -> DataF
     ``percentile_approx`` keeps a fixed-size sketch per partition, so the
     global aggregate never holds all account-months in one task.
     """
-    month = F.date_format("usage_date", "yyyy-MM")
-    per_sub = (t.feature_usage.groupBy("subscription_id", month.alias("month"))
-               .agg(F.sum("usage_duration_secs").alias("d")))
+    from ..operators.features import shared_usage_rollup
+    per_sub = (shared_usage_rollup(t).groupBy("subscription_id", "month")
+               .agg(F.sum("usage_duration").alias("d")))
     subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
     per_acct = (per_sub.join(subs, "subscription_id").groupBy("account_id", "month")
                 .agg(F.sum("d").alias("d")))
