@@ -40,15 +40,6 @@ def dround(x: str, digits: int) -> Column:
     return F.expr(dround_sql(x, digits))
 
 
-def safe_div_sql(num: str, den: str) -> str:
-    """num / den as DOUBLE, NULL when den is 0 (pandas would give inf/nan)."""
-    return f"(CAST(({num}) AS DOUBLE) / NULLIF(CAST(({den}) AS DOUBLE), 0))"
-
-
-def safe_div(num: str, den: str) -> Column:
-    return F.expr(safe_div_sql(num, den))
-
-
 def scaled_sql(x: str, num: int, den: int) -> str:
     """x * num / den for an integer x: one exact product, one IEEE division."""
     return f"(CAST(({x}) * {num} AS DOUBLE) / {den})"

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import dround, dround_col
+from ..functions.exact import dround
 
 LABEL = "has_upgraded"
 NUM_FEATURES = [
@@ -306,6 +306,3 @@ def coefficient_table(spark, model: LinearModel, names: list[str]) -> DataFrame:
     df = spark.createDataFrame(rows, "feature string, coefficient double")
     return df.withColumn("abs_coefficient", F.abs("coefficient"))
 
-
-def round6(c: Column) -> Column:
-    return dround_col(c, 6)

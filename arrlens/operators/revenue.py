@@ -3,8 +3,6 @@ expansion opportunity."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,12 +160,3 @@ def expansion_opportunity(t: Tables) -> DataFrame:
                        scaled("opportunity_mrr", 15, 100).alias("target_mrr_15pct"),
                        scaled("opportunity_mrr", 180, 100).alias("target_arr_15pct"))
 
-
-def upgrade_rates(t: Tables) -> dict[str, DataFrame]:
-    return {"plan_tier": upgrade_rate_by_plan(t),
-            "industry": upgrade_rate_by_account_dim(t, "industry"),
-            "referral_source": upgrade_rate_by_account_dim(t, "referral_source")}
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

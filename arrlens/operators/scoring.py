@@ -141,11 +141,6 @@ class ScoringRun:
     def classification_report(self) -> DataFrame:
         return M.classification_report(self.test_scores())
 
-    def test_contributions(self) -> DataFrame:
-        z = {f: self.scaler.z(f) for f in self.names}
-        return self.test.select("account_id", *[dround_col(self.model.phi(f, lambda g: z[g]), 6)
-                                                .alias(f"phi_{f}") for f in self.names])
-
     def contribution_summary(self) -> DataFrame:
         """Global importance on the test set: mean |contribution| per feature,
         and its direction (contribution = beta * z rises with the feature

@@ -8,7 +8,6 @@ helpers are shared, because both engines must round the same way.
 
 from __future__ import annotations
 
-from ..functions.exact import dround_sql as dr
 from ..functions.exact import ratio_round_sql as rr
 from .oracle_views import with_views
 
