@@ -251,3 +251,8 @@ def universe_features(t: Tables, snap: Snapshot = Snapshot(), materialize: bool
     from .profile import expansion_universe
     raw = raw_features(t, expansion_universe(t), snap)
     return fill_features(_maybe_materialize(raw, materialize))
+
+
+def clear_shared_rollups() -> None:
+    """Forget the session's materialised usage rollups (sources changed)."""
+    _ROLLUPS.clear()

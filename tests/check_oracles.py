@@ -18,7 +18,10 @@ from arrlens.session import build_session  # noqa: E402
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
-    spark = build_session("local[8]", shuffle_partitions=8)
+    # ARRLENS_CONF="k=v,k=v" adds session settings, e.g. to force the
+    # large-cluster code paths (no broadcasts, range-partitioned quantiles).
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("ARRLENS_CONF", "").split(",") if kv)
+    spark = build_session("local[8]", shuffle_partitions=8, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = entry.queries(), entry.oracle_sql()
     con = duck(sf_dir)
