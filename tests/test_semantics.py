@@ -267,3 +267,14 @@ def test_empty_tables(spark):
     assert signals.upgrade_by_usage_quartile(
         spark.createDataFrame([], "account_id bigint, total_usage_duration bigint, has_upgraded boolean")
     ).count() == 0
+
+
+def test_auc_matches_spark_ml_evaluator(spark, sf_dir):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from arrlens.sources.fixtures import Tables
+    run = ScoringRun(Tables(spark, sf_dir))
+    scores = run.test_scores().select(F.col("has_upgraded").cast("double").alias("label"),
+                                      F.col("probability").alias("raw"))
+    ev = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label",
+                                       metricName="areaUnderROC", numBins=0)
+    assert abs(ev.evaluate(scores) - run.auc().first().auc) < 1e-6
