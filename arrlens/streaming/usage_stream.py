@@ -5,12 +5,12 @@ Percentiles are not incremental, so the threshold comes from a batch job
 (the p-th percentile of monthly usage per account over history) and the
 stream only keeps additive state: sums per (account, sliding window).
 
-Plan: file source of usage rows -> stream-static join to active paid
-subscriptions (subscription -> account) -> watermark on the usage date ->
-daily usage per account (tumbling 1-day windows: the only streaming state)
--> ``foreachBatch``: store the updated daily totals, recompute the 30-day
-windows (one starting on every day) that the updates touch, compare with the
-threshold and write alerts. Every write goes to the batch's own partition
+Plan: file source of usage rows -> watermark on the usage date -> daily
+usage per subscription (tumbling 1-day windows: the only streaming state, no
+join in the stream) -> ``foreachBatch``, in batch mode: store the updated
+daily totals, map subscriptions to accounts (active paid subscriptions),
+recompute the 30-day windows (one starting on every day) of the touched
+accounts, compare with the threshold and write alerts. Every write goes to the batch's own partition
 ``batch_id=N`` with dynamic partition overwrite, so a replayed batch after a
 failure rewrites the same files instead of duplicating them.
 """
@@ -42,30 +42,19 @@ def monthly_threshold(t: Tables, q: float = 0.9, accuracy: int = 10000) -> DataF
                         .alias("threshold"))
 
 
-# Bytes per row of the (subscription_id, account_id) mapping when hashed for
-# a broadcast join: two longs plus hash-table overhead.
-MAPPING_ROW_BYTES = 48
-
-
-def subscription_mapping(spark: SparkSession, t: Tables) -> DataFrame:
-    """Active paid subscription -> account, broadcast only behind a size check.
-
-    AQE does not re-plan streaming joins, so the decision is made here: the
-    mapping is counted once and broadcast when its hashed size stays under
-    ``arrlens.stream.broadcastMappingBytes`` (default 1 GiB). Beyond that the
-    stream-static join is a shuffle join on subscription_id.
-    """
-    subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
-    limit = int(spark.conf.get("arrlens.stream.broadcastMappingBytes", str(1 << 30)))
-    rows = subs.count()
-    return F.broadcast(subs) if rows * MAPPING_ROW_BYTES <= limit else subs
+def subscription_mapping(t: Tables) -> DataFrame:
+    """Active paid subscription -> account (the static side, used in batch)."""
+    return t.active_paid_subscriptions.select("subscription_id", "account_id")
 
 
 def daily_usage(spark: SparkSession, t: Tables, watermark: str = "30 days",
                 max_files_per_trigger: int = 1, source_dir: str | None = None,
                 glob: str = "lineitem.parquet") -> DataFrame:
-    """Streaming frame of usage duration per (account, day): the only state
-    the stream keeps (one row per account-day inside the watermark).
+    """Streaming frame of usage duration per (subscription, day): the only
+    state the stream keeps (one row per subscription-day inside the
+    watermark). No join runs in the stream: its single stateful aggregation
+    is partially aggregated per task, so a subscription holding a large
+    share of the events collapses before the state shuffle.
 
     The source is a directory of usage files (by default the driver's
     lineitem file, mapped to usage rows); new files are picked up as they
@@ -78,15 +67,22 @@ def daily_usage(spark: SparkSession, t: Tables, watermark: str = "30 days",
               .parquet(source_dir or t.sf_dir))
     usage = usage_from_lineitem(stream).withColumn(
         "event_ts", F.timestamp_seconds(F.unix_date("usage_date").cast("bigint") * 86400))  # UTC midnight
-    joined = usage.join(subscription_mapping(spark, t), "subscription_id")
-    return (joined.withWatermark("event_ts", watermark)
-            .groupBy(F.window("event_ts", "1 day").alias("d"), "account_id")
+    return (usage.withWatermark("event_ts", watermark)
+            .groupBy(F.window("event_ts", "1 day").alias("d"), "subscription_id")
             .agg(F.sum("usage_duration_secs").alias("day_duration"))
-            .select("account_id",
+            .select("subscription_id",
                     (F.unix_seconds(F.col("d.start")) / 86400).cast("int").alias("day"),
                     "day_duration"))
 
 
+def to_accounts(per_sub_day: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(subscription, day) totals -> (account, day) totals, in batch mode:
+    the join sees one row per subscription-day (already aggregated) and
+    AQE handles skewed accounts."""
+    return (per_sub_day.join(mapping, "subscription_id")
+            .groupBy("account_id", "day").agg(F.sum("day_duration").alias("day_duration")))
+
+
 def rolling_windows(updated: DataFrame, daily: DataFrame, days: int = 30) -> DataFrame:
     """Usage sums of the ``days``-day windows (one starting on every day) of
     the accounts updated in this batch, from the latest daily totals.
@@ -110,10 +106,11 @@ def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = No
                       q: float = 0.9, available_now: bool = True) -> str:
     """Run the trigger job; returns the alert table path.
 
-    The stream maintains daily totals per account; each micro-batch stores
-    its updated totals (partition ``batch_id=N``), recomputes the 30-day
-    windows those updates touch from the stored totals (latest value per
-    account-day), and writes the windows at or above the threshold. Both
+    The stream maintains daily totals per subscription; each micro-batch
+    stores its updated totals (partition ``batch_id=N``), maps them to
+    accounts, recomputes the 30-day windows of the touched accounts from the
+    stored totals (latest value per subscription-day), and writes the
+    windows at or above the threshold. Both
     writes overwrite their own batch partition, so a replayed batch is
     idempotent. With ``available_now`` the query processes what is there
     and stops; otherwise it keeps running on new files.
@@ -127,13 +124,17 @@ def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = No
     # One number, computed once by a batch job before the stream starts.
     threshold = F.lit(monthly_threshold(t, q).first()["threshold"]).cast("double")
 
+    mapping = subscription_mapping(t)
+
     def emit(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(daily_dir))
         stored = batch.sparkSession.read.parquet(daily_dir)
-        daily = (stored.groupBy("account_id", "day")
-                 .agg(F.max_by("day_duration", "batch_id").alias("day_duration")))
-        alerts = (rolling_windows(batch, daily).where(F.col("usage_duration") >= threshold)
+        latest = (stored.groupBy("subscription_id", "day")
+                  .agg(F.max_by("day_duration", "batch_id").alias("day_duration")))
+        updated = to_accounts(batch, mapping).select("account_id", "day")
+        daily = to_accounts(latest, mapping)
+        alerts = (rolling_windows(updated, daily).where(F.col("usage_duration") >= threshold)
                   .select("account_id",
                           F.timestamp_seconds(F.col("start").cast("bigint") * 86400).alias("window_start"),
                           F.timestamp_seconds((F.col("start") + 30).cast("bigint") * 86400).alias("window_end"),
