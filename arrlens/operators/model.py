@@ -51,16 +51,25 @@ def dummy_name(cat: str, value: str) -> str:
     return f"{cat}_{re.sub(r'[^0-9A-Za-z]+', '_', value)}"
 
 
-def vocabularies(features: DataFrame, cats=CAT_FEATURES) -> dict[str, list[str]]:
+MAX_VOCABULARY = 1000
+
+
+def vocabularies(features: DataFrame, cats=CAT_FEATURES,
+                 max_values: int = MAX_VOCABULARY) -> dict[str, list[str]]:
     """Sorted distinct values of each categorical column.
 
-    A low-cardinality collect (a handful of values per column) is the only
-    driver round trip of the model; it fixes the one-hot column set.
+    The one collect of the model whose size depends on the data: it fetches
+    at most ``max_values + 1`` rows (a distributed distinct first) and fails
+    clearly beyond that, since a one-hot encoding that wide is not a model
+    input this analysis intends.
     """
     long = (features.select(*cats).unpivot([], list(cats), "cat", "value")
             .where(F.col("value").isNotNull()).distinct())
+    rows = long.limit(max_values + 1).collect()
+    if len(rows) > max_values:
+        raise ValueError(f"more than {max_values} categorical values in {list(cats)}")
     vocab: dict[str, list[str]] = {c: [] for c in cats}
-    for r in long.collect():
+    for r in rows:
         vocab[r["cat"]].append(r["value"])
     return {c: sorted(v) for c, v in vocab.items()}
 

@@ -278,3 +278,11 @@ def test_auc_matches_spark_ml_evaluator(spark, sf_dir):
     ev = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="label",
                                        metricName="areaUnderROC", numBins=0)
     assert abs(ev.evaluate(scores) - run.auc().first().auc) < 1e-6
+
+
+def test_vocabulary_is_bounded(spark):
+    df = spark.createDataFrame([(str(i), "A", None) for i in range(12)],
+                               "plan_tier string, industry string, referral_source string")
+    assert M.vocabularies(df)["industry"] == ["A"]
+    with pytest.raises(ValueError):
+        M.vocabularies(df, max_values=10)
