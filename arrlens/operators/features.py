@@ -129,7 +129,8 @@ def shared_usage_rollup(t: Tables) -> DataFrame:
     """
     if not t.sf_dir:
         return usage_rollup(t.feature_usage)
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    from ..session import session_key
+    key = (session_key(t.spark), t.sf_dir)
     if key not in _ROLLUPS:
         from ..session import materialize
         _ROLLUPS[key] = materialize(usage_rollup(t.feature_usage), "usage_rollup")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import dround, dround_col
 from ..sources.fixtures import Tables
 from . import model as M
-from ..session import materialize
+from ..session import materialize, session_key
 from .features import Snapshot, fill_features, raw_features
 from .profile import universe_filter
 
@@ -55,7 +55,7 @@ class ScoringRun:
         """
         if not t.sf_dir:
             return cls(t, snap=snap)
-        key = (t.spark.sparkContext.applicationId, t.sf_dir, snap)
+        key = (session_key(t.spark), t.sf_dir, snap)
         run = cls._shared.get(key)
         if run is None:
             run = cls._shared[key] = cls(Tables(t.spark, t.sf_dir), snap=snap)

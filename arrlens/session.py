@@ -60,6 +60,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application, for session-scoped caches."""
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only if unset.
 
@@ -67,7 +80,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     and is used as is. Only a local session without it (tests) gets a fresh
     temporary folder.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
