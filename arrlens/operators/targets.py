@@ -204,3 +204,20 @@ def tier_summary_formatted(run: ScoringRun) -> DataFrame:
     return s.select("outreach_priority", "accounts", "avg_score",
                     currency(F.col("total_mrr_uplift")).alias("total_mrr_uplift"),
                     currency(F.col("total_arr_uplift")).alias("total_arr_uplift"))
+
+
+def snapshot_drift(prev: ScoringRun, cur: ScoringRun, min_auc: float = 0.60) -> DataFrame:
+    """Drift between two snapshots scored with the same model and scaler:
+    hold-out AUC and top global contributor of each; retrain when the
+    current AUC falls below ``min_auc``, flag when the top contributor moved.
+    """
+    def top(run: ScoringRun):
+        return (run.contribution_summary().orderBy(F.desc("mean_abs_contribution"), "feature")
+                .limit(1).select("feature").scalar())
+
+    prev_auc = prev.auc().select("auc").scalar()
+    return (cur.auc().select(F.col("auc"), prev_auc.alias("prev_auc"),
+                             top(cur).alias("top_feature"), top(prev).alias("prev_top_feature"))
+            .select("auc", "prev_auc", (F.col("auc") < min_auc).alias("retrain"),
+                    "top_feature", "prev_top_feature",
+                    (F.col("top_feature") != F.col("prev_top_feature")).alias("top_feature_changed")))

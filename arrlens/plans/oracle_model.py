@@ -632,3 +632,35 @@ def _():
        '$' || format('{{:,}}', CAST(SUM(potential_mrr_uplift) AS BIGINT)) AS total_mrr_uplift,
        '$' || format('{{:,}}', CAST(SUM(potential_arr_uplift) AS BIGINT)) AS total_arr_uplift
 FROM scored WHERE outreach_priority IS NOT NULL GROUP BY outreach_priority""")
+
+
+def _scores_ctes(lab: str, st: str, p: str) -> str:
+    """Test-set z, scores and per-feature mean |contribution| for one
+    labelled relation, standardised with the statistics row ``st``."""
+    zs = ", ".join(f"{zexpr(f)} AS z_{f}" for f in NAMES)
+    lg = logit_sql(lambda f: "z_" + f)
+    phis = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, AVG(ABS({_phi(f, lambda g: 'z_' + g)})) AS a FROM {p}_z" for f in NAMES)
+    return f"""{p}_z AS (SELECT l.has_upgraded, {zs} FROM {lab} l CROSS JOIN {st} st WHERE l.is_test),
+{p}_sc AS (SELECT has_upgraded, {dr(f'1.0 / (1.0 + exp(-({lg})))', 6)} AS probability FROM {p}_z),
+{p}_h AS (SELECT probability AS score, COUNT(*) FILTER (WHERE has_upgraded = 1) AS pos,
+                 COUNT(*) FILTER (WHERE has_upgraded = 0) AS neg FROM {p}_sc GROUP BY probability),
+{p}_c AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 AS neg_below FROM {p}_h),
+{p}_auc AS (SELECT {dr('CAST(SUM(2 * pos * neg_below + pos * neg) AS DOUBLE) / (2.0 * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE))', 6)} AS auc FROM {p}_c),
+{p}_top AS (SELECT feature FROM (SELECT feature, {dr('a', 6)} AS m FROM ({phis}) x)
+            ORDER BY m DESC, feature LIMIT 1)"""
+
+
+@oracle("snapshot_drift")
+def _():
+    ctes = ",\n".join([model_ctes(), feature_ctes("g", False, 180).strip().rstrip(","),
+                       f"""g_enc AS (SELECT account_id, CAST(has_upgraded AS INTEGER) AS has_upgraded, {', '.join(_enc_cols())} FROM g_feat),
+g_lab AS (SELECT *, substr(md5(concat(CAST(account_id AS VARCHAR), '-{M.SPLIT_SEED}')), 1, 8) < '{M.SPLIT_CUTOFF}' AS is_test
+          FROM g_enc WHERE has_upgraded IS NOT NULL)""",
+                       _scores_ctes("f_lab", "f_st", "c"), _scores_ctes("g_lab", "f_st", "p")])
+    return W(ctes, f"""
+SELECT c_auc.auc AS auc, p_auc.auc AS prev_auc, c_auc.auc < {0.60!r} AS retrain,
+       c_top.feature AS top_feature, p_top.feature AS prev_top_feature,
+       c_top.feature <> p_top.feature AS top_feature_changed
+FROM c_auc, p_auc, c_top, p_top""")

@@ -177,3 +177,12 @@ def _usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STREAMING = {"usage_stream": _usage_stream}
 register("tier_summary_formatted", lambda t: _tg.tier_summary_formatted(ScoringRun.shared(t)))
+
+
+def _snapshot_drift(t):
+    cur = ScoringRun.shared(t)
+    prev = ScoringRun(t, snap=Snapshot(lag_days=180), reference=cur)
+    return _tg.snapshot_drift(prev, cur)
+
+
+register("snapshot_drift", _snapshot_drift)
