@@ -52,3 +52,13 @@ def test_write_outputs(spark, tmp_path):
     assert spark.read.parquet(paths["expansion_target_list"]).count() == uni
     assert spark.read.parquet(paths["scored_accounts"]).count() == uni
     assert spark.read.parquet(paths["account_features"]).count() == t.accounts.count()
+
+
+def test_write_outputs_csv_roundtrip(spark, tmp_path):
+    from arrlens.plans.outputs import write_outputs
+    from arrlens.sources.fixtures import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    paths = write_outputs(t, str(tmp_path), fmt="csv")
+    back = spark.read.option("header", True).csv(paths["expansion_target_list"])
+    assert back.columns[:3] == ["account_id", "account_name", "industry"]
+    assert back.count() == spark.read.option("header", True).csv(paths["expansion_universe"]).count()
