@@ -17,7 +17,7 @@ SETTINGS = {
 }
 KEYS = ["account_features", "box_stats", "upgrade_by_usage_quartile", "usage_p90_trigger",
         "sql_account_summary", "sql_upgrade_by_segment", "scored_accounts", "tier_transitions",
-        "auc", "usage_decline"]
+        "auc", "usage_decline", "snapshot_drift"]
 
 
 @pytest.fixture(scope="module")
