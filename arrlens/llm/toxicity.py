@@ -39,8 +39,9 @@ for _terms in IDENTITY_TERMS:
         _SWAP.setdefault(_t, _terms[(_i + 1) % len(_terms)])
 
 SAMPLE_ROWS = 16_000    # labelled rows the model is fitted on, at most about
-MAX_FEATURES = 4_096    # features the model keeps
+MAX_FEATURES = 1_024    # features the model keeps
 MIN_ROWS = 3            # sample rows a feature must occur in
+MIN_G2 = 12.0           # and their log-likelihood ratio against chance
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 
@@ -48,7 +49,7 @@ WORD = re.compile(r"\w+")
 def features(words: set[str]) -> set[str]:
     """Words, and the beginnings that families of derived words share."""
     out = set(words)
-    for n in (5, 7):
+    for n in (4, 5, 6, 7):
         out |= {w[:n] + "*" for w in words if len(w) >= n}
     return out
 
@@ -90,14 +91,21 @@ def _count(batches):
 
 
 def select_features(sample: DataFrame, n_pos: int, n_neg: int, max_features: int) -> list[str]:
-    """The features whose log odds differ most between the classes, in units of
-    their standard error. Counted in the tasks, added up after one shuffle."""
+    """The features whose presence tells most about the class, by the
+    log-likelihood ratio of their 2 x 2 counts. Counted in the tasks, added up
+    after one shuffle."""
     counts = sample.mapInArrow(_count, "feature string, pos long, neg long")
     counts = counts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, n = F.col("pos") + 0.5, F.col("neg") + 0.5
-    z = (F.log(p / (n_pos + 1.0)) - F.log(n / (n_neg + 1.0))) / F.sqrt(1 / p + 1 / n)
-    top = (counts.where(F.col("pos") + F.col("neg") >= MIN_ROWS).select("feature", F.abs(z).alias("z"))
-           .orderBy(F.desc("z"), "feature").limit(max_features))
+    rows = F.lit(float(n_pos + n_neg))
+    with_it = F.col("pos") + F.col("neg")
+
+    def part(seen, of_class, of_feature):
+        return F.when(seen > 0, seen * F.log(seen * rows / (of_feature * float(of_class)))).otherwise(0.0)
+
+    g2 = 2 * (part(F.col("pos"), n_pos, with_it) + part(F.col("neg"), n_neg, with_it) +
+              part(n_pos - F.col("pos"), n_pos, rows - with_it) + part(n_neg - F.col("neg"), n_neg, rows - with_it))
+    top = (counts.where(with_it >= MIN_ROWS).select("feature", g2.alias("g2")).where(F.col("g2") >= MIN_G2)
+           .orderBy(F.desc("g2"), "feature").limit(max_features))
     return sorted(r["feature"] for r in top.collect())
 
 
@@ -117,7 +125,7 @@ def _rows_of(index: dict[str, int]):
     return rows
 
 
-def fit_logistic(rows: list[tuple[list[int], list[int] | None, int]], n_features: int, l2: float = 2.0,
+def fit_logistic(rows: list[tuple[list[int], list[int] | None, int]], n_features: int, l2: float = 0.05,
                  penalty: float = 5.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Minimise the logistic loss + l2/2 |w|^2 + penalty/2 sum((w.(x' - x))^2)
     by accelerated gradient steps; x' is the counterfactual twin of x."""
