@@ -24,7 +24,7 @@ MAX_BUCKETS = 4096
 
 def paragraphs(text: Column) -> Column:
     """Lines of the text; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def key(paragraph: Column) -> Column:

@@ -10,12 +10,14 @@ probability below 10^-5. So:
   values in rarest-first order (m: number of shared values), so only those are
   posted for the join;
 * merging: what is already in one component is not paired again. Each posting
-  list first pairs its members with one hub; later rounds only open lists,
-  those that still hold several components, and at last all pairs between
-  different components of an open list.
-
-Pairs that share a list are kept from T collisions of the whole signatures on,
-and a link is confirmed on the full shingle sets.
+  list pairs its members with two hubs only, and goes on only if it is still
+  open afterwards (holds several components). Pairs are kept from T collisions of the whole
+  signatures on, and a link is confirmed on the full shingle sets.
+
+Members of lists that stay open then meet by their shingles themselves: two
+similar sets share one of their rarest n - ceil(0.8 n) + 1 shingles, so a
+passage that many documents share pairs nobody. This last step is exact, and
+it keeps the work linear where a list's members are many and unlike.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, staged, table
 
-COORDINATES = 64        # a power of two: the low bits of a posting name the coordinate
-MIN_COLLISIONS = 34     # P(Bin(64, 0.8) < 34) is about 10^-6
+COORDINATES = 48
+_LOW = 63               # the low bits of a posting name its coordinate
+MIN_COLLISIONS = 24     # P(Bin(48, 0.8) < 24) is about 10^-6
 SIMILARITY = 80         # percent
-HUB_ROUNDS = 2
+HUBS = 2                # members of a posting list that all others are paired with
 CACHE_WORDS = 300_000
 _M = (1 << 64) - 1
 
@@ -78,8 +81,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, len(shingles), 4096):
         part = (shingles[None, at:at + 4096] ^ _XOR[:, None]) * _MUL[:, None]
         best = np.minimum(best, part.min(axis=1))
-    low = np.uint64(COORDINATES - 1)
-    return ((best & ~low) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
+    return ((best & ~np.uint64(_LOW)) | np.arange(COORDINATES, dtype=np.uint64)).view(np.int64)
 
 
 def _sign(size: int):
@@ -128,29 +130,57 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def prefix_postings(nodes: DataFrame, min_collisions: int = MIN_COLLISIONS) -> DataFrame:
     """(node, posting): the rarest m - T + 1 of the m values that a node shares."""
     posted = nodes.select("node", F.explode("signature").alias("posting"))
-    for _ in range(2):  # the second time without what the first one dropped
-        shared = posted.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
-        own = posted.join(shared, "posting").groupBy("node").agg(F.collect_list(F.struct("n", "posting")).alias("own"))
-        own = staged(own.where(F.size("own") >= min_collisions), "postings")
-        posted = own.select("node", F.explode("own.posting").alias("posting"))
-    return own.select("node", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (min_collisions - 1)))
-                      .alias("p")).select("node", "p.posting")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, min_collisions: int = MIN_COLLISIONS,
-              similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) with at least T collisions of their signatures whose
-    shingle sets are similar: 100 * intersection >= similarity * union."""
-    sig = nodes.select("node", "n_shingles", "signature")
-    a = sig.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    b = sig.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-    likely = pairs.join(a, "a").join(b, "b").where(
-        (F.least("na", "nb") * 100 >= similarity * F.greatest("na", "nb")) &
-        (F.size(F.array_intersect("sa", "sb")) >= min_collisions)).select("a", "b", "na", "nb")
-    full = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a") \
+    shared = posted.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
+    own = posted.join(shared, "posting").groupBy("node").agg(
+        F.collect_list(F.struct("n", "posting")).alias("own"))  # at most K entries
+    own = own.where(F.size("own") >= min_collisions)
+    first = F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (min_collisions - 1))
+    return own.select("node", F.explode(first).alias("p")).select("node", "p.posting")
+
+
+def sizes_agree(a: Column, b: Column, similarity: int) -> Column:
+    return F.least(a, b) * 100 >= similarity * F.greatest(a, b)
+
+
+def shingle_pairs(members: DataFrame, similarity: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``members`` (node, shingles, component) of
+    different components that share a shingle of both prefixes, rarest first."""
+    posted = members.select("node", F.size("shingles").alias("n_shingles"), "component",
+                            F.explode("shingles").alias("posting"))
+    shared = posted.groupBy("posting").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
+                                           F.max("component").alias("hi"))
+    own = posted.join(shared.where("n > 1"), "posting").groupBy("node", "n_shingles", "component").agg(
+        F.array_sort(F.collect_list(F.struct("n", "posting", (F.col("lo") < F.col("hi")).alias("open")))).alias("own"))
+    # shingles that nobody else has come first and need no posting
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity / 100) + 1
+    left = (prefix - (F.col("n_shingles") - F.size("own"))).cast("int")
+    own = own.where(left > 0).select("node", "n_shingles", "component", F.explode(F.slice("own", F.lit(1), left)).alias("p"))
+    own = staged(own.where("p.open").select("node", "n_shingles", "component", "p.posting"), "shingle-prefixes")
+    x = own.select("posting", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
+    y = own.select("posting", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"))
+    pairs = x.join(y, "posting").where((F.col("cx") < F.col("cy")) & sizes_agree(F.col("nx"), F.col("ny"), similarity))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, min_collisions: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) with sets of like size and at least T collisions of
+    their whole signatures, counted on seven bits of each value (which can
+    only count too many)."""
+    bits = F.transform("signature", lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(127)).cast("tinyint"))
+    own = nodes.select("node", "n_shingles", bits.alias("bits"))
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("sa")), "a") \
+        .join(own.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("sb")), "b")
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
+    return both.where(sizes_agree(F.col("na"), F.col("nb"), similarity) & (same >= min_collisions)).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar:
+    100 * intersection >= similarity * union."""
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb"))
-    return full.where(both * 100 >= similarity * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return full.where(both * 100 >= similarity * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,26 +203,38 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _labelled(postings: DataFrame, label: DataFrame) -> DataFrame:
-    """Postings of the lists that hold more than one component."""
-    named = postings.join(label, "node", "left").select(
-        "posting", "node", F.coalesce("component", "node").alias("component"))
-    open_ = named.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return named.join(open_.select("posting"), "posting")
+def _hub_pairs(postings: DataFrame) -> DataFrame:
+    """Each list's members with its hubs, the members with the least hash under
+    either of two salts."""
+    hubs = postings.groupBy("posting").agg(F.array(*[
+        F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HUBS)]).alias("hubs"))
+    pairs = postings.join(hubs, "posting").select("node", F.explode("hubs").alias("hub")).where("node != hub")
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def _hub_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """Each list's members of other components with its hub, a member chosen by hash."""
-    hub = postings.groupBy("posting").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("h"))
-    hub = hub.select("posting", F.col("h.node").alias("hub"), F.col("h.component").alias("of"))
-    pairs = postings.join(hub, "posting").where(F.col("component") != F.col("of"))
-    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+def _open_members(postings: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(node, component) of the members of lists that hold several components."""
+    if label is None:
+        named = postings.withColumn("component", F.col("node"))
+    else:
+        named = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return named.join(several.select("posting"), "posting").select("node", "component").distinct()
+
+
+def _sets_of(keyed: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles) of the given classes, from one text of each."""
+    none = F.lit(-2 ** 63)
+    texts = keyed.withColumn("rid", F.coalesce("doc_id", none))
+    wanted = nodes.select("node", "text_key", F.coalesce("rep", none).alias("rid"))
+    # repeated rows of one id and text are alike; the join has dealt them by these keys already
+    texts = texts.join(wanted, ["text_key", "rid"]).dropDuplicates(["text_key", "rid"])
+    return texts.select("node", "text").mapInArrow(_sets(shingle_words), "node long, shingles array<long>")
 
 
 def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMILARITY,
-                    min_collisions: int = MIN_COLLISIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed documents, classes, class components)."""
+                    min_collisions: int = MIN_COLLISIONS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(signed documents, classes, components of the classes that have links)."""
     keyed = _keyed(docs)
     signed = staged(keyed.mapInArrow(
         _sign(shingle_words), "doc_id long, text_key string, n_shingles long, signature array<long>"), "signed")
@@ -200,29 +242,15 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
     postings = staged(prefix_postings(nodes.where("n_shingles > 0"), min_collisions), "prefixes")
-    wanted = nodes.join(postings.select("node").distinct(), "node").select("node", "text_key", "rep", "n_shingles", "signature")
-    likely = staged(wanted, "likely")
-    texts = keyed.join(likely.select("node", F.col("text_key").alias("k"), F.col("rep").alias("r")),
-                       (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("r")))
-    sets = texts.select("node", "text").mapInArrow(_sets(shingle_words), "node long, shingles array<long>")
-    sets = staged(sets.dropDuplicates(["node"]), "sets")  # repeated rows of one id and text
-    links, label = None, nodes.sparkSession.createDataFrame([], "node long, component long")
-    for turn in range(HUB_ROUNDS + 1):
-        rest = _labelled(postings, label)
-        if turn < HUB_ROUNDS:
-            pairs = _hub_pairs(rest, turn)
-        else:
-            x = rest.select("posting", F.col("node").alias("a"), F.col("component").alias("ca"))
-            y = rest.select("posting", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "posting").where("ca < cb").select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = staged(confirmed(pairs, likely, sets, min_collisions, similarity), "links")
-        if not new.limit(1).count():
-            if turn < HUB_ROUNDS:
-                continue
-            break
-        links = new if links is None else links.unionByName(new)
-        label = components(links)
+    members = nodes.join(postings.select("node").distinct(), "node")
+    pairs = staged(likely(_hub_pairs(postings), staged(members, "members"), min_collisions, similarity), "likely")
+    sets = staged(_sets_of(keyed, members, shingle_words), "sets")
+    links = staged(confirmed(pairs, sets, similarity), "links")
+    label = components(links) if links.limit(1).count() else None
+    rest = staged(sets.join(_open_members(postings, label), "node"), "open")
+    more = staged(confirmed(shingle_pairs(rest, similarity), rest, similarity), "links")
+    if more.limit(1).count():
+        label = components(links.unionByName(more))
     return signed, nodes, label
 
 
@@ -242,9 +270,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
 
 def _classified(docs: DataFrame, shingle_words: int, similarity: int, min_collisions: int) -> DataFrame:
     signed, nodes, label = find_components(docs, shingle_words, similarity, min_collisions)
-    named = nodes.join(label, "node", "left").select(
-        "text_key", "rep", "n_shingles", F.coalesce("component", "node").alias("component"))
-    named = named.where("n_shingles > 0")
+    named = nodes.where("n_shingles > 0")
+    if label is None:
+        named = named.withColumn("component", F.col("node"))
+    else:
+        named = named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "component").select("text_key", "component_id", F.lit(True).alias("has"))
     out = signed.select("doc_id", "text_key", "n_shingles").join(of_class, "text_key", "left")

@@ -1,10 +1,10 @@
 """Toxicity classifier with a counterfactual penalty.
 
 A logistic model over the presence of words and word beginnings. Training rows
-that mention a group (identity terms) get a counterfactual twin in which the
-term is swapped for another one of the same list; the squared change of the
-raw score between the two is penalised, so that a group's name alone moves no
-document across the threshold.
+that mention a group (identity terms) get counterfactual twins: in one each
+term is swapped for another of the same list, in the other it is left out. The
+squared change of the raw score is penalised, so that neither which group is
+named nor that one is named moves a document across the threshold.
 """
 
 from __future__ import annotations
@@ -58,11 +58,12 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with every identity term exchanged; None without any."""
+def twins(words: set[str]) -> list[set[str]]:
+    """The words with every identity term exchanged, and without them; nothing
+    for words without such terms."""
     if words.isdisjoint(_SWAP):
-        return None
-    return {_SWAP.get(w, w) for w in words}
+        return []
+    return [{_SWAP.get(w, w) for w in words}, words - _SWAP.keys()]
 
 
 @dataclass
@@ -113,22 +114,20 @@ def _rows_of(index: dict[str, int]):
     def rows(batches):
         for batch in batches:
             texts, label = batch["text"].to_pylist(), batch["label"].to_pylist()
-            own, twin = [], []
-            for text in texts:
-                words = words_of(text)
-                other = swapped(words)
-                own.append(sorted(index[f] for f in features(words) & index.keys()))
-                twin.append(None if other is None else sorted(index[f] for f in features(other) & index.keys()))
+            numbers = lambda words: sorted(index[f] for f in features(words) & index.keys())
+            words = [words_of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.list_(pa.int32())), pa.array(twin, pa.list_(pa.int32())),
-                 pa.array(label, pa.int32())], ["own", "twin", "label"])
+                [pa.array([numbers(w) for w in words], pa.list_(pa.int32())),
+                 pa.array([[numbers(t) for t in twins(w)] for w in words], pa.list_(pa.list_(pa.int32()))),
+                 pa.array(label, pa.int32())], ["own", "twins", "label"])
     return rows
 
 
-def fit_logistic(rows: list[tuple[list[int], list[int] | None, int]], n_features: int, l2: float = 0.05,
+def fit_logistic(rows: list[tuple[list[int], list[list[int]], int]], n_features: int, l2: float = 0.05,
                  penalty: float = 5.0, steps: int = 400) -> tuple[float, np.ndarray]:
     """Minimise the logistic loss + l2/2 |w|^2 + penalty/2 sum((w.(x' - x))^2)
-    by accelerated gradient steps; x' is the counterfactual twin of x."""
+    by accelerated gradient steps; the x' are the counterfactual
+    twins of x."""
     def csr(lists):
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         cols = np.fromiter((j for x in lists for j in x), dtype=np.int64, count=int(lengths.sum()))
@@ -136,7 +135,7 @@ def fit_logistic(rows: list[tuple[list[int], list[int] | None, int]], n_features
 
     y = np.array([r[2] for r in rows], dtype=float)
     ri, ci = csr([r[0] for r in rows])
-    pairs = [(r[0], r[1]) for r in rows if r[1] is not None]
+    pairs = [(r[0], t) for r in rows for t in r[1]]
     gi, gj = csr([sorted(set(b) - set(a)) for a, b in pairs])
     li, lj = csr([sorted(set(a) - set(b)) for a, b in pairs])
     m = len(rows)
@@ -170,8 +169,8 @@ def _fit(n_features: int):
     def fit(batches):
         rows = []
         for batch in batches:
-            rows += zip(batch["own"].to_pylist(), batch["twin"].to_pylist(), batch["label"].to_pylist())
-        rows.sort(key=lambda r: (r[2], r[0], r[1] or []))  # the same sums whatever the order of arrival
+            rows += zip(batch["own"].to_pylist(), batch["twins"].to_pylist(), batch["label"].to_pylist())
+        rows.sort(key=lambda r: (r[2], r[0], r[1]))  # the same sums whatever the order of arrival
         b, w = fit_logistic(rows, n_features)
         yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([w.tolist()], pa.list_(pa.float64()))],
                                          ["bias", "weights"])
@@ -193,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     if not names:
         return Model(prior)
     rows = sample.mapInArrow(_rows_of({f: i for i, f in enumerate(names)}),
-                             "own array<int>, twin array<int>, label int")
+                             "own array<int>, twins array<array<int>>, label int")
     fitted = rows.repartition(1).mapInArrow(_fit(len(names)), "bias double, weights array<double>")
     row = fitted.collect()[0]
     return Model(row["bias"], {f: w for f, w in zip(names, row["weights"]) if abs(w) > 1e-9})
