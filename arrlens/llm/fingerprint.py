@@ -34,12 +34,10 @@ def key(paragraph: Column) -> Column:
 
 def vector(k: Column) -> Column:
     """LANES numbers below MODULUS from a paragraph's key."""
-    def lane(j: Column) -> Column:
-        h = F.xxhash64(k["a"], k["b"], j)
-        mask = F.element_at(F.lit([2 ** (i // WIDTH) - 1 for i in range(LANES)]).cast("array<bigint>"), j + 1)
-        return F.when(h.bitwiseAND(mask) == 0, F.shiftrightunsigned(h, 32)).otherwise(F.lit(0).cast("long"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: F.xxhash64(k["a"], k["b"], j))
+    masks = F.lit([2 ** (i // WIDTH) - 1 for i in range(LANES)]).cast("array<bigint>")
+    return F.zip_with(hashes, masks, lambda h, m: F.when(h.bitwiseAND(m) == 0, F.shiftrightunsigned(h, 32))
+                      .otherwise(F.lit(0).cast("long")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -65,28 +63,32 @@ def expected_equal(d: float) -> float:
     return sum(WIDTH * (1 - 2.0 ** -lv) ** d for lv in range(LEVELS))
 
 
+def unshared(equal: int) -> int:
+    """The least number of unshared paragraphs for which no more than ``equal``
+    lanes are expected to agree, on a grid with steps of 15 %."""
+    d = 0
+    while expected_equal(d) > equal + 0.5 and d < 100_000:
+        d = max(d + 1, round(d * 1.15))
+    return d
+
+
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal fingerprints, else 1 - d / (paragraphs of both), at least 0,
     with the number d of unshared paragraphs estimated from the equal lanes."""
-    grid = [round(1.15 ** i) for i in range(0, 80)]
-    grid = [d for i, d in enumerate(grid) if i == 0 or d > grid[i - 1]]
-    equal = F.aggregate(F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0),
-                        lambda s, x: s + x)
-    # the first grid number whose expectation is not above what was seen
-    points = F.lit([expected_equal(d) for d in grid])
-    at = F.aggregate(points, F.lit(1), lambda s, e: s + F.when(e > equal + 0.5, 1).otherwise(0))
-    d = F.element_at(F.lit(grid), F.least(at, F.lit(len(grid))))
+    equal = F.size(F.filter(F.zip_with(a["lanes"], b["lanes"], lambda x, y: x == y), lambda e: e))
+    d = F.element_at(F.lit([unshared(i) for i in range(LANES + 1)]), equal + 1)
     both = F.greatest(a["n"] + b["n"], F.lit(1))
-    return F.when((equal == LANES) & (a["n"] == b["n"]), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - d / both))
+    return F.when(a["lanes"] == b["lanes"], F.when(a["n"] == b["n"], 1.0).otherwise(0.0)).otherwise(
+        F.greatest(F.lit(0.0), 1 - F.greatest(d, F.lit(1)) / both))
 
 
 def digest(fp: Column) -> Column:
     return F.sha2(F.concat_ws(",", fp["n"].cast("string"), F.transform(fp["lanes"], lambda x: x.cast("string"))), 256)
 
 
-def with_next_text(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, text and the text of the next document by (doc_id, text), null
-    ids first; the last one's next is the first. Documents are dealt into id
+def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, text and fingerprint of each document with those of the next one
+    by (doc_id, text), null ids first; the last one's next is the first. Documents are dealt into id
     ranges by literal bounds (approximate quantiles; any bounds give the same
     rows), each range is ordered on its own, and the first document of a range
     also goes, as a guest, to the end of the range before it."""
@@ -106,9 +108,10 @@ def with_next_text(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                          F.max("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
                          .alias("last"))
     guests = first.select("f.doc_id", "f.text", F.coalesce("before", "last").alias("bucket"), F.lit(1).alias("guest"))
-    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests)
+    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("own", fingerprint(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
+    dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next", F.lead("own").over(order))
+    return dealt.where("guest = 0").select("doc_id", "text", "own", "next_text", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -119,11 +122,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     single document is its own next; an empty table gives no rows; other
     columns are ignored."""
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = with_next_text(docs).withColumn(
+    rows = with_next(docs).withColumn(
         "edited", F.concat(F.left(F.col("text"), F.length("text") - half), F.left(F.col("next_text"), half)))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"),
-                       fingerprint(F.col("next_text")).alias("next"))
+                       "own", fingerprint(F.col("edited")).alias("changed"), "next")
     return rows.select("doc_id", "n_chars", "edited_sha256", digest(F.col("own")).alias("fingerprint"),
                        digest(F.col("changed")).alias("edited_fingerprint"),
                        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
