@@ -10,8 +10,9 @@ probability below 10^-5. So:
   values in rarest-first order (m: number of shared values), so only those are
   posted for the join;
 * merging: what is already in one component is not paired again. Each posting
-  list pairs its members with two hubs only, and goes on only if it is still
-  open afterwards (holds several components). Pairs are kept from T collisions of the whole
+  list pairs its members with a few hubs only (which are all its pairs, if it
+  is short), and goes on only if it is longer and still open afterwards (holds
+  several components). Pairs are kept from T collisions of the whole
   signatures on, and a link is confirmed on the full shingle sets.
 
 Members of lists that stay open then meet by their shingles themselves: two
@@ -35,7 +36,7 @@ COORDINATES = 48
 _LOW = 63               # the low bits of a posting name its coordinate
 MIN_COLLISIONS = 24     # P(Bin(48, 0.8) < 24) is about 10^-6
 SIMILARITY = 80         # percent
-HUBS = 2                # members of a posting list that all others are paired with
+HUBS = 4                # members of a posting list that all others are paired with
 CACHE_WORDS = 300_000
 _M = (1 << 64) - 1
 
@@ -117,11 +118,30 @@ def _sets(size: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
                 values = np.concatenate(s) if s else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part["node"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                    ["node", "shingles"])
+                    [part["node"], part["component"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    ["node", "component", "shingles"])
     return sets
 
 
+def _compare(size: int, similarity: int):
+    def compare(batches):
+        hashes = _WordHashes()
+        last, y = None, None  # rows of one b follow each other
+        for batch in batches:
+            links = []
+            for i in range(batch.num_rows):
+                b = batch["b"][i].as_py()
+                if b != last:
+                    last, y = b, shingle_set(batch["tb"][i].as_py(), size, hashes)
+                x = shingle_set(batch["ta"][i].as_py(), size, hashes)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                links.append(both * 100 >= similarity * (len(x) + len(y) - both))
+            if len(hashes) >= CACHE_WORDS:
+                hashes.clear()
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(links, pa.bool_()))
+    return compare
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with the md5 of their text: equal texts are one class."""
     return id_and_text(docs).withColumn("text_key", F.md5(F.col("text").cast("binary")))
@@ -174,13 +194,12 @@ def likely(pairs: DataFrame, nodes: DataFrame, min_collisions: int, similarity:
     return both.where(sizes_agree(F.col("na"), F.col("nb"), similarity) & (same >= min_collisions)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar:
+def confirmed(pairs: DataFrame, bodies: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar:
     100 * intersection >= similarity * union."""
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a") \
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
-    both = F.size(F.array_intersect("xa", "xb"))
-    return full.where(both * 100 >= similarity * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a") \
+        .join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(_compare(shingle_words, similarity), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,6 +231,12 @@ def _hub_pairs(postings: DataFrame) -> DataFrame:
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
+def _long_lists(postings: DataFrame) -> DataFrame:
+    """Postings of the lists whose pairs are not all with a hub."""
+    n = postings.groupBy("posting").agg(F.count("*").alias("n")).where(F.col("n") > HUBS + 1)
+    return postings.join(n.select("posting"), "posting")
+
+
 def _open_members(postings: DataFrame, label: DataFrame | None) -> DataFrame:
     """(node, component) of the members of lists that hold several components."""
     if label is None:
@@ -222,14 +247,13 @@ def _open_members(postings: DataFrame, label: DataFrame | None) -> DataFrame:
     return named.join(several.select("posting"), "posting").select("node", "component").distinct()
 
 
-def _sets_of(keyed: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles) of the given classes, from one text of each."""
+def _bodies(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given classes, from one document of each."""
     none = F.lit(-2 ** 63)
     texts = keyed.withColumn("rid", F.coalesce("doc_id", none))
     wanted = nodes.select("node", "text_key", F.coalesce("rep", none).alias("rid"))
     # repeated rows of one id and text are alike; the join has dealt them by these keys already
-    texts = texts.join(wanted, ["text_key", "rid"]).dropDuplicates(["text_key", "rid"])
-    return texts.select("node", "text").mapInArrow(_sets(shingle_words), "node long, shingles array<long>")
+    return texts.join(wanted, ["text_key", "rid"]).dropDuplicates(["text_key", "rid"]).select("node", "text")
 
 
 def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMILARITY,
@@ -244,11 +268,15 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
     postings = staged(prefix_postings(nodes.where("n_shingles > 0"), min_collisions), "prefixes")
     members = nodes.join(postings.select("node").distinct(), "node")
     pairs = staged(likely(_hub_pairs(postings), staged(members, "members"), min_collisions, similarity), "likely")
-    sets = staged(_sets_of(keyed, members, shingle_words), "sets")
-    links = staged(confirmed(pairs, sets, similarity), "links")
+    long = staged(_long_lists(postings), "long-lists")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
+    bodies = staged(_bodies(keyed, nodes.join(asked, "node")), "bodies")
+    links = staged(confirmed(pairs, bodies, shingle_words, similarity), "links")
     label = components(links) if links.limit(1).count() else None
-    rest = staged(sets.join(_open_members(postings, label), "node"), "open")
-    more = staged(confirmed(shingle_pairs(rest, similarity), rest, similarity), "links")
+    rest = bodies.join(_open_members(long, label), "node").select("node", "component", "text")
+    sets = rest.mapInArrow(_sets(shingle_words), "node long, component long, shingles array<long>")
+    more = staged(shingle_pairs(staged(sets, "open"), similarity), "likely")
+    more = staged(confirmed(more, bodies, shingle_words, similarity), "links")
     if more.limit(1).count():
         label = components(links.unionByName(more))
     return signed, nodes, label
