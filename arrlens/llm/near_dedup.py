@@ -10,9 +10,9 @@ probability below 10^-5. So:
   values in rarest-first order (m: number of shared values), so only those are
   posted for the join;
 * merging: what is already in one component is not paired again. Each posting
-  list pairs its members with a few hubs only (which are all its pairs, if it
-  is short), and goes on only if it is longer and still open afterwards (holds
-  several components). Pairs are kept from T collisions of the whole
+  short list pairs all its members; a longer one pairs them with a few hubs
+  only and goes on only if it is still open afterwards (holds several
+  components). Pairs are kept from T collisions of the whole
   signatures on, and a link is confirmed on the full shingle sets.
 
 Members of lists that stay open then meet by their shingles themselves: two
@@ -36,7 +36,8 @@ COORDINATES = 48
 _LOW = 63               # the low bits of a posting name its coordinate
 MIN_COLLISIONS = 24     # P(Bin(48, 0.8) < 24) is about 10^-6
 SIMILARITY = 80         # percent
-HUBS = 4                # members of a posting list that all others are paired with
+SHORT = 6               # members of a posting list that are all paired at once
+HUBS = 4                # members of a longer list that all others are paired with first
 CACHE_WORDS = 300_000
 _M = (1 << 64) - 1
 
@@ -222,19 +223,27 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _hub_pairs(postings: DataFrame) -> DataFrame:
-    """Each list's members with its hubs, the members with the least hash under
-    either of two salts."""
-    hubs = postings.groupBy("posting").agg(F.array(*[
-        F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HUBS)]).alias("hubs"))
-    pairs = postings.join(hubs, "posting").select("node", F.explode("hubs").alias("hub")).where("node != hub")
-    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of the lists with 2 to SHORT members, and of the longer ones."""
+    n = postings.groupBy("posting").agg(F.count("*").alias("n"))
+    return (postings.join(n.where((F.col("n") > 1) & (F.col("n") <= SHORT)).select("posting"), "posting"),
+            postings.join(n.where(F.col("n") > SHORT).select("posting"), "posting"))
+
 
+def _all_pairs(short: DataFrame) -> DataFrame:
+    """All pairs of the members of lists that have at most SHORT."""
+    lists = short.groupBy("posting").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    firsts = lists.select("nodes", F.posexplode("nodes").alias("i", "a"))
+    return firsts.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SHORT))).alias("b"))
 
-def _long_lists(postings: DataFrame) -> DataFrame:
-    """Postings of the lists whose pairs are not all with a hub."""
-    n = postings.groupBy("posting").agg(F.count("*").alias("n")).where(F.col("n") > HUBS + 1)
-    return postings.join(n.select("posting"), "posting")
+
+def _hub_pairs(long: DataFrame) -> DataFrame:
+    """Each list's members with its hubs, the members with the least hash under
+    one of several salts."""
+    hubs = long.groupBy("posting").agg(F.array(*[
+        F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HUBS)]).alias("hubs"))
+    pairs = long.join(hubs, "posting").select("node", F.explode("hubs").alias("hub")).where("node != hub")
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
 def _open_members(postings: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -267,8 +276,10 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
         F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
     postings = staged(prefix_postings(nodes.where("n_shingles > 0"), min_collisions), "prefixes")
     members = nodes.join(postings.select("node").distinct(), "node")
-    pairs = staged(likely(_hub_pairs(postings), staged(members, "members"), min_collisions, similarity), "likely")
-    long = staged(_long_lists(postings), "long-lists")
+    short, long = _by_length(postings)
+    long = staged(long, "long-lists")
+    pairs = _all_pairs(short).union(_hub_pairs(long)).distinct()
+    pairs = staged(likely(pairs, staged(members, "members"), min_collisions, similarity), "likely")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     bodies = staged(_bodies(keyed, nodes.join(asked, "node")), "bodies")
     links = staged(confirmed(pairs, bodies, shingle_words, similarity), "links")
