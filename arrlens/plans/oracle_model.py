@@ -328,6 +328,24 @@ SELECT account_id, account_name, plan_tier, total_usage_duration, {dr('t', 6)} A
 FROM u_feat CROSS JOIN thr WHERE total_usage_duration IS NOT NULL AND {x} >= t""")
 
 
+@oracle("usage_stream")
+def _():
+    return f"""
+WITH u AS (
+  SELECT s.account_id, u.usage_date, u.usage_duration_secs AS d
+  FROM feature_usage u JOIN subscriptions s ON u.subscription_id = s.subscription_id
+  WHERE s.mrr_amount > 0 AND s.end_date IS NULL),
+m AS (SELECT account_id, STRFTIME(usage_date, '%Y-%m') AS month, SUM(d) AS d FROM u GROUP BY 1, 2),
+thr AS (SELECT quantile_cont(CAST(d AS DOUBLE), 0.9) AS v FROM m),
+daily AS (SELECT account_id, usage_date, SUM(d) AS d FROM u GROUP BY 1, 2),
+w AS (SELECT account_id, CAST(usage_date - CAST(k AS INTEGER) AS DATE) AS start_day, d
+      FROM daily CROSS JOIN range(30) AS r(k)),
+s AS (SELECT account_id, start_day, SUM(d) AS d FROM w GROUP BY 1, 2)
+SELECT account_id, MIN(start_day) AS first_window_start, COUNT(*) AS windows_over,
+       {B('MAX(d)')} AS peak_usage_duration, {dr('MAX(v)', 6)} AS threshold
+FROM s, thr WHERE d >= v GROUP BY account_id"""
+
+
 @oracle("usage_decline")
 def _():
     return f"""

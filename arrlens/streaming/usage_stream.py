@@ -1,18 +1,15 @@
 """Live usage trigger: rolling 30-day usage per account against a batch
 percentile threshold.
 
-Percentiles are not incremental, so the threshold comes from a batch job
-(the p-th percentile of monthly usage per account over history) and the
-stream only keeps additive state: sums per (account, sliding window).
-
-Plan: file source of usage rows -> watermark on the usage date -> daily
-usage per subscription (tumbling 1-day windows: the only streaming state, no
-join in the stream) -> ``foreachBatch``, in batch mode: store the updated
-daily totals, map subscriptions to accounts (active paid subscriptions),
-recompute the 30-day windows (one starting on every day) of the touched
-accounts, compare with the threshold and write alerts. Every write goes to the batch's own partition
-``batch_id=N`` with dynamic partition overwrite, so a replayed batch after a
-failure rewrites the same files instead of duplicating them.
+Percentiles are not incremental, so the threshold comes from a batch job (the
+exact p-th percentile of monthly usage per account over history). The stream
+itself keeps no state: history files come in any order, so no watermark could
+tell late rows from early ones. Each micro-batch adds its usage per
+subscription and day to an additive store, one partition ``batch_id=N`` per
+batch, written with dynamic partition overwrite: a replayed batch rewrites its
+own partition instead of counting twice. From the store, the 30-day windows (one
+starting on every day) of the touched accounts are rebuilt, so late rows only
+mean that older windows are rebuilt as well.
 """
 
 from __future__ import annotations
@@ -22,153 +19,99 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exact import dround_col
+from ..functions.quantiles import exact_quantiles
+from ..operators.features import usage_by_account_month
 from ..session import configure, shared_dir
 from ..sources.fixtures import Tables, usage_from_lineitem
 
-
-def monthly_threshold(t: Tables, q: float = 0.9, accuracy: int = 10000) -> DataFrame:
-    """One-row table: the q-th percentile of (account, month) usage duration.
-
-    ``percentile_approx`` keeps a fixed-size sketch per partition, so the
-    global aggregate never holds all account-months in one task.
-    """
-    from ..operators.features import shared_usage_rollup
-    per_sub = (shared_usage_rollup(t).groupBy("subscription_id", "month")
-               .agg(F.sum("usage_duration").alias("d")))
-    subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
-    per_acct = (per_sub.join(subs, "subscription_id").groupBy("account_id", "month")
-                .agg(F.sum("d").alias("d")))
-    return per_acct.agg(F.percentile_approx(F.col("d").cast("double"), q, accuracy)
-                        .alias("threshold"))
-
-
-def subscription_mapping(t: Tables) -> DataFrame:
-    """Active paid subscription -> account (the static side, used in batch)."""
-    return t.active_paid_subscriptions.select("subscription_id", "account_id")
-
-
-def daily_usage(spark: SparkSession, t: Tables, watermark: str = "30 days",
-                max_files_per_trigger: int = 1, source_dir: str | None = None,
-                glob: str = "lineitem.parquet") -> DataFrame:
-    """Streaming frame of usage duration per (subscription, day): the only
-    state the stream keeps (one row per subscription-day inside the
-    watermark). No join runs in the stream: its single stateful aggregation
-    is partially aggregated per task, so a subscription holding a large
-    share of the events collapses before the state shuffle.
-
-    The source is a directory of usage files (by default the driver's
-    lineitem file, mapped to usage rows); new files are picked up as they
-    arrive, ``max_files_per_trigger`` at a time.
-    """
-    schema = t.raw("lineitem").schema
-    stream = (spark.readStream.schema(schema)
-              .option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir or t.sf_dir))
-    usage = usage_from_lineitem(stream).withColumn(
-        "event_ts", F.timestamp_seconds(F.unix_date("usage_date").cast("bigint") * 86400))  # UTC midnight
-    return (usage.withWatermark("event_ts", watermark)
-            .groupBy(F.window("event_ts", "1 day").alias("d"), "subscription_id")
-            .agg(F.sum("usage_duration_secs").alias("day_duration"))
-            .select("subscription_id",
-                    (F.unix_seconds(F.col("d.start")) / 86400).cast("int").alias("day"),
-                    "day_duration"))
-
-
-def to_accounts(per_sub_day: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(subscription, day) totals -> (account, day) totals, in batch mode:
-    the join sees one row per subscription-day (already aggregated) and
-    AQE handles skewed accounts."""
-    return (per_sub_day.join(mapping, "subscription_id")
-            .groupBy("account_id", "day").agg(F.sum("day_duration").alias("day_duration")))
-
-
-def rolling_windows(updated: DataFrame, daily: DataFrame, days: int = 30) -> DataFrame:
-    """Usage sums of the ``days``-day windows (one starting on every day) of
-    the accounts updated in this batch, from the latest daily totals.
-
-    Per touched account only windows starting on or after its earliest
-    updated day minus ``days - 1`` are rebuilt, from the daily totals on or
-    after that day, so every emitted window is complete; windows that did
-    not change are re-emitted with their unchanged sum (readers keep the
-    latest). Each daily total feeds the ``days`` windows that contain it,
-    partially aggregated per (account, window start).
-    """
-    lo = updated.groupBy("account_id").agg((F.min("day") - (days - 1)).alias("lo"))
-    contrib = (daily.join(lo, "account_id").where(F.col("day") >= F.col("lo"))
-               .select("account_id", "lo", "day_duration",
-                       F.explode(F.sequence(F.col("day") - (days - 1), F.col("day"))).alias("start"))
-               .where(F.col("start") >= F.col("lo")))
-    return contrib.groupBy("account_id", "start").agg(F.sum("day_duration").alias("usage_duration"))
-
-
-def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
-                      q: float = 0.9, available_now: bool = True) -> str:
-    """Run the trigger job; returns the alert table path.
-
-    The stream maintains daily totals per subscription; each micro-batch
-    stores its updated totals (partition ``batch_id=N``), maps them to
-    accounts, recomputes the 30-day windows of the touched accounts from the
-    stored totals (latest value per subscription-day), and writes the
-    windows at or above the threshold. Both
-    writes overwrite their own batch partition, so a replayed batch is
-    idempotent. With ``available_now`` the query processes what is there
-    and stops; otherwise it keeps running on new files.
-    """
+WINDOW_DAYS = 30
+
+
+def monthly_threshold(t: Tables, q: float = 0.9) -> DataFrame:
+    """One-row table: the exact q-th percentile (interpolated) of usage
+    duration per account and month."""
+    monthly = usage_by_account_month(t.feature_usage, t.active_paid_subscriptions)
+    return exact_quantiles(monthly, "duration", [q]).select(F.col("value").alias("threshold"))
+
+
+def usage_source(t: Tables, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming usage rows from the table's files: a directory of part files,
+    to which new ones may be added, or a single file."""
+    path = f"{t.sf_dir}/lineitem.parquet"
+    batch = t.spark.read.parquet(path)
+    files = batch.inputFiles()
+    reader = t.spark.readStream.schema(batch.schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if len(files) == 1 and files[0].rstrip("/").endswith("/lineitem.parquet"):
+        return usage_from_lineitem(reader.option("pathGlobFilter", "lineitem.parquet").parquet(t.sf_dir))
+    return usage_from_lineitem(reader.parquet(path))
+
+
+def daily_totals(usage: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(account_id, day, duration): rows are summed per subscription and day
+    before the join, so a hot subscription collapses in the tasks."""
+    per_sub = (usage.groupBy("subscription_id", F.unix_date("usage_date").alias("day"))
+               .agg(F.sum("usage_duration_secs").alias("duration")))
+    return (per_sub.join(mapping, "subscription_id")
+            .groupBy("account_id", "day").agg(F.sum("duration").alias("duration")))
+
+
+def rolling_windows(updated: DataFrame, stored: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """(account_id, start, duration) of the windows that hold an updated day,
+    from all stored totals of the days that such windows can reach."""
+    span = updated.groupBy("account_id").agg((F.min("day") - (days - 1)).alias("lo"), F.max("day").alias("hi"))
+    daily = (stored.join(span, "account_id")
+             .where(F.col("day").between(F.col("lo"), F.col("hi") + (days - 1)))
+             .groupBy("account_id", "lo", "hi", "day").agg(F.sum("duration").alias("duration")))
+    starts = F.sequence(F.greatest("lo", F.col("day") - (days - 1)), F.least("hi", F.col("day")))
+    return (daily.where(F.greatest("lo", F.col("day") - (days - 1)) <= F.least("hi", F.col("day")))
+            .select("account_id", "duration", F.explode(starts).alias("start"))
+            .groupBy("account_id", "start").agg(F.sum("duration").alias("duration")))
+
+
+def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = None, q: float = 0.9,
+                      available_now: bool = True, max_files_per_trigger: int | None = None) -> str:
+    """Run the trigger job; returns the window table's path: the rebuilt windows
+    of each batch in its own partition, the latest batch holding a window's
+    valid sum. With ``available_now`` the query processes what is there and
+    stops; otherwise it keeps running on new files."""
     configure(spark)
     t = Tables(spark, sf_dir)
     run_id = uuid.uuid4().hex[:12]
-    out_dir = out_dir or shared_dir(spark, "usage_trigger", run_id, "alerts")
-    daily_dir = shared_dir(spark, "usage_trigger", run_id, "daily")
-    ckpt = shared_dir(spark, "usage_trigger", run_id, "stream")
-    # One number, computed once by a batch job before the stream starts.
-    threshold = F.lit(monthly_threshold(t, q).first()["threshold"]).cast("double")
-
-    mapping = subscription_mapping(t)
+    out_dir = out_dir or shared_dir(spark, "usage_trigger", run_id, "windows")
+    store = shared_dir(spark, "usage_trigger", run_id, "daily")
+    mapping = t.active_paid_subscriptions.select("subscription_id", "account_id")
+    schema = "account_id bigint, day int, duration bigint, batch_id bigint"
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(daily_dir))
-        stored = batch.sparkSession.read.parquet(daily_dir)
-        latest = (stored.groupBy("subscription_id", "day")
-                  .agg(F.max_by("day_duration", "batch_id").alias("day_duration")))
-        updated = to_accounts(batch, mapping).select("account_id", "day")
-        daily = to_accounts(latest, mapping)
-        alerts = (rolling_windows(updated, daily).where(F.col("usage_duration") >= threshold)
-                  .select("account_id",
-                          F.timestamp_seconds(F.col("start").cast("bigint") * 86400).alias("window_start"),
-                          F.timestamp_seconds((F.col("start") + 30).cast("bigint") * 86400).alias("window_end"),
-                          "usage_duration", threshold.alias("threshold"),
-                          F.lit(batch_id).alias("batch_id")))
-        (alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_dir))
-
-    writer = (daily_usage(spark, t).writeStream.outputMode("update")
-              .option("checkpointLocation", ckpt).foreachBatch(emit))
-    writer = writer.trigger(availableNow=True) if available_now else \
-        writer.trigger(processingTime="1 minute")
+        session = batch.sparkSession
+        (daily_totals(batch, mapping).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store))
+        stored = session.read.schema(schema).parquet(store).where(F.col("batch_id") <= batch_id)
+        windows = rolling_windows(stored.where(F.col("batch_id") == batch_id), stored)
+        (windows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
+
+    writer = (usage_source(t, max_files_per_trigger).writeStream
+              .option("checkpointLocation", shared_dir(spark, "usage_trigger", run_id, "stream")).foreachBatch(emit))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     query = writer.start()
     if available_now:
         query.awaitTermination()
     return out_dir
 
 
-def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts that crossed the threshold in a completed available-now run:
-    first crossing window, number of windows over it, peak 30-day usage."""
-    path = run_usage_trigger(spark, sf_dir)
-    try:
-        alerts = spark.read.parquet(path)
-    except Exception:  # no batch produced an alert: empty result
-        return spark.createDataFrame([], "account_id bigint, first_window_start timestamp, "
-                                         "windows_over bigint, peak_usage_duration bigint, "
-                                         "threshold double")
-    # update mode can re-emit a window in a later batch; keep its last value
-    latest = (alerts.groupBy("account_id", "window_start")
-              .agg(F.max_by("usage_duration", "batch_id").alias("usage_duration"),
-                   F.max("threshold").alias("threshold")))
-    return (latest.groupBy("account_id")
-            .agg(F.min("window_start").alias("first_window_start"),
-                 F.count(F.lit(1)).alias("windows_over"),
-                 F.max("usage_duration").alias("peak_usage_duration"),
-                 F.max("threshold").alias("threshold")))
+def usage_stream(spark: SparkSession, sf_dir: str, q: float = 0.9, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Accounts whose usage of some 30 days reached the threshold, after a
+    completed available-now run: start of the first such window, number of
+    them, peak usage."""
+    path = run_usage_trigger(spark, sf_dir, q=q, max_files_per_trigger=max_files_per_trigger)
+    threshold = monthly_threshold(Tables(spark, sf_dir), q).scalar()
+    windows = spark.read.schema("account_id bigint, start int, duration bigint, batch_id bigint").parquet(path)
+    latest = windows.groupBy("account_id", "start").agg(F.max_by("duration", "batch_id").alias("duration"))
+    return (latest.where(F.col("duration") >= threshold).groupBy("account_id")
+            .agg(F.date_from_unix_date(F.min("start")).alias("first_window_start"),
+                 F.count(F.lit(1)).alias("windows_over"), F.max("duration").alias("peak_usage_duration"))
+            .withColumn("threshold", dround_col(threshold, 6)))
