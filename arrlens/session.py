@@ -106,6 +106,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have a written intermediate table removed when the driver ends."""
+    sc = _context(spark)
+    if sc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df, name: str | None = None):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back.
@@ -119,4 +127,5 @@ def materialize(df, name: str | None = None):
     spark = df.sparkSession
     path = shared_dir(spark, "arrlens-tables", f"{name or 'table'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

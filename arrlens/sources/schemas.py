@@ -71,15 +71,6 @@ SCHEMAS = {
     "churn_events": CHURN_EVENTS,
 }
 
-# Date and timestamp columns parsed at ingestion (raw CSV holds them as text).
-DATE_COLUMNS = {
-    "accounts": ["signup_date"],
-    "subscriptions": ["start_date", "end_date"],
-    "feature_usage": ["usage_date"],
-    "churn_events": ["churn_date"],
-}
-TIMESTAMP_COLUMNS = {"support": ["submitted_at", "closed_at"]}
-
 # Fixed values of the analysis.
 # Plan ladder, lowest first; Enterprise has no higher tier.
 TIER_ORDER = ["Basic", "Pro", "Enterprise"]
