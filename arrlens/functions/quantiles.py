@@ -2,17 +2,17 @@
 
 Spark's ``percentile``/``median`` aggregates are exact but merge a map of all
 distinct values in a single final task for each group; ``percentile_approx``
-is bounded but approximate. ``exact_quantiles`` checks the distinct count
-first (like a broadcast threshold): a bounded number of distinct values goes
-to Spark's exact aggregate, anything larger to the range-partitioned
-pipeline, which computes exact order statistics with bounded per-task state:
+is bounded but approximate. ``exact_quantiles`` has one path for all sizes and
+takes no action on the driver:
 
 1. count rows per distinct value (partial aggregation; a value held by a
    third of the rows is one row with a large count);
-2. range-partition the distinct values and take running counts inside each
-   range partition (a window over one partition's distinct values);
-3. turn per-partition totals into offsets (a window over at most P rows per
-   group) and join them back (P x groups rows, broadcast by size);
+2. put every value into a bucket that only the value decides (its sign and
+   logarithm, in steps of 2^(1/1024)), which keeps the values' order, and take
+   running counts inside each bucket;
+3. turn per-bucket totals into offsets (a window over a group's buckets) and
+   join them back. As a bucket depends on nothing but the value, both sides
+   agree however often Spark evaluates them;
 4. keep the (at most two) values whose cumulative-count interval covers the
    target ranks floor(pos) and ceil(pos), pos = q * (n - 1), and interpolate
    linearly: lo + (pos - floor(pos)) * (hi - lo). ``median`` mode returns
@@ -27,52 +27,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-IN_TASK_DISTINCT_LIMIT = 1_000_000
+STEPS = 1024            # buckets per power of two
+ORIGIN = 1100 * STEPS   # above every double's exponent
+
+
+def _bucket(x: Column) -> Column:
+    """A whole number that never falls as ``x`` rises."""
+    size = F.floor(F.log2(F.abs(x)) * STEPS) + ORIGIN
+    return F.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
-                    by: Sequence[str] = (), partitions: int | None = None,
-                    median: bool = False, in_task_limit: int | None = None) -> DataFrame:
-    """Rows (*by, q, value) for each group of ``by`` and each q in ``qs``.
-
-    Size-checked strategy: one approximate distinct count per group decides.
-    Up to ``in_task_limit`` distinct values per group (conf
-    ``arrlens.quantiles.inTaskDistinctLimit``, default 10^6) Spark's exact
-    percentile aggregate is used: its final state is a value->count map of
-    that bounded size. Beyond it the range-partitioned pipeline below runs,
-    whose per-task state does not grow with the group.
-    """
+                    by: Sequence[str] = (), median: bool = False) -> DataFrame:
+    """Rows (*by, q, value) for each group of ``by`` and each q in ``qs``."""
     by = list(by)
     x = (F.col(col) if isinstance(col, str) else col).cast("double")
     base = df.select(*by, x.alias("x")).where(F.col("x").isNotNull())
-    spark = df.sparkSession
-    limit = in_task_limit if in_task_limit is not None else int(
-        spark.conf.get("arrlens.quantiles.inTaskDistinctLimit", str(IN_TASK_DISTINCT_LIMIT)))
-    if limit > 0:
-        nd = (base.groupBy(*by).agg(F.approx_count_distinct("x", 0.02).alias("nd"))
-              .agg(F.max("nd")).first()[0]) or 0
-        if nd <= limit:
-            return _in_task(base, qs, by, median)
-    return _ranged(base, qs, by, partitions, median)
-
-
-def _in_task(base: DataFrame, qs: Sequence[float], by: list[str], median: bool) -> DataFrame:
-    if median:
-        lo = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY x)")
-        hi = -F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -x)")
-        return (base.groupBy(*by).agg(((lo + hi) / 2).alias("value"))
-                .select(*by, F.lit(0.5).alias("q"), "value"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    res = base.groupBy(*by).agg(F.percentile("x", qarr).alias("v"))
-    return res.select(*by, F.inline(F.arrays_zip(qarr.alias("q"), F.col("v").alias("value"))))
-
-
-def _ranged(base: DataFrame, qs: Sequence[float], by: list[str], partitions: int | None,
-            median: bool) -> DataFrame:
-    counted = base.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
-    spark = base.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counted.repartitionByRange(p, *by, "x").withColumn("pid", F.spark_partition_id())
+    ranged = (base.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
+              .withColumn("pid", _bucket(F.col("x"))))
 
     local = ranged.withColumn("cum_local", F.sum("c").over(
         Window.partitionBy("pid", *by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
