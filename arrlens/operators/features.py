@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantile_col, exact_quantiles
+from ..functions.quantiles import exact_quantiles
 from ..sources.fixtures import Tables
 
 SUB_COLS = ["total_mrr", "avg_mrr", "max_mrr", "total_seats", "avg_seats", "n_subscriptions",
@@ -100,68 +100,45 @@ def subscription_signals(active_paid: DataFrame) -> DataFrame:
         F.bool_or("auto_renew_flag").alias("auto_renew"))
 
 
-def usage_rollup(usage: DataFrame) -> DataFrame:
-    """Usage per (subscription, feature, month): the compact fact table every
-    usage consumer reads (feature table, SQL summaries, monthly trends).
+def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Usage of the given subscriptions per (account, feature).
 
-    Map-side combined, so a subscription holding a large share of the events
-    collapses to one row per feature and month in each task.
+    Usage rows are near unique per (subscription, feature, month), so nothing
+    is gained by summing them before the join: the needed columns join the
+    wanted subscriptions at once (one exchange of the usage rows, split by AQE
+    where a subscription is hot), and the sums are combined in the tasks. Per
+    (account, feature) the distinct-feature count becomes a plain count.
     """
-    return usage.groupBy("subscription_id", "feature_name",
-                         F.date_format("usage_date", "yyyy-MM").alias("month")).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.sum("usage_count").alias("usage_count"),
-        F.sum("usage_duration_secs").alias("usage_duration"),
-        F.sum("error_count").alias("errors"),
-        F.count_if("is_beta_feature").alias("beta"))
-
-
-_ROLLUPS: dict = {}
-
+    subs = subscriptions.select("subscription_id", "account_id")
+    return (usage.select("subscription_id", "feature_name", "usage_count", "usage_duration_secs",
+                         "error_count", "is_beta_feature")
+            .join(subs, "subscription_id")
+            .groupBy("account_id", "feature_name")
+            .agg(F.count("usage_count").alias("n_counted"), F.sum("usage_count").alias("usage_count"),
+                 F.sum("usage_duration_secs").alias("usage_duration"),
+                 F.sum("error_count").alias("errors"), F.count_if("is_beta_feature").alias("beta")))
 
-def shared_usage_rollup(t: Tables) -> DataFrame:
-    """The session's materialised usage rollup for these source tables.
 
-    Written once under the checkpoint folder and read by every report (the
-    usage table is the largest input, so it is scanned once per session).
-    Sources are treated as an immutable snapshot; given frames are rolled up
-    lazily instead.
-    """
-    if not t.sf_dir:
-        return usage_rollup(t.feature_usage)
-    from ..session import session_key
-    key = (session_key(t.spark), t.sf_dir)
-    if key not in _ROLLUPS:
-        from ..session import materialize
-        _ROLLUPS[key] = materialize(usage_rollup(t.feature_usage), "usage_rollup")
-    return _ROLLUPS[key]
-
-
-def usage_by_account_feature(rollup: DataFrame, active_paid: DataFrame) -> DataFrame:
-    """Usage rolled up to (account, feature), joined through active paid subs.
-
-    The rollup is already reduced to (subscription, feature, month) rows, so
-    the join sees the compact side; the result is summed per (account,
-    feature), which makes the distinct-feature count a plain count.
-    """
-    subs = active_paid.select("subscription_id", "account_id")
-    return (rollup.join(subs, "subscription_id")
-            .groupBy("account_id", "feature_name")
-            .agg(*[F.sum(c).alias(c) for c in
-                   ["n_events", "usage_count", "usage_duration", "errors", "beta"]]))
+def usage_by_account_month(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(account_id, month, duration) of the given subscriptions' usage."""
+    subs = subscriptions.select("subscription_id", "account_id")
+    return (usage.select("subscription_id", F.date_format("usage_date", "yyyy-MM").alias("month"),
+                         "usage_duration_secs")
+            .join(subs, "subscription_id").groupBy("account_id", "month")
+            .agg(F.sum("usage_duration_secs").alias("duration")))
 
 
 def usage_signals(per_feature: DataFrame) -> DataFrame:
     """Per-account usage aggregates from the (account, feature) roll-up."""
     return (per_feature.groupBy("account_id").agg(
         F.sum("usage_count").alias("total_usage_count"),
-        F.sum("n_events").alias("_events"),
+        F.sum("n_counted").alias("_counted"),
         F.sum("usage_duration").alias("total_usage_duration"),
         F.count("feature_name").alias("unique_features_used"),
         F.sum("errors").alias("total_errors"),
         F.sum("beta").alias("beta_feature_usage"))
-        .withColumn("avg_usage_count", F.col("total_usage_count") / F.col("_events"))
-        .drop("_events"))
+        .withColumn("avg_usage_count", F.try_divide(F.col("total_usage_count"), F.col("_counted")))
+        .drop("_counted"))
 
 
 def support_signals(support: DataFrame) -> DataFrame:
@@ -173,25 +150,8 @@ def support_signals(support: DataFrame) -> DataFrame:
         F.count_if(F.col("priority") == "urgent").alias("n_urgent"))
 
 
-def median_col(df: DataFrame, c: str) -> Column:
-    """Median of ``c`` over ``df`` as a scalar subquery (evaluated once).
-
-    Exact and interpolated like pandas (mean of the two middle values),
-    computed by ``exact_quantiles`` with bounded per-task state. Setting
-    ``arrlens.median.approx=true`` switches to a fixed-size sketch
-    (``percentile_approx``) when a cheaper, approximate fill is acceptable.
-    """
-    spark = df.sparkSession
-    if (spark.conf.get("arrlens.median.approx", "false") or "false").lower() == "true":
-        return df.select(F.percentile_approx(F.col(c), 0.5, 100000).cast("double")).scalar()
-    return exact_quantile_col(df, c, 0.5, median=True)
-
-
 def medians(df: DataFrame, cols: list[str]) -> dict[str, Column]:
     """Medians of several columns from one quantile pipeline (unpivoted)."""
-    spark = df.sparkSession
-    if (spark.conf.get("arrlens.median.approx", "false") or "false").lower() == "true":
-        return {c: median_col(df, c) for c in cols}
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"),
                                                  F.col(c).cast("double").alias("v"))
                                         for c in cols])))
@@ -204,8 +164,7 @@ def raw_features(t: Tables, population: DataFrame | None = None,
                  snap: Snapshot = Snapshot()) -> DataFrame:
     """Accounts (or ``population``) left-joined to the three signal tables."""
     active_paid = _restrict(_active_paid(t, snap), population)
-    rollup = shared_usage_rollup(t) if snap.current else usage_rollup(_usage(t, snap))
-    usage = usage_by_account_feature(rollup, active_paid)
+    usage = usage_by_account_feature(_usage(t, snap), active_paid)
     base = population if population is not None else t.accounts
     return (base.select(*ACCOUNT_COLS)
             .join(subscription_signals(active_paid), "account_id", "left")
@@ -253,7 +212,3 @@ def universe_features(t: Tables, snap: Snapshot = Snapshot(), materialize: bool
     raw = raw_features(t, expansion_universe(t), snap)
     return fill_features(_maybe_materialize(raw, materialize))
 
-
-def clear_shared_rollups() -> None:
-    """Forget the session's materialised usage rollups (sources changed)."""
-    _ROLLUPS.clear()

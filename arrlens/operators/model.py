@@ -10,6 +10,7 @@ raw account rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -48,28 +49,21 @@ SPLIT_CUTOFF = "33333333"
 
 
 def dummy_name(cat: str, value: str) -> str:
-    return f"{cat}_{re.sub(r'[^0-9A-Za-z]+', '_', value)}"
+    """Column name of a category; a value that is more than letters, digits
+    and single blanks also gets digits of its md5, so that no two values
+    of a column share a name."""
+    name = f"{cat}_{re.sub(r'[^0-9A-Za-z]+', '_', value)}"
+    plain = re.fullmatch(r"[0-9A-Za-z]+( [0-9A-Za-z]+)*", value)
+    return name if plain else f"{name}_{hashlib.md5(value.encode()).hexdigest()[:12]}"
 
 
-MAX_VOCABULARY = 1000
-
-
-def vocabularies(features: DataFrame, cats=CAT_FEATURES,
-                 max_values: int = MAX_VOCABULARY) -> dict[str, list[str]]:
-    """Sorted distinct values of each categorical column.
-
-    The one collect of the model whose size depends on the data: it fetches
-    at most ``max_values + 1`` rows (a distributed distinct first) and fails
-    clearly beyond that, since a one-hot encoding that wide is not a model
-    input this analysis intends.
-    """
+def vocabularies(features: DataFrame, cats=CAT_FEATURES) -> dict[str, list[str]]:
+    """Sorted distinct values of each categorical column (a distributed
+    distinct first; the model has one coefficient for each of them)."""
     long = (features.select(*cats).unpivot([], list(cats), "cat", "value")
             .where(F.col("value").isNotNull()).distinct())
-    rows = long.limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} categorical values in {list(cats)}")
     vocab: dict[str, list[str]] = {c: [] for c in cats}
-    for r in rows:
+    for r in long.collect():
         vocab[r["cat"]].append(r["value"])
     return {c: sorted(v) for c, v in vocab.items()}
 

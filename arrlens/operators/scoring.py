@@ -129,8 +129,8 @@ class ScoringRun:
         return self.test.select(
             "account_id", M.LABEL,
             dround_col(logit, 6).alias("logit"),
-            dround_col(p, 6).alias("probability")).withColumn(
-            "predicted", (F.col("probability") > 0.5).cast("int"))
+            dround_col(p, 6).alias("probability"),
+            (p > 0.5).cast("int").alias("predicted"))
 
     def auc(self) -> DataFrame:
         return M.auc(self.test_scores())

@@ -137,18 +137,10 @@ def usage_p90_trigger(features: DataFrame, col: str = "total_usage_duration",
 
 def usage_decline(t: Tables) -> DataFrame:
     """Accounts whose latest month of usage duration fell below the previous
-    month with usage (downgrade early warning).
-
-    Usage comes from the session's usage rollup, summed per (subscription,
-    month) before the join and per (account, month) after it; the lag window
-    is partitioned by account over at most one row per month.
-    """
-    from .features import shared_usage_rollup
-    per_sub = (shared_usage_rollup(t).groupBy("subscription_id", "month")
-               .agg(F.sum("usage_duration").alias("duration")))
-    subs = t.active_paid_subscriptions.select("subscription_id", "account_id")
-    monthly = (per_sub.join(subs, "subscription_id").groupBy("account_id", "month")
-               .agg(F.sum("duration").alias("duration")))
+    month with usage (downgrade early warning). The lag window is partitioned
+    by account over at most one row per month."""
+    from .features import usage_by_account_month
+    monthly = usage_by_account_month(t.feature_usage, t.active_paid_subscriptions)
     w = Window.partitionBy("account_id").orderBy("month")
     marked = (monthly.withColumn("prev_month", F.lag("month").over(w))
               .withColumn("prev_duration", F.lag("duration").over(w))

@@ -67,7 +67,8 @@ def tier_summary(run: ScoringRun) -> DataFrame:
                  F.sum("potential_mrr_uplift").alias("total_mrr_uplift"),
                  F.sum("potential_arr_uplift").alias("total_arr_uplift"))
             .select("outreach_priority", "accounts", dround("_a", 1).alias("avg_score"),
-                    "total_mrr_uplift", "total_arr_uplift"))
+                    "total_mrr_uplift", "total_arr_uplift")
+            .orderBy(F.desc("avg_score")))
 
 
 def top_targets(run: ScoringRun, k: int = 20) -> DataFrame:
@@ -108,7 +109,8 @@ def arr_by_plan(run: ScoringRun) -> DataFrame:
 
 
 def target_list(run: ScoringRun) -> DataFrame:
-    return with_uplift(run).select(*TARGET_LIST_COLS)
+    return (with_uplift(run).select(*TARGET_LIST_COLS)
+            .orderBy(F.desc("expansion_readiness_score"), "account_id"))
 
 
 # --------------------------------------------------------------------------

@@ -66,6 +66,8 @@ def queries() -> dict[str, QueryFn]:
     return out
 
 
+from pyspark.sql import functions as _F  # noqa: E402
+
 # features, signals, model, scoring, targets ------------------------------------
 from ..operators import features as _feat  # noqa: E402
 from ..operators import model as _model  # noqa: E402
@@ -77,7 +79,7 @@ from ..operators.scoring import ScoringRun  # noqa: E402
 register("features_subscription",
          lambda t: _feat.subscription_signals(t.active_paid_subscriptions))
 register("features_usage", lambda t: _feat.usage_signals(
-    _feat.usage_by_account_feature(_feat.shared_usage_rollup(t), t.active_paid_subscriptions)))
+    _feat.usage_by_account_feature(t.feature_usage, t.active_paid_subscriptions)))
 register("features_support", lambda t: _feat.support_signals(t.support))
 register("account_features", lambda t: ScoringRun.shared(t).features)
 register("null_audit", lambda t: profile.null_audit(ScoringRun.shared(t).features))
@@ -143,7 +145,8 @@ register("top_reasons", lambda t: ScoringRun.shared(t).top_reasons())
 register("score_distribution", lambda t: ScoringRun.shared(t).score_distribution())
 register("top_scored", lambda t: ScoringRun.shared(t).top_scored(10))
 register("score_histogram", lambda t: ScoringRun.shared(t).score_histogram())
-register("scored_accounts", lambda t: ScoringRun.shared(t).scored_accounts)
+register("scored_accounts", lambda t: ScoringRun.shared(t).scored_accounts.orderBy(
+    _F.desc("expansion_readiness_score"), "account_id"))
 
 # target list ----------------------------------------------------------------------
 register("score_by_plan", lambda t: _tg.score_by_plan(ScoringRun.shared(t)))
