@@ -1,11 +1,9 @@
 """The large-cluster code paths give the same results: no broadcast joins
-(sort-merge everywhere), more shuffle partitions, range-partitioned exact
-quantiles instead of the in-task percentile aggregate."""
+(sort-merge everywhere), more shuffle partitions, no exchange reused."""
 
 import pytest
 
 import __spark_entry__ as entry
-from arrlens.operators.features import clear_shared_rollups
 from arrlens.operators.scoring import ScoringRun
 from oracle_harness import compare, duck
 
@@ -13,7 +11,7 @@ SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.shuffle.partitions": "11",
-    "arrlens.quantiles.inTaskDistinctLimit": "0",
+    "spark.sql.exchange.reuse": "false",
 }
 KEYS = ["account_features", "box_stats", "upgrade_by_usage_quartile", "usage_p90_trigger",
         "sql_account_summary", "sql_upgrade_by_segment", "scored_accounts", "tier_transitions",
@@ -26,7 +24,6 @@ def cluster_like(spark):
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     ScoringRun.clear_shared()
-    clear_shared_rollups()
     yield spark
     for k, v in old.items():
         if v is None:
@@ -34,7 +31,6 @@ def cluster_like(spark):
         else:
             spark.conf.set(k, v)
     ScoringRun.clear_shared()
-    clear_shared_rollups()
 
 
 @pytest.mark.parametrize("key", KEYS)

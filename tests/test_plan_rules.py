@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from arrlens.plans import registry
 
 SKIP = {"lr_fit", "lr_coefficients", "lr_scored_accounts", "usage_stream"}
 
@@ -60,7 +61,7 @@ def test_detector_on_known_shapes():
     assert unpartitioned_windows_over_raw_rows(raw) and not unpartitioned_windows_over_raw_rows(agg)
 
 
-@pytest.mark.parametrize("key", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("key", sorted(set(registry.queries()) - SKIP))
 def test_unpartitioned_windows_sit_on_aggregates(spark, sf_dir, key):
     df = entry.queries()[key](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -226,9 +226,73 @@ def test_readers_roundtrip_csv(spark, tmp_path):
     out = str(tmp_path / "subs")
     readers.write_table(t.subscriptions, out, fmt="csv")
     back = readers.read_csv_table(spark, "subscriptions", out)
-    assert back.schema == t.subscriptions.schema.__class__(back.schema.fields)
-    assert back.count() == t.subscriptions.count()
-    assert back.exceptAll(t.subscriptions).count() == 0
+    assert back.schema == readers.csv_schema("subscriptions")
+    want = t.subscriptions.select(*[t.subscriptions[f.name].cast(f.dataType) for f in back.schema.fields])
+    assert back.count() == want.count() and back.exceptAll(want).count() == 0
+
+
+def test_csv_by_header_name(spark, tmp_path):
+    from arrlens.sources import readers
+    accounts = tmp_path / "accounts.csv"
+    accounts.write_text("account_id,account_name,industry,country,signup_date,referral_source,plan_tier,extra,is_trial,churn_flag\n"
+                        "A-2e4581,Company 0,EdTech,US,2024-10-16,partner,Basic,7,False,True\n"
+                        "A-43a9e3,Company 1,,IN,not a date,event,Pro,8,True,False\n")
+    rows = readers.read_csv_table(spark, "accounts", str(accounts)).orderBy("account_id").collect()
+    assert [r.account_id for r in rows] == ["A-2e4581", "A-43a9e3"]
+    assert rows[0].referral_source == "partner" and str(rows[0].signup_date) == "2024-10-16"
+    assert rows[0].plan_tier == "Basic" and rows[0].churn_flag is True and rows[1].signup_date is None
+    bad = {r.column: r.cells for r in readers.corrupt_cells(spark, "accounts", str(accounts)).collect()}
+    assert bad.pop("signup_date") == 1 and set(bad.values()) == {0}
+    tickets = tmp_path / "support.csv"
+    tickets.write_text("ticket_id,account_id,submitted_at,closed_at,resolution_time_hours,priority,satisfaction_score,escalation_flag\n"
+                       "T-1,A-2e4581,2024-01-02 03:04:05,2024-01-02 15:34:05,12.5,high,,False\n")
+    row = readers.read_csv_table(spark, "support", str(tickets)).first()
+    assert row.resolution_time_hours == 12.5 and row.satisfaction_score is None and row.submitted_at.hour == 3
+    with pytest.raises(ValueError, match="churn_date"):
+        readers.read_csv_table(spark, "churn_events", str(accounts))
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_quantiles_are_exact(spark, reuse, adaptive):
+    import numpy as np
+    from arrlens.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(0, 1e4, 3000), "b": np.r_[np.zeros(500), -rng.exponential(1e-6, 300), rng.integers(0, 5, 700)],
+            "c": np.array([7.25])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in data.items() for x in v] + [("a", None)], "g string, x double")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = {(r.g, r.q): r.value for r in exact_quantiles(df.repartition(7), "x", [0.0, 0.25, 0.5, 0.9, 1.0], ["g"]).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 15
+    for (g, q), v in got.items():
+        assert v == pytest.approx(np.quantile(data[g], q), rel=1e-12, abs=1e-18)
+
+
+def test_mean_usage_leaves_nulls_out(spark):
+    from arrlens.operators import features
+    usage = spark.createDataFrame([(1, "f", 10, 5, 0, False), (1, "f", None, 5, 0, False), (2, "g", None, 1, 0, True)],
+                                  "subscription_id long, feature_name string, usage_count long, usage_duration_secs long, "
+                                  "error_count long, is_beta_feature boolean")
+    subs = spark.createDataFrame([(1, 1), (2, 2)], "subscription_id long, account_id long")
+    got = {r.account_id: r.avg_usage_count for r in
+           features.usage_signals(features.usage_by_account_feature(usage, subs)).collect()}
+    assert got == {1: 10.0, 2: None}
+
+
+def test_outputs_are_ordered(spark, sf_dir):
+    import __spark_entry__ as entry
+    for key in ("scored_accounts", "target_list"):
+        scores = [r.expansion_readiness_score for r in entry.queries()[key](spark, sf_dir).collect()]
+        assert scores == sorted(scores, reverse=True)
+    mrr = [r.total_mrr for r in entry.queries()["sql_account_summary"](spark, sf_dir).collect()]
+    filled = [m for m in mrr if m is not None]
+    assert mrr == sorted(filled, reverse=True) + [None] * (len(mrr) - len(filled))
 
 
 # -- more edge frames ---------------------------------------------------------------
@@ -280,9 +344,10 @@ def test_auc_matches_spark_ml_evaluator(spark, sf_dir):
     assert abs(ev.evaluate(scores) - run.auc().first().auc) < 1e-6
 
 
-def test_vocabulary_is_bounded(spark):
-    df = spark.createDataFrame([(str(i), "A", None) for i in range(12)],
-                               "plan_tier string, industry string, referral_source string")
-    assert M.vocabularies(df)["industry"] == ["A"]
-    with pytest.raises(ValueError):
-        M.vocabularies(df, max_values=10)
+def test_vocabulary_is_whole_and_names_differ(spark):
+    values = [f"v{i}" for i in range(5000)] + ["A B", "A-B", "A_B", "A  B"]
+    df = spark.createDataFrame([(v, "x", None) for v in values], "industry string, plan_tier string, referral_source string")
+    vocab = M.vocabularies(df, ["industry", "plan_tier", "referral_source"])
+    assert sorted(values) == vocab["industry"] and vocab["plan_tier"] == ["x"] and vocab["referral_source"] == []
+    assert len({M.dummy_name("industry", v) for v in values}) == len(values)
+
