@@ -11,10 +11,12 @@ bins of all blocks are dissolved and packed again, in fewer and fewer blocks.
 from __future__ import annotations
 
 import bisect
+import functools
 import random
+import re
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,11 +30,51 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
-CACHE_WORDS = 400_000
+CACHE_CHUNKS = 700_000
+# a word and its closing marks, which the pre-tokenizer parts (an apostrophe may be of a contraction)
+_MARKED = re.compile(r"(\n?)([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 # white space that does not simply separate two words of one line or two lines
 _ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the
+    others for the characters from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Chunks(dict):
+    """Ids of chunks, each with the space that stands before it (a chunk that
+    starts with a newline has none). Words with closing marks are put together
+    from the word's and the marks' ids; a word alone is one piece of the
+    pre-tokenizer, so the merges are asked at once."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        self.marks = functools.lru_cache(maxsize=10_000)(self.encode)
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, text: str) -> bytes:
+        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        m = _MARKED.fullmatch(chunk)
+        if not m:
+            ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
+        elif m[3]:
+            ids = self[m[1] + m[2]] + self.marks(m[3])
+        else:
+            ids = self.marks("\n") + self.word(m[2]) if m[1] else self.word(" " + m[2])
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes. The byte-level
     BPE splits text before every single space and around every single newline,
@@ -44,34 +86,33 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.chunks.encode(text)
 
-    def _split(self, text: str) -> list[str] | None:
+    def _is_plain(self, text: str) -> bool:
         if any(x in text for x in _ODD) or any(x in text for x in self.special):
-            return None
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return None
-        parts = text.replace("\n", " \n").split(" ")
-        # a chunk is kept with what stands before it: a space, a newline or nothing
-        parts[1:] = [p if p[:1] == "\n" else " " + p for p in parts[1:]]
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_WORDS:
+            return False
+        return True
+
+    def encode(self, text: str) -> bytes:
+        if not text or not self._is_plain(text):
+            return self.whole(text)
+        if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-        split = [self._split(t) if t else [] for t in texts]
-        new = list(set().union(*(p for p in split if p)) - self.chunks.keys())
-        for i in range(0, len(new), 5000):
-            part = new[i:i + 5000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.chunks[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.chunks.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
@@ -86,14 +127,14 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
 
 def _tokenise(path: str, capacity: int):
     def tokenise(batches):
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist())):
-                    for k, (start, piece) in enumerate(cut(ids + end, capacity)):
+                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+                    for k, (start, piece) in enumerate(cut(encoder.encode(text) + end, capacity)):
                         rows.append((doc_id, k, start, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], t) for i, t in

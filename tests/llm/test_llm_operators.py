@@ -303,8 +303,9 @@ def test_encoder_equals_tokenizer():
     import public_tokenizers
     e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["", " ", "a", " a", "a ", "a\n", "\na", "it's we'll  two  spaces", "line\n\nline", "tab\there", "x \ny", "ä ö\nü",
-             "end<|endoftext|>mid <|endoftext|>", "nbsp\xa0here", "\x85", "€ 5 \U0001f600", "²½ 3¾x", "a b\nc d " * 50, "'s 'S"]
-    assert e.encode(texts) == [e.whole(t) for t in texts]
+             "end<|endoftext|>mid <|endoftext|>", "nbsp\xa0here", "\x85", "€ 5 \U0001f600", "²½ 3¾x", "a b\nc d " * 50, "'s 'S",
+             "a, b. c!? d... (e) [f] g's h'' i,\nj; k\nl_m n-o p.q r.s. $t %u% v&&& w### ª, ²."]
+    assert [e.encode(t) for t in texts] == [e.whole(t) for t in texts]
 
 
 def test_packing_edges(spark, odd, empty):
