@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantile_col, exact_quantiles
 from ..sources.fixtures import Tables
 
 SUB_COLS = ["total_mrr", "avg_mrr", "max_mrr", "total_seats", "avg_seats", "n_subscriptions",
@@ -150,6 +150,12 @@ def support_signals(support: DataFrame) -> DataFrame:
         F.count_if(F.col("priority") == "urgent").alias("n_urgent"))
 
 
+def median_col(df: DataFrame, c: str) -> Column:
+    """Median of ``c`` over ``df`` (mean of the two middle values, as pandas
+    does) as a scalar subquery, evaluated once."""
+    return exact_quantile_col(df, c, 0.5, median=True)
+
+
 def medians(df: DataFrame, cols: list[str]) -> dict[str, Column]:
     """Medians of several columns from one quantile pipeline (unpivoted)."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"),
