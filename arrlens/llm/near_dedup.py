@@ -9,16 +9,18 @@ probability below 10^-5. So:
 * prefix: two classes with T collisions share one of their first m - T + 1
   values in rarest-first order (m: number of shared values), so only those are
   posted for the join;
-* merging: what is already in one component is not paired again. Each posting
-  short list pairs all its members; a longer one pairs them with a few hubs
-  only and goes on only if it is still open afterwards (holds several
-  components). Pairs are kept from T collisions of the whole
-  signatures on, and a link is confirmed on the full shingle sets.
+* merging: what is already in one component is not paired again. Each short
+  posting list pairs all its members; of the longer ones, a node first takes
+  its longest only and meets that list's few hubs. Lists that still hold
+  several components then pair their members with hubs of other components,
+  and go on only if they are open afterwards. Pairs are kept from T collisions
+  of the whole signatures on, and a link is confirmed on the full shingle sets.
 
 Members of lists that stay open then meet by their shingles themselves: two
 similar sets share one of their rarest n - ceil(0.8 n) + 1 shingles, so a
-passage that many documents share pairs nobody. This last step is exact, and
-it keeps the work linear where a list's members are many and unlike.
+passage that many documents share pairs nobody. What follows the first shared
+shingle in either set bounds the intersection, so a pair is made only by
+shingles early enough in both. This last step is exact.
 """
 
 from __future__ import annotations
@@ -165,7 +167,10 @@ def sizes_agree(a: Column, b: Column, similarity: int) -> Column:
 
 def shingle_pairs(members: DataFrame, similarity: int) -> DataFrame:
     """Distinct pairs (a, b) of ``members`` (node, shingles, component) of
-    different components that share a shingle of both prefixes, rarest first."""
+    different components that share a shingle of both prefixes, rarest first.
+    The first one that a pair shares has the whole intersection at or after it
+    in both sets: rows whose places leave too little room cannot be the first
+    shared shingle of a similar pair."""
     posted = members.select("node", F.size("shingles").alias("n_shingles"), "component",
                             F.explode("shingles").alias("posting"))
     shared = posted.groupBy("posting").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
@@ -175,11 +180,17 @@ def shingle_pairs(members: DataFrame, similarity: int) -> DataFrame:
     # shingles that nobody else has come first and need no posting
     prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * similarity / 100) + 1
     left = (prefix - (F.col("n_shingles") - F.size("own"))).cast("int")
-    own = own.where(left > 0).select("node", "n_shingles", "component", F.explode(F.slice("own", F.lit(1), left)).alias("p"))
-    own = staged(own.where("p.open").select("node", "n_shingles", "component", "p.posting"), "shingle-prefixes")
-    x = own.select("posting", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"))
-    y = own.select("posting", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"))
-    pairs = x.join(y, "posting").where((F.col("cx") < F.col("cy")) & sizes_agree(F.col("nx"), F.col("ny"), similarity))
+    own = own.where(left > 0).select("node", "n_shingles", "component", F.size("own").alias("n_own"),
+                                     F.posexplode(F.slice("own", F.lit(1), left)).alias("at", "p"))
+    own = staged(own.where("p.open").select("node", "n_shingles", "component", "p.posting",
+                                            (F.col("n_own") - F.col("at")).alias("room")), "shingle-prefixes")
+    x = own.select("posting", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"),
+                   F.col("room").alias("rx"))
+    y = own.select("posting", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"),
+                   F.col("room").alias("ry"))
+    room = F.least("rx", "ry") * (100 + similarity) >= similarity * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, "posting").where((F.col("cx") < F.col("cy")) & room &
+                                       sizes_agree(F.col("nx"), F.col("ny"), similarity))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -224,10 +235,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of the lists with 2 to SHORT members, and of the longer ones."""
+    """Postings of the lists with 2 to SHORT members, and of the longer ones
+    with their number ``n`` of members."""
     n = postings.groupBy("posting").agg(F.count("*").alias("n"))
     return (postings.join(n.where((F.col("n") > 1) & (F.col("n") <= SHORT)).select("posting"), "posting"),
-            postings.join(n.where(F.col("n") > SHORT).select("posting"), "posting"))
+            postings.join(n.where(F.col("n") > SHORT), "posting"))
 
 
 def _all_pairs(short: DataFrame) -> DataFrame:
@@ -237,23 +249,41 @@ def _all_pairs(short: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SHORT))).alias("b"))
 
 
+def _hubs(lists: DataFrame, *carried: str) -> DataFrame:
+    """(posting, hubs): of each list the members with the least hash under one
+    of several salts, so that lists with many members in common choose alike."""
+    return lists.groupBy("posting").agg(F.array_distinct(F.array(*[
+        F.min(F.struct(F.xxhash64("node", F.lit(i)), F.struct("node", *carried).alias("hub")))["hub"]
+        for i in range(HUBS)])).alias("hubs"))
+
+
+def _ordered(node: str, hub: str) -> list[Column]:
+    return [F.least(node, hub).alias("a"), F.greatest(node, hub).alias("b")]
+
+
 def _hub_pairs(long: DataFrame) -> DataFrame:
-    """Each list's members with its hubs, the members with the least hash under
-    one of several salts."""
-    hubs = long.groupBy("posting").agg(F.array(*[
-        F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(HUBS)]).alias("hubs"))
-    pairs = long.join(hubs, "posting").select("node", F.explode("hubs").alias("hub")).where("node != hub")
-    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    """Each node with the hubs of its longest list."""
+    own = long.groupBy("node").agg(F.max(F.struct("n", "posting"))["posting"].alias("posting"))
+    pairs = own.join(_hubs(long), "posting").select("node", F.explode("hubs.node").alias("hub"))
+    return pairs.where("node != hub").select(*_ordered("node", "hub"))
 
 
-def _open_members(postings: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(node, component) of the members of lists that hold several components."""
+def _open_lists(postings: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(posting, node, component) of the lists that hold several components."""
     if label is None:
-        named = postings.withColumn("component", F.col("node"))
+        named = postings.select("posting", "node", F.col("node").alias("component"))
     else:
-        named = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = postings.join(label, "node", "left").select(
+            "posting", "node", F.coalesce("component", "node").alias("component"))
     several = named.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return named.join(several.select("posting"), "posting").select("node", "component").distinct()
+    return named.join(several.select("posting"), "posting")
+
+
+def _open_hub_pairs(lists: DataFrame) -> DataFrame:
+    """The members of open lists with those of the list's hubs that are in
+    other components."""
+    pairs = lists.join(_hubs(lists, "component"), "posting").select("node", "component", F.explode("hubs").alias("hub"))
+    return pairs.where("component != hub.component").select(*_ordered("node", "hub.node"))
 
 
 def _bodies(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,20 +306,31 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
         F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
     postings = staged(prefix_postings(nodes.where("n_shingles > 0"), min_collisions), "prefixes")
     members = nodes.join(postings.select("node").distinct(), "node")
+    members = staged(members, "members")
     short, long = _by_length(postings)
     long = staged(long, "long-lists")
-    pairs = _all_pairs(short).union(_hub_pairs(long)).distinct()
-    pairs = staged(likely(pairs, staged(members, "members"), min_collisions, similarity), "likely")
+
+    def probable(pairs: DataFrame) -> DataFrame:
+        return staged(likely(pairs.distinct(), members, min_collisions, similarity), "likely")
+
+    pairs = probable(_all_pairs(short).union(_hub_pairs(long)))
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     bodies = staged(_bodies(keyed, nodes.join(asked, "node")), "bodies")
-    links = staged(confirmed(pairs, bodies, shingle_words, similarity), "links")
-    label = components(links) if links.limit(1).count() else None
-    rest = bodies.join(_open_members(long, label), "node").select("node", "component", "text")
-    sets = rest.mapInArrow(_sets(shingle_words), "node long, component long, shingles array<long>")
-    more = staged(shingle_pairs(staged(sets, "open"), similarity), "likely")
-    more = staged(confirmed(more, bodies, shingle_words, similarity), "links")
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
+
+    links, label = None, None
+    for step in range(3):
+        if step:
+            lists = staged(_open_lists(long, label), "open-lists")
+        if step == 1:
+            pairs = probable(_open_hub_pairs(lists))
+        elif step == 2:
+            rest = bodies.join(lists.select("node", "component").distinct(), "node").select("node", "component", "text")
+            sets = rest.mapInArrow(_sets(shingle_words), "node long, component long, shingles array<long>")
+            pairs = staged(shingle_pairs(staged(sets, "open"), similarity), "likely")
+        found = staged(confirmed(pairs, bodies, shingle_words, similarity), "links")
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
     return signed, nodes, label
 
 
