@@ -26,10 +26,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]+)-----END \1-----")
-BASE64_DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{30,}={0,2}")
-SSH = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{20,}={0,2}")
+# Encoded candidates start a run, or follow a line end written as \n or \r.
+JWT = re.compile(r"e(?:(?<![A-Za-z0-9_-]e)|(?<=\\[nr]e))[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})(?=-----)")
+BASE64_DER = re.compile(r"M(?:(?<![A-Za-z0-9+/]M)|(?<=\\[nr]M))[A-Za-z0-9+/]{30,}={0,2}")
+SSH = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{20,}={0,2}")
+# JSON escapes of the characters that an armoured body holds
+ESCAPED = re.compile(r"\\+(?:([nr])|(/)|u00(0[adAD]|2[bBfF]|3[aAdD]))")
 MAGIC = b"openssh-key-v1\0"
 
 
@@ -109,8 +112,25 @@ def jwt_is_signed_token(s: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def pem_bodies(text: str):
+    """(start, end, label, body) from each END mark back to the nearest BEGIN
+    mark, if both have one label. The body may hold hyphens; one linear scan."""
+    begin = None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin and begin[2] == m[2]:
+            yield begin.start(), m.end() + 5, m[2], text[begin.end() + 5:m.start()]
+            begin = None
+
+
+def _unescaped(body: str) -> str:
+    return ESCAPED.sub(lambda m: "\n" if m[1] else m[2] or chr(int(m[3], 16)), body) if "\\" in body else body
+
+
 def _pem_is_key(label: str, body: str) -> bool:
-    lines = [x for x in body.split("\n") if ":" not in x]  # without encryption headers
+    body = _unescaped(body)
+    lines = [x for x in re.split(r"[\r\n]", body) if ":" not in x]  # without encryption headers
     data = _decode64("".join("".join(lines).split()))
     if not data:
         return False
@@ -130,10 +150,10 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if jwt_is_signed_token(m[0])] if "." in text else []
     inside = []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if _pem_is_key(m[1], m[2]):
-                out.append((m.start(), 4, m.end()))
-                inside.append((m.start(), m.end()))
+        for start, end, label, body in pem_bodies(text):
+            if _pem_is_key(label, body):
+                out.append((start, 4, end))
+                inside.append((start, end))
     for pattern, kind, whole in ((BASE64_DER, 5, der_is_whole), (SSH, 6, ssh_is_whole)):
         for m in pattern.finditer(text):
             if not any(a <= m.start() < b for a, b in inside) and (data := _decode64(m[0])) and whole(data):

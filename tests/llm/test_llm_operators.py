@@ -202,6 +202,28 @@ def test_structural_confirmation():
     assert secret_scan.redact(text('token = "' + "ab12" * 8)) == "Ünd [SECRET] end"
 
 
+def test_armoured_keys_with_headers_and_escaped_line_ends():
+    key = der(b"\x02\x01\x00", b"\x02\x82\x01\x00" + b"\x7f" * 256, b"\x02\x03\x01\x00\x01")
+    lines = base64.encodebytes(key).decode()
+    plain = f"-----BEGIN PRIVATE KEY-----\n{lines}-----END PRIVATE KEY-----\n"
+    legacy = ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n"
+              f"{base64.encodebytes(bytes(range(256)) * 3).decode()}-----END RSA PRIVATE KEY-----\n")
+    for pem in (plain, legacy, legacy.replace("\n", "\r\n"), legacy.replace("\n", "\r")):
+        for written in (pem, json.dumps(pem), json.dumps(json.dumps(pem)), json.dumps(pem).replace("/", "\\/"),
+                        json.dumps(pem).replace("=", "\\u003d")):
+            text = f'Ünd {{"private_key": {written}, "x": 1}}'
+            spans = [(a, b) for a, k, b in secret_scan.find_spans(text) if secret_scan.KINDS[k] == "pem"]
+            assert spans == [(text.index("-----BEGIN"), text.rindex("KEY-----") + 8)]
+            assert "BEGIN" not in secret_scan.redact(text) and lines[:40] not in secret_scan.redact(text)
+    one = base64.b64encode(key).decode()
+    assert [k for _, k, _ in secret_scan.find_spans(json.dumps(f"key\n{one}\nend"))] == [secret_scan.KINDS.index("der")]
+    # a mark without its end neither hides the next key nor is one; prose between marks is none
+    assert len(secret_scan.find_spans("-----BEGIN PRIVATE KEY-----\ncut-off\n" + plain)) == 1
+    assert len(secret_scan.find_spans("-----BEGIN X-----BEGIN PRIVATE KEY-----" + plain[27:])) == 1
+    assert secret_scan.find_spans("-----BEGIN PRIVATE KEY-----\nput-it: here, well-kept\n-----END PRIVATE KEY-----") == []
+    assert secret_scan.find_spans("-----BEGIN A-----x" * 20_000 + "-----END B-----" * 20_000) == []
+
+
 def test_secrets_edges(spark, odd, empty):
     got = rows(secret_scan.scan(odd))
     assert len(got) == 11 and all(r["spans"] == "" for r in got)
