@@ -2,9 +2,11 @@
 
 Every text block hangs on a root-to-leaf path of block tags. Per path of one
 page: text length and punctuation over the number of blocks, smoothed along
-the page, fused by product. Paths whose fused ratio reaches the threshold mark
-content; their containers' blocks are the main text. Paths through menus,
-headers, footers, sidebars, notices, adverts, forms and comments get no ratio.
+the page, fused by product, less the share of text in links. Paths whose fused
+ratio reaches the threshold mark content; their containers' blocks, without
+link lists, are the main text. <article> and <main> only add weight. Paths
+through menus, headers, footers, sidebars, notices, adverts, forms and comments
+get no ratio, unless the element that is named so wraps the story.
 """
 
 from __future__ import annotations
@@ -33,14 +35,23 @@ BLOCKS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre "
     "search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER_TAGS = frozenset("nav footer aside form button menu head dialog fieldset search".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+BOILER_TAGS = frozenset("nav footer aside button menu head dialog search".split())
+FORM_TAGS = frozenset(("form", "fieldset"))  # some pages are one form
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs footer sidebar aside widget widgets related recommended share sharing social "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond replies reply pagination pager copyright legal disclaimer skip "
     "toolbar alert masthead topbar".split())
+# words that sections of an article are named by as well, and words that add no meaning to a name
+TOPIC_WORDS = frozenset("legal social notice notices alert disclaimer copyright promotion related consent".split())
+TALK_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+FILL_WORDS = frozenset(
+    "area bar block blog body bottom box button buttons col column container content div first form global group header "
+    "holder icon icons inner item items left link links list main outer page panel post primary right row secondary "
+    "section site slot text title top unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tr", "td", "th"),
@@ -49,18 +60,55 @@ LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
           "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟¿¡]")
 SHARE = 0.2     # of the best fused ratio that a path must reach
+ARTICLE_WEIGHT, MARKED_WEIGHT = 1.5, 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "path", "boiler", "article")
+    __slots__ = ("tag", "path", "boiler", "article", "suspect")
 
-    def __init__(self, tag, path, boiler, article):
-        self.tag, self.path, self.boiler, self.article = tag, path, boiler, article
+    def __init__(self, tag, path, boiler, article, suspect):
+        self.tag, self.path, self.boiler, self.article, self.suspect = tag, path, boiler, article, suspect
 
 
-def _is_boiler(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether the element starts boilerplate, and its class or id as a name."""
+class _Suspect:
+    """An element that its tag, class or id may mark as boilerplate, with the
+    text and the story tags of its subtree."""
+    __slots__ = ("parent", "depth", "sure", "talk", "chars", "story", "final")
+
+    def __init__(self, parent, depth, sure, talk):
+        self.parent, self.depth, self.sure, self.talk = parent, depth, sure, talk
+        self.chars, self.story, self.final = 0, False, False
+
+
+class _Block:
+    __slots__ = ("path", "boiler", "article", "suspect", "marked", "linked", "text")
+
+    def __init__(self, node, linked, text):
+        self.path, self.boiler, self.article, self.suspect = node.path, node.boiler, node.article, node.suspect
+        self.marked, self.linked, self.text = 0, linked, text
+
+
+def _names_boiler(value: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """(any, sure, talk) of a class or id: whether any word is one of
+    boilerplate; whether one name has only such and filling words, not all of
+    them topics; whether that is about comments."""
+    some = sure = talk = False
+    for name in value.split():
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        hits = {w for w in words if w in BOILER_WORDS or w == "header" and not inside_article}
+        if hits:
+            some = True
+            if not hits <= TOPIC_WORDS and all(w in hits or w in FILL_WORDS for w in words):
+                sure, talk = True, talk or not hits.isdisjoint(TALK_WORDS)
+    return some, sure, talk
+
+
+def _is_boiler(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool, bool, str]:
+    """Whether the element is boilerplate by itself; whether, how surely and
+    whether as comments its name marks it; and its class or id as a name."""
     name, boiler = "", tag in BOILER_TAGS or tag == "header" and not inside_article
+    some = sure = tag in FORM_TAGS
+    talk = False
     for key, a, b, c, flag in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         key, value = key.lower(), a or b or c
         if flag or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -69,29 +117,37 @@ def _is_boiler(tag: str, attributes: str, inside_article: bool) -> tuple[bool, s
             boiler = True
         elif key == "role" and value.lower() in BOILER_ROLES:
             boiler = True
+        elif key == "role" and value.lower() == "form":
+            some = sure = True
         elif key in ("class", "id"):
             name = name or value
-            if tag not in ("html", "body", "article", "main", "h1"):
-                words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
-                words = set(re.findall(r"[a-z]+", words.lower()))
-                if words & BOILER_WORDS or "header" in words and not inside_article:
-                    boiler = True
-    return boiler, name
-
-
-def blocks_of(page: str) -> list[tuple[tuple, bool, bool, str]]:
-    """(path, boilerplate, inside article, text) of every non-empty text block
-    in page order. Inline tags do not end a block."""
-    root = _Node("", (), False, False)
+            if tag not in ("html", "body", "main", "h1"):
+                marks = _names_boiler(value, inside_article)
+                some, sure, talk = some or marks[0], sure or marks[1], talk or marks[2]
+    return boiler, some, sure, talk, name
+
+
+def _settle(blocks: list[_Block], suspects: list[_Suspect], outside: set[str]) -> None:
+    """Marked elements are boilerplate."""
+    for b in blocks:
+        b.boiler = b.boiler or b.suspect is not None
+
+
+def blocks_of(page: str) -> list[_Block]:
+    """Every non-empty text block in page order. Inline tags do not end a block."""
+    root = _Node("", (), False, False, None)
     stack, out, parts = [root], [], []
+    suspects, outside = [], set()  # marked elements, story tags outside of them
+    link, linked = 0, 0  # depth of the stack where a link was opened, characters in links
 
     def flush():
+        nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                top = stack[-1]
-                out.append((top.path, top.boiler, top.article, text))
+                out.append(_Block(stack[-1], linked, text))
+        linked = 0
 
     def pop_to(tags, limits) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -106,6 +162,8 @@ def blocks_of(page: str) -> list[tuple[tuple, bool, bool, str]]:
         token = m[0]
         if token[0] != "<" or token == "<":
             parts.append(token)
+            if link:
+                linked += len(token)
             continue
         closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if m[1] or not tag:  # comments, declarations and elements without page text
@@ -114,13 +172,16 @@ def blocks_of(page: str) -> list[tuple[tuple, bool, bool, str]]:
             continue
         tag = tag.lower()
         if tag not in BLOCKS:
-            if tag == "br" or tag in ("img", "input"):
+            if tag == "a":
+                link = len(stack) if not closing and "href" in attributes.lower() else 0
+            elif tag == "br" or tag in ("img", "input"):
                 parts.append(" ")
             continue
         flush()
         if closing:
             if any(n.tag == tag for n in stack):
                 pop_to((tag,), ())
+            link = link if len(stack) >= link else 0
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
             stack.pop()
@@ -130,24 +191,40 @@ def blocks_of(page: str) -> list[tuple[tuple, bool, bool, str]]:
         if tag in VOID:
             continue
         top = stack[-1]
-        boiler, name = _is_boiler(tag, attributes or "", top.article)
-        stack.append(_Node(tag, (*top.path, f"{tag}.{name}" if name else tag), top.boiler or boiler,
-                           top.article or tag in ("article", "main")))
+        link = link if len(stack) >= link else 0
+        boiler, some, sure, talk, name = _is_boiler(tag, attributes or "", top.article)
+        path, suspect = (*top.path, f"{tag}.{name}" if name else tag), top.suspect
+        if tag in ("main", "h1") or tag == "article" and not sure:
+            if suspect and not (boiler or top.boiler):
+                suspect.story = True
+            if not (suspect or boiler or top.boiler):
+                outside.add(tag)
+        if some and tag != "article":
+            suspect = _Suspect(suspect, len(path), sure, talk)
+            suspects.append(suspect)
+        stack.append(_Node(tag, path, top.boiler or boiler, top.article or tag in ("article", "main"), suspect))
     flush()
+    _settle(out, suspects, outside)
     return out
 
 
-def select(blocks: list[tuple[tuple, bool, bool, str]]) -> list[str]:
+def _tag(path: tuple) -> str:
+    return path[-1].split(".")[0] if path else ""
+
+
+def select(blocks: list[_Block]) -> list[str]:
     """Texts of the content blocks by smoothed and fused path ratios."""
-    live = [b for b in blocks if not b[1]]
+    live = [b for b in blocks if not b.boiler]
     if not live:
         return []
-    sums: dict[tuple, list[int]] = {}
-    for path, _, _, text in live:
-        own = sums.setdefault(path, [0, 0, 0])
-        own[0] += len(text)
-        own[1] += len(PUNCTUATION.findall(text))
+    sums: dict[tuple, list[float]] = {}  # text, punctuation, blocks, text in links, weights
+    for b in live:
+        own = sums.setdefault(b.path, [0, 0, 0, 0, 0.0])
+        own[0] += len(b.text)
+        own[1] += len(PUNCTUATION.findall(b.text))
         own[2] += 1
+        own[3] += min(b.linked, len(b.text))
+        own[4] += (ARTICLE_WEIGHT if b.article else 1) * (MARKED_WEIGHT if b.marked else 1)
     paths = list(sums)  # in page order
     text_ratio = [sums[p][0] / sums[p][2] for p in paths]
     mark_ratio = [(sums[p][1] + 0.5) / sums[p][2] for p in paths]
@@ -156,27 +233,35 @@ def select(blocks: list[tuple[tuple, bool, bool, str]]) -> list[str]:
         return [0.25 * v[max(i - 1, 0)] + 0.5 * v[i] + 0.25 * v[min(i + 1, len(v) - 1)] for i in range(len(v))]
 
     fused = dict(zip(paths, (a * b for a, b in zip(smooth(text_ratio), smooth(mark_ratio)))))
-    # where the page names its article, only that can be content
-    named = {b[0] for b in live if b[2]}
-    best = max(fused[p] for p in (named or paths))
-    chosen = {p for p in (named or paths) if fused[p] >= SHARE * best}
-    containers = {p[:-1] if p[-1:] and p[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre",
-                                                              "blockquote") else p for p in chosen}
-
-    def wanted(path, article):
+    # text in links is no prose; article and main add weight, marked names take some
+    for p in paths:
+        own = sums[p]
+        fused[p] *= (1 - own[3] / own[0]) * own[4] / own[2]
+    best = max(fused.values())
+    chosen = {p for p in paths if fused[p] >= SHARE * best}
+    linked = {p for p in paths if 2 * sums[p][3] > sums[p][0] and _tag(p) not in HEADINGS}
+    containers = {p[:-1] if _tag(p) in ("p", "li", "pre", "blockquote") else p for p in chosen if _tag(p) not in HEADINGS}
+
+    def wanted(path, marked) -> bool:
         if path in chosen:
             return True
-        if named:
-            return article
-        for c in containers:
-            leaf_of = path[:len(c)] == c
-            page_wide = not c or c[-1].split(".")[0] in ("body", "html")
-            if leaf_of and (len(path) <= len(c) + 1 and path[-1:] and path[-1].split(".")[0] != "div"
-                            if page_wide else True):
-                return True
+        if path in linked:
+            return False
+        for n in range(marked, len(path) + 1):  # a marked part of a container must be chosen itself
+            c = path[:n]
+            if c in containers:
+                page_wide = not c or _tag(c) in ("body", "html")
+                if not page_wide or len(path) <= n + 1 and path and _tag(path) != "div":
+                    return True
         return False
 
-    return [text for path, _, article, text in live if wanted(path, article)]
+    keep, below = [], None
+    for b in reversed(live):  # a heading stays with the kept block that it heads
+        heads = _tag(b.path) in HEADINGS and below is not None and below[:len(b.path) - 1] == b.path[:-1]
+        keep.append(heads or wanted(b.path, b.marked))
+        if _tag(b.path) not in HEADINGS or keep[-1]:
+            below = b.path if keep[-1] else None
+    return [b.text for b, kept in zip(live, reversed(keep)) if kept]
 
 
 def main_text(page: str | None) -> str:

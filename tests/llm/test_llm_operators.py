@@ -377,6 +377,29 @@ def test_boilerplate_goes(extra, shape):
     assert html_extract.main_text(whole) == "Head & line\nFirst one, of many. Boldly said, it is.\nSecond one, of two; long enough."
 
 
+HEAD = "<h1>Head line</h1>"
+PARTS = [f"Part {i} of the story tells, at some length, what was seen; it ends here, in full." for i in range(5)]
+STORY = HEAD + "".join(f"<p>{p}</p>" for p in PARTS)
+WHOLE = "\n".join(["Head line", *PARTS])
+
+
+@pytest.mark.parametrize("body", [
+    f'<div class="story">{STORY}</div>' + '<article><h2><a href="/x">Six things</a></h2><a href="/x">Read more</a></article>' * 6,
+    f'<main>{STORY}<ul><li><a href="/a">One more page</a></li><li><a href="/b">And another</a></li></ul></main>',
+    f'<main><div>{STORY}</div><div><a href="/a">Home</a> <a href="/b">News of today</a></div></main>',
+    f'<article>{STORY}<div><ul>{"<li><a href=/a>See also this, and that.</a></li>" * 9}</ul></div></article>',
+    f'<div>{STORY}</div><ul><li><a href="/a">Elsewhere</a></li></ul>',
+    f'<article><div>{HEAD}<div>{STORY[len(HEAD):]}</div></div></article>'])
+def test_path_ratios_decide_with_and_without_story_tags(body):
+    assert html_extract.main_text(page(body)) == WHOLE
+
+
+def test_short_parts_of_the_story_stay():
+    text = html_extract.main_text(page(
+        f'<main>{STORY}<h2>Parts</h2><ul><li>2 eggs</li><li><a href="/m">milk</a> and flour</li></ul><p>Mix.</p></main>'))
+    assert text == WHOLE + "\nParts\n2 eggs\nmilk and flour\nMix."
+
+
 def test_extraction_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>open &lt;b&gt; 1 < 2, yes.", "x"),
                                 (1, "u", "plain", "x"), (1, "u", "<div " + "a" * 100_000, "x")],
