@@ -128,9 +128,30 @@ def _is_boiler(tag: str, attributes: str, inside_article: bool) -> tuple[bool, b
 
 
 def _settle(blocks: list[_Block], suspects: list[_Suspect], outside: set[str]) -> None:
-    """Marked elements are boilerplate."""
+    """Marked elements are boilerplate if the mark is sure and they hold
+    neither the story tags nor, on a page without article and main outside of
+    them, half of the text; other marks only lower the ratio. For comments an
+    h1 outside is enough, however long they are."""
+    story = outside & {"article", "main"}
+    total = 0
     for b in blocks:
-        b.boiler = b.boiler or b.suspect is not None
+        if not b.boiler:
+            total += len(b.text)
+            if b.suspect:
+                b.suspect.chars += len(b.text)
+    for s in reversed(suspects):  # inner ones first
+        if s.parent:
+            s.parent.chars += s.chars
+            s.parent.story |= s.story
+    for s in suspects:  # outer ones first
+        wrapper = s.story or not story and 2 * s.chars >= total and not (s.talk and outside)
+        s.final = bool(s.parent and s.parent.final) or s.sure and not wrapper
+        s.depth = 0 if wrapper else s.depth
+        if s.parent and not s.depth:
+            s.depth = s.parent.depth
+    for b in blocks:
+        if b.suspect and not b.boiler:
+            b.boiler, b.marked = b.suspect.final, b.suspect.depth
 
 
 def blocks_of(page: str) -> list[_Block]:

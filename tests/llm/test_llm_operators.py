@@ -400,6 +400,31 @@ def test_short_parts_of_the_story_stay():
     assert text == WHOLE + "\nParts\n2 eggs\nmilk and flour\nMix."
 
 
+@pytest.mark.parametrize("inner", [f"<article>{STORY}</article>", f'<div class="story">{STORY}</div>', f"<main>{STORY}</main>",
+                                   f'<div>{STORY}</div>'.replace("h1", "h2")])
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div id=page class='navbar-fixed'", "div class=sidebar",
+                                     "form id=aspnetForm method=post", "div class='ads social'", "fieldset"])
+def test_marked_wrappers_keep_the_story(wrapper, inner):
+    menu = '<div class="sidebar"><p>Related, more, things.</p></div><form><p>Your name, please.</p></form>'
+    assert html_extract.main_text(page(f"<{wrapper}>{menu}{inner}{menu}</{wrapper.split()[0]}>")) == WHOLE
+
+
+@pytest.mark.parametrize("name", ["legal-analysis", "social-policy", "legal", "notice", "comment-on-law"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_marked_sections_of_prose_stay(name, tag):
+    part = f'<section class="{name}"><h2>Under it</h2><p>{PARTS[0]}</p><p>{PARTS[1]}</p></section>'
+    got = html_extract.main_text(page(f"<{tag}>{STORY}{part}</{tag}>"))
+    assert got == "\n".join([WHOLE, "Under it", *PARTS[:2]])
+
+
+@pytest.mark.parametrize("extra", [
+    '<section class="comments">' + f'<article class="comment"><p>{"I, too, think so; yes. " * 9}</p></article>' * 9 + "</section>",
+    f'<div class="share-buttons">{"<a href=/s>Share</a> " * 9}</div>', '<div class="my-navbar-fixed"><a href="/">Home</a></div>',
+    f'<div class="ad">{"Buy now, cheap, today! " * 40}</div>'])
+def test_marked_parts_beside_a_story_go(extra):
+    assert html_extract.main_text(page(f"<article>{STORY}</article>{extra}")) == WHOLE
+
+
 def test_extraction_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>open &lt;b&gt; 1 < 2, yes.", "x"),
                                 (1, "u", "plain", "x"), (1, "u", "<div " + "a" * 100_000, "x")],
