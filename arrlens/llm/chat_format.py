@@ -86,37 +86,41 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         examples.alias("examples"))
 
 
-def prefix_targets(formatted: DataFrame) -> DataFrame:
+def prefix_targets(formatted: DataFrame, *keep: str, all_rows: bool = False) -> DataFrame:
     """Every assistant turn as its own training example: ``text`` is the
     formatted conversation up to and including that reply, ``prompt_chars`` its
     part without loss, and only [loss_start, loss_end) is trainable. ``text``
     of one conversation grows with the square of its turns; readers that need
-    spans only leave the column out, and Spark then never builds it."""
-    rows = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
+    spans only leave the column out, and Spark then never builds it. ``keep``
+    names further columns to carry along; with ``all_rows`` a conversation
+    without a reply has one row without an example."""
+    explode = F.explode_outer if all_rows else F.explode
+    rows = formatted.select("conv_id", "formatted", *keep, explode("examples").alias("e"))
     return rows.select(
-        "conv_id", F.col("e.example").alias("example"), F.col("e.context_turns").alias("context_turns"),
+        "conv_id", *keep, F.col("e.example").alias("example"), F.col("e.context_turns").alias("context_turns"),
         F.col("e.loss_start").alias("loss_start"), F.col("e.loss_end").alias("loss_end"),
         F.concat(F.substr(F.col("formatted"), F.lit(1), F.col("e.loss_end")), F.lit(END)).alias("text"),
         F.col("e.reply").alias("reply"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Read the output back: turns parsed from ``formatted``, loss text from
-    the expanded examples."""
+    """Read the output back: turns parsed from ``formatted``, loss text cut by
+    its span out of the text of every expanded example."""
     turns = F.transform(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0)), lambda s: F.struct(
         role_of(F.regexp_extract(s, TURN, 1)).alias("role"), unescape(F.regexp_extract(s, TURN, 2)).alias("text")))
-    read = formatted.select(
-        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns.alias("turns"), "examples")
+    read = formatted.select("conv_id", "formatted", turns.alias("turns"), "examples")
     read = read.select(
-        "conv_id", "formatted_chars", F.size("turns").cast("long").alias("n_turns"),
+        "conv_id", "formatted", F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""),
-               256).alias("turns_sha256"),
-        F.explode_outer("examples").alias("e"))
+               256).alias("turns_sha256"), "examples")
+    whole = ["n_turns", "turns_sha256", "formatted_chars"]
+    cut = prefix_targets(read, *whole, all_rows=True).select("conv_id", *whole, "example", unescape(
+        F.substr(F.col("text"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))).alias("loss"))
     # grouped by the key the rows are already dealt by: no further shuffle
-    loss = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e.example", "e.reply"))),
-                                    lambda e: unescape(e["reply"])), "")
-    out = read.groupBy("conv_id", "n_turns", "turns_sha256", "formatted_chars").agg(
-        loss.alias("loss"), F.count("e.example").alias("n_examples"))
+    out = cut.groupBy("conv_id", *whole).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda e: e["loss"]), "")
+        .alias("loss"), F.count("example").alias("n_examples"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"),
                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")
 

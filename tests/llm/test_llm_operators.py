@@ -93,6 +93,20 @@ def test_chat_round_trip_and_spans(spark):
         assert len(re.findall(chat_format.TURN, e["text"])) == e["context_turns"] + 1
 
 
+def test_digests_read_the_loss_out_of_the_expanded_examples(spark):
+    from pyspark.sql import functions as F
+    data = [(1, 0, "user", "ask"), (1, 1, "assistant", "re\\ply ### one"), (1, 2, "user", "more"), (1, 3, "assistant", "two"),
+            (2, 0, "user", "no reply")]
+    right = chat_format.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    loss = lambda df: {r["conv_id"]: (r["loss_chars"], r["loss_sha256"], r["n_examples"])
+                       for r in rows(chat_format.digests(df))}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert loss(right) == {1: (17, sha("re\\ply ### onetwo"), 2), 2: (0, sha(""), 0)}
+    for field, by in (("loss_start", 1), ("loss_end", -1)):  # a wrong mask must show
+        wrong = right.withColumn("examples", F.transform("examples", lambda e: e.withField(field, e[field] + by)))
+        assert loss(wrong)[1] != loss(right)[1]
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert rows(chat_format.digests(chat_format.format_conversations(df))) == []
