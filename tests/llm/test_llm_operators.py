@@ -300,6 +300,41 @@ def test_decontaminate_edges_and_blocks(spark, odd, empty, sf_dir):
     assert one == many
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "北京是中国的首都吗"), (3, "???"), (4, "art"), (5, "東京")],
+                                  "item_id long, text string")
+    texts = ["who wrote it", "I ask: who  wrote IT, then?", "who wrote items", "unwho wrote it", "who wrote at", "问：北京是中国的首都吗？",
+             "我想知道北京是中国的首都吗", "北京是中国的首都", "start", "art", "art start", "start art", "in東京to", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(decontaminate.search(docs, bench))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 1), (1, 1), (5, 2), (6, 2), (9, 4), (10, 4), (11, 4), (12, 5)}
+    assert len(got) == 8 and all(r["budget"] == r["distance"] == 0 for r in got)
+    for r in got:
+        text = decontaminate.normalise(texts[r["doc_id"]])[:r["match_end"]]
+        assert len(text[-r["item_chars"]:]) == r["item_chars"] and text.endswith(("who wrote it", "吗", "art", "東京"))
+    clean = [2, 3, 4, 7, 8, 13, 14]
+    for size in (10 ** 9, 20):  # one block, several
+        assert sorted(r["doc_id"] for r in rows(decontaminate.keep_clean(docs, bench, block_bytes=size))) == clean
+
+
+def test_blocks_of_items_are_staged_one_by_one(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item number {i} of a benchmark with many items") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x item number {i} of a benchmark with many items y") for i in range(50)], "doc_id long, text string")
+    order, blocks, stage = [], decontaminate.item_blocks, decontaminate.staged
+
+    def reading(*args):
+        for items in blocks(*args):
+            order.append("read")
+            yield items
+
+    monkeypatch.setattr(decontaminate, "item_blocks", reading)
+    monkeypatch.setattr(decontaminate, "staged", lambda df, name: (order.append("write"), stage(df, name))[1])
+    got = decontaminate.search(docs, bench, block_bytes=600)
+    assert len(order) > 4 and order == ["read", "write"] * (len(order) // 2)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()  # no block is left in the plan
+    assert {(r["doc_id"], r["item_id"]) for r in rows(got) if r["distance"] == 0} == {(i, i) for i in range(40)}
+
+
 # 5 packing
 
 def check_packing(got, texts, capacity=1024):
