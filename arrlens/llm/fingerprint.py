@@ -4,7 +4,7 @@ Each paragraph is hashed into a wide vector; a document's fingerprint is the
 sum of its paragraphs' vectors, lane by lane modulo 2^32. The order of the
 paragraphs does not matter, and a paragraph is inserted or deleted by adding
 or subtracting its vector. Lanes come in levels: lanes of level l take part
-in a paragraph's vector with probability 2^-l. Level 0 alone (128 bits) makes
+in a paragraph's vector with probability 2^-l. Level 0 alone (1024 bits) makes
 equality safe; how many lanes of two fingerprints agree tells how many
 paragraphs the documents do not share.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, table
 
-LEVELS, WIDTH = 16, 4
+LEVELS, WIDTH = 16, 32
 LANES = LEVELS * WIDTH
 MODULUS = 2 ** 32
 MAX_BUCKETS = 4096
@@ -42,10 +42,20 @@ def vector(k: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Struct of ``lanes`` (long array) and ``n`` (number of paragraphs)."""
-    ps = F.transform(paragraphs(text), key)
-    zero = F.array_repeat(F.lit(0).cast("long"), LANES)
-    total = F.aggregate(ps, zero, lambda acc, k: F.zip_with(acc, vector(k), lambda x, y: (x + y) % MODULUS))
-    return F.struct(total.alias("lanes"), F.size(ps).cast("long").alias("n"))
+    masks = F.lit([2 ** (i // WIDTH) - 1 for i in range(LANES)]).cast("array<bigint>")
+
+    def entry(k: Column, mask: Column, j: Column) -> Column:
+        h = F.xxhash64(k["a"], k["b"], j)
+        return F.when(h.bitwiseAND(mask) == 0, F.shiftrightunsigned(h, 32)).otherwise(F.lit(0).cast("long"))
+
+    def total(ps: Column) -> Column:  # lane by lane: the sum of the vectors' entries
+        return F.transform(masks, lambda mask, j: F.aggregate(
+            ps, F.lit(0).cast("long"), lambda acc, k: acc + entry(k, mask, j)) % MODULUS)
+
+    # an array of one, so that the text is split and hashed once and not for every lane
+    whole = F.transform(F.array(F.transform(paragraphs(text), key)), lambda ps: F.struct(
+        total(ps).alias("lanes"), F.size(ps).cast("long").alias("n")))
+    return F.get(whole, F.lit(0))
 
 
 def insert(fp: Column, paragraph: Column) -> Column:
@@ -64,12 +74,13 @@ def expected_equal(d: float) -> float:
 
 
 def unshared(equal: int) -> int:
-    """The least number of unshared paragraphs for which no more than ``equal``
-    lanes are expected to agree, on a grid with steps of 15 %."""
-    d = 0
-    while expected_equal(d) > equal + 0.5 and d < 100_000:
-        d = max(d + 1, round(d * 1.15))
-    return d
+    """The number of unshared paragraphs, up to 100,000, for which the expected
+    number of agreeing lanes is nearest to ``equal``."""
+    lo, hi = 0, 100_000
+    while hi - lo > 1:
+        d = (lo + hi) // 2
+        lo, hi = (d, hi) if expected_equal(d) > equal else (lo, d)
+    return min((lo, hi), key=lambda d: abs(expected_equal(d) - equal))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,7 +119,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                          F.max("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
                          .alias("last"))
     guests = first.select("f.doc_id", "f.text", F.coalesce("before", "last").alias("bucket"), F.lit(1).alias("guest"))
-    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("own", fingerprint(F.col("text")))
+    # dealt and ordered first, so that only texts are shuffled and sorted
+    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition("bucket")
+    dealt = dealt.sortWithinPartitions("bucket", "guest", "doc_id", "text").withColumn("own", fingerprint(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
     dealt = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next", F.lead("own").over(order))
     return dealt.where("guest = 0").select("doc_id", "text", "own", "next_text", "next")

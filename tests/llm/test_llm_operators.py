@@ -668,6 +668,28 @@ def test_likeness_follows_the_shared_paragraphs(spark):
         assert abs(r["near"] - r["share"]) < 0.35
 
 
+@pytest.mark.parametrize("unshared, both", [(40, 40), (100, 200), (400, 4000), (10_000, 10_000)])
+def test_likeness_error(unshared, both):
+    draw = np.random.default_rng(1)
+    level = np.array([(1 - 2.0 ** -lv) ** unshared for lv in range(fingerprint.LEVELS)])
+    equal = draw.binomial(fingerprint.WIDTH, level, (20_000, fingerprint.LEVELS)).sum(axis=1)
+    table = np.array([fingerprint.unshared(i) for i in range(fingerprint.LANES + 1)])
+    error = np.maximum(0, 1 - table[equal] / both) - (1 - unshared / both)
+    low, high, top = np.percentile(error, [5, 95, 99])
+    part = unshared / both
+    assert low > -0.26 * part and high < 0.21 * part and top < 0.3 * part and abs(np.median(error)) < 0.03
+
+
+def test_likeness_of_single_pairs(spark):
+    from pyspark.sql import functions as F
+    data = [(k, "\n".join(f"a {k} {i}" for i in range(20)), "\n".join(f"a {k} {i}" if i < kept else f"b {k} {i}" for i in range(20)), kept / 20)
+            for k in range(60) for kept in (0, 10, 18)]
+    df = spark.createDataFrame(data, "k int, a string, b string, share double")
+    near = df.select("share", fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))))
+    errors = [abs(r[1] - r[0]) for r in near.collect()]
+    assert max(errors) < 0.35 and np.percentile(errors, 90) < 0.17
+
+
 def test_fingerprint_edges(spark, odd, empty):
     got = rows(fingerprint.fingerprints(odd))
     assert len(got) == 11
