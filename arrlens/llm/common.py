@@ -34,7 +34,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
                     max_rows: int) -> DataFrame:
     """(text, label) of the labelled documents outside the held-out fold, about
     ``max_rows`` of them at most, chosen by the hash of their id. Only the ids
-    and labels of the sample, whose number ``max_rows`` bounds, are broadcast."""
+    and labels of the sample, whose number ``max_rows`` bounds, are broadcast.
+    Repeated rows count once; if ids with several texts still bring more rows,
+    the hash of id and text chooses among them. The rows are staged."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) &
                     ~held_out(F.col("doc_id"), modulus, remainder))
@@ -43,4 +45,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     if n > max_rows:
         share = int(2 ** 31 * max_rows / n)
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(2 ** 31)) < share)
-    return id_and_text(docs).join(F.broadcast(known), "doc_id").select("text", "label")
+    rows = id_and_text(docs).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"])
+    rows = staged(rows, f"{label}-sample")
+    n = rows.count()
+    if n > max_rows:
+        share = int(2 ** 31 * max_rows / n)
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("row")), F.lit(2 ** 31)) < share)
+    return rows.select("text", "label")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, labelled_sample, staged, table
+from .common import held_out, id_and_text, labelled_sample, table
 
 # Interchangeable group mentions, one list per language and number.
 IDENTITY_TERMS = (
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     """Fit on at most about ``sample_rows`` labelled rows. One task fits the
     rows' selected feature numbers (a few dozen integers each). Without rows
     of both classes the model is the smoothed share of label 1."""
-    sample = staged(labelled_sample(docs, labels, "toxic", 3, 1, sample_rows), "toxic-sample")
+    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows)
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = counts.get(1, 0), counts.get(0, 0)
     prior = math.log((n_pos + 1) / (n_neg + 1))

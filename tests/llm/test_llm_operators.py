@@ -142,6 +142,21 @@ def test_classifier_edges(spark, odd, empty, module, label):
     assert rows(module.score(odd, module.train(empty, some)))
 
 
+def test_sample_is_bounded_when_a_labelled_id_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from arrlens.llm.common import labelled_sample
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 4 != 2][:200]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    hot = spark.range(3000).select(F.lit(ids[0]).alias("doc_id"), F.lit("text of one id").alias("text"))
+    sample = lambda d, n: [r["text"] for r in labelled_sample(d, labels, "quality", 4, 2, n).collect()]
+    got = sample(docs.unionByName(hot), 1000)
+    assert sorted(got) == sorted([f"text {i}" for i in ids] + ["text of one id"])  # repeated rows once
+    many = spark.range(20_000).select(F.lit(ids[0]).alias("doc_id"), F.concat(F.lit("other "), "id").alias("text"))
+    assert 900 < len(sample(docs.unionByName(many), 1000)) < 1100  # other texts of the id: about the bound
+
+
 def test_identity_swap_is_penalised():
     """A group's name that goes with the label by chance loses its weight."""
     index = {"scum": 0, "muslims": 1, "jews": 2, "fine": 3}
