@@ -32,6 +32,19 @@ def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame
                                      (F.col("id") % shards).cast("int").alias("shard"))
 
 
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Store a map under ``path`` with its version; a stored version is never overwritten."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.select("virtual_slot", "shard").coalesce(1).write.parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored map of this version, or else the latest one."""
+    stored = spark.read.parquet(path)
+    version = version or stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == version).select("version", "virtual_slot", "shard")
+
+
 def grow(slot_map: DataFrame, shards: int) -> DataFrame:
     """The next version with shard number ``shards`` added: every old shard
     gives its highest slots, so that the new one holds its even share."""
@@ -86,15 +99,16 @@ def sized_rows(docs: DataFrame) -> DataFrame:
                        virtual_slot(F.col("doc_id")).alias("virtual_slot"))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, slot_map: DataFrame | None = None) -> DataFrame:
     """One row per document row with its shard, its place ``slot`` there
     (gapless from 0, ordered by virtual slot) and the shard it has with one
-    more (``grown_shard``). Null texts have no bytes; null ids share virtual
+    more (``grown_shard``), by ``slot_map`` if it is given (its shards numbered
+    below ``shards``), else by version 1. Null texts have no bytes; null ids share virtual
     slot 0; repeated rows are placed one after the other; an empty table gives
     no rows; other columns are ignored. Texts are never shuffled; rows are
     numbered in SLOTS x SUBSLOTS groups, so no task holds a whole shard."""
     spark = docs.sparkSession
-    old = first_map(spark, shards)
+    old = first_map(spark, shards) if slot_map is None else slot_map
     new = grow(old, shards).select("virtual_slot", F.col("shard").alias("grown_shard"))
     maps = F.broadcast(old.join(new, "virtual_slot"))  # SLOTS rows
     rows = sized_rows(docs).withColumn("sub", (F.col("text_crc32") % SUBSLOTS).cast("int"))

@@ -603,6 +603,25 @@ def test_slot_maps(spark):
     assert max(load.values()) <= mean * 1.05 + 1000
 
 
+def test_stored_maps_are_used(spark, sf_dir, tmp_path):
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tmp_path / "map")
+    first = sharding.first_map(spark, 5)
+    sharding.save_map(first, path)
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), sharding.slot_bytes(sharding.sized_rows(docs)), 5), path)
+    held = lambda version=None: {r["virtual_slot"]: (r["version"], r["shard"])
+                                 for r in rows(sharding.load_map(spark, path, version))}
+    new, old = held(), held(1)
+    assert len(new) == len(old) == sharding.SLOTS and {v for v, _ in new.values()} == {2} and {v for v, _ in old.values()} == {1}
+    got = rows(sharding.assign(docs, 5, sharding.load_map(spark, path)))
+    assert len(got) == docs.count() and all((r["version"], r["shard"]) == new[r["virtual_slot"]] for r in got)
+    assert any(r["shard"] != old[r["virtual_slot"]][1] for r in got)
+    for shard in range(5):
+        places = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert places == list(range(len(places)))
+    with pytest.raises(Exception, match="exist"):
+        sharding.save_map(first, path)
+
+
 def test_sharding_edges(spark, odd, empty):
     got = rows(sharding.assign(odd, 3))
     assert len(got) == 11 and all(r["size"] >= 16 and r["shard"] in (0, 1, 2) for r in got)
