@@ -18,14 +18,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import dround
+from .split import in_test
 
 LABEL = "has_upgraded"
+# The model's inputs.
 NUM_FEATURES = [
     "total_usage_count", "unique_features_used", "total_usage_duration", "beta_feature_usage",
     "total_errors", "total_mrr", "total_seats", "n_subscriptions", "n_tickets",
     "avg_satisfaction", "n_escalations", "is_annual", "auto_renew",
 ]
 CAT_FEATURES = ["plan_tier", "industry", "referral_source"]
+DENSE_VALUES = 10_000  # categories that may get a column each
 
 # Coefficients of the standardised features as published for
 # the reference model (all others 0). The intercept is not published; 0.
@@ -42,11 +45,6 @@ PUBLISHED_COEFFICIENTS = {
 }
 PUBLISHED_INTERCEPT = 0.0
 
-# Test-set membership: md5 of "<account_id>-<seed>", first 8 hex digits below
-# 0x33333333 (one fifth of the hash space). Deterministic across engines.
-SPLIT_SEED = 42
-SPLIT_CUTOFF = "33333333"
-
 
 def dummy_name(cat: str, value: str) -> str:
     """Column name of a category; a value that is more than letters, digits
@@ -58,12 +56,16 @@ def dummy_name(cat: str, value: str) -> str:
 
 
 def vocabularies(features: DataFrame, cats=CAT_FEATURES) -> dict[str, list[str]]:
-    """Sorted distinct values of each categorical column (a distributed
-    distinct first; the model has one coefficient for each of them)."""
+    """Sorted distinct values of each categorical column, for inputs with one
+    named column per value. Vocabularies of more than DENSE_VALUES values are refused:
+    ``operators.sparse`` keeps them in a table and fits and scores sparse vectors."""
     long = (features.select(*cats).unpivot([], list(cats), "cat", "value")
             .where(F.col("value").isNotNull()).distinct())
+    rows = long.limit(DENSE_VALUES + 1).collect()
+    if len(rows) > DENSE_VALUES:
+        raise ValueError(f"more than {DENSE_VALUES} categories; use operators.sparse")
     vocab: dict[str, list[str]] = {c: [] for c in cats}
-    for r in long.collect():
+    for r in rows:
         vocab[r["cat"]].append(r["value"])
     return {c: sorted(v) for c, v in vocab.items()}
 
@@ -92,14 +94,9 @@ def encode(features: DataFrame, vocab: dict[str, list[str]],
                            *[e.alias(n) for n, e in enc.items()])
 
 
-def test_flag(id_col: str = "account_id") -> Column:
-    key = F.concat(F.col(id_col).cast("string"), F.lit(f"-{SPLIT_SEED}"))
-    return F.substring(F.md5(key), 1, 8) < F.lit(SPLIT_CUTOFF)
-
-
-def split(encoded: DataFrame) -> DataFrame:
-    """Labelled rows with an ``is_test`` flag (about 20 %, label-independent)."""
-    return encoded.where(F.col(LABEL).isNotNull()).withColumn("is_test", test_flag())
+def split(encoded: DataFrame, cuts: dict[int, str]) -> DataFrame:
+    """Labelled rows with an ``is_test`` flag: a fifth of every class (see ``split``)."""
+    return encoded.where(F.col(LABEL).isNotNull()).withColumn("is_test", in_test(cuts, LABEL))
 
 
 @dataclass
@@ -307,5 +304,5 @@ def fit_logistic(train_z: DataFrame, names: list[str], label: str = LABEL,
 def coefficient_table(spark, model: LinearModel, names: list[str]) -> DataFrame:
     rows = [(f, float(model.coefficients.get(f, 0.0))) for f in names] + [("intercept", model.intercept)]
     df = spark.createDataFrame(rows, "feature string, coefficient double")
-    return df.withColumn("abs_coefficient", F.abs("coefficient"))
+    return df.withColumn("abs_coefficient", F.abs("coefficient")).orderBy(F.desc("abs_coefficient"), "feature")
 

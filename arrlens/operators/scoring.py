@@ -20,6 +20,7 @@ from . import model as M
 from ..session import materialize, session_key
 from .features import Snapshot, fill_features, raw_features
 from .profile import universe_filter
+from .split import stratified_cuts
 
 OUTPUT_COLS = ["account_id", "account_name", "industry", "country", "plan_tier",
                "referral_source", "total_mrr", "total_seats", "total_usage_count",
@@ -94,7 +95,12 @@ class ScoringRun:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return M.split(self.encoded)
+        return M.split(self.encoded, self.cuts)
+
+    @cached_property
+    def cuts(self) -> dict[int, str]:
+        """Hash of the last test row per class (three small counts)."""
+        return stratified_cuts(self.features, M.LABEL)
 
     @cached_property
     def train(self) -> DataFrame:

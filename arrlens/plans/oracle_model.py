@@ -98,11 +98,14 @@ def _enc_cols() -> list[str]:
     return cols
 
 
+SPLIT = ("row_number() OVER (PARTITION BY has_upgraded ORDER BY md5(concat(CAST(account_id AS VARCHAR), '-42'))) "
+         "<= (2 * COUNT(*) OVER (PARTITION BY has_upgraded) + 5) // 10")
+
+
 def model_ctes(p: str = "f", lag_days: int | None = None) -> str:
     """Feature CTEs plus ``{p}_enc`` (encoded), ``{p}_lab`` (labelled, split),
     ``{p}_st`` (one row of train statistics)."""
-    split = (f"substr(md5(concat(CAST(account_id AS VARCHAR), '-{M.SPLIT_SEED}')), 1, 8) "
-             f"< '{M.SPLIT_CUTOFF}'")
+    split = SPLIT
     stats = ", ".join(f"AVG({f}) AS m_{f}, STDDEV_POP({f}) AS s_{f}" for f in NAMES)
     return f"""{feature_ctes(p, False, lag_days)},
 {p}_enc AS (SELECT account_id, CAST(has_upgraded AS INTEGER) AS has_upgraded, {', '.join(_enc_cols())}
@@ -382,6 +385,49 @@ def _():
     return W(model_ctes(), "SELECT account_id, has_upgraded, is_test FROM f_lab")
 
 
+_OFFSET = len(M.NUM_FEATURES)
+
+
+def dictionary_ctes() -> str:
+    """Category values numbered after the numeric inputs, with the training
+    rows' share and the standard deviation of their indicator."""
+    cats = " UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS cat, f.{c} AS value, l.is_test IS FALSE AS in_train "
+                              f"FROM f_feat f LEFT JOIN f_lab l ON f.account_id = l.account_id"
+                              for i, c in enumerate(M.CAT_FEATURES))
+    return f"""{model_ctes()},
+d_n AS (SELECT COUNT(*) AS n FROM f_lab WHERE NOT is_test),
+d_v AS (SELECT pos, cat, value, COUNT(*) FILTER (WHERE in_train) AS n_train
+        FROM ({cats}) v WHERE value IS NOT NULL GROUP BY pos, cat, value),
+d AS (SELECT cat, value, row_number() OVER (ORDER BY pos, value) - 1 + {_OFFSET} AS idx, n_train,
+             n_train / n AS mean,
+             CASE WHEN n_train IN (0, n) THEN 1.0 ELSE sqrt((n_train / n) * (1 - n_train / n)) END AS std
+      FROM d_v, d_n)"""
+
+
+@oracle("category_dictionary")
+def _():
+    return W(dictionary_ctes(), f"SELECT cat, value, idx, n_train, {dr('mean', 6)} AS mean, {dr('std', 6)} AS std FROM d")
+
+
+@oracle("sparse_features")
+def _():
+    nums = " UNION ALL ".join(f"SELECT l.account_id, CAST({i} AS BIGINT) AS idx, {zexpr(f, 'l.' + f)} AS value "
+                              f"FROM f_lab l CROSS JOIN f_st st" for i, f in enumerate(M.NUM_FEATURES))
+    cats = " UNION ALL ".join(f"SELECT l.account_id, d.idx, 1 / d.std AS value FROM f_lab l "
+                              f"JOIN f_feat f ON l.account_id = f.account_id "
+                              f"JOIN d ON d.cat = '{c}' AND d.value = f.{c}" for c in M.CAT_FEATURES)
+    return W(dictionary_ctes(), f"SELECT account_id, idx, {dr('value', 6)} AS value FROM ({nums} UNION ALL {cats}) e "
+                                "WHERE value <> 0")
+
+
+@oracle("lr_gradient")
+def _():
+    """At the optimum every component rounds to 0."""
+    nums = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in [*M.NUM_FEATURES, "intercept"])
+    return W(dictionary_ctes(), f"SELECT feature, CAST(0 AS DOUBLE) AS abs_gradient FROM "
+                                f"({nums} UNION ALL SELECT concat(cat, '=', value) FROM d) f")
+
+
 @oracle("class_weights")
 def _():
     return W(model_ctes(), """
@@ -674,7 +720,7 @@ def _scores_ctes(lab: str, st: str, p: str) -> str:
 def _():
     ctes = ",\n".join([model_ctes(), feature_ctes("g", False, 180).strip().rstrip(","),
                        f"""g_enc AS (SELECT account_id, CAST(has_upgraded AS INTEGER) AS has_upgraded, {', '.join(_enc_cols())} FROM g_feat),
-g_lab AS (SELECT *, substr(md5(concat(CAST(account_id AS VARCHAR), '-{M.SPLIT_SEED}')), 1, 8) < '{M.SPLIT_CUTOFF}' AS is_test
+g_lab AS (SELECT *, {SPLIT} AS is_test
           FROM g_enc WHERE has_upgraded IS NOT NULL)""",
                        _scores_ctes("f_lab", "f_st", "c"), _scores_ctes("g_lab", "f_st", "p")])
     return W(ctes, f"""

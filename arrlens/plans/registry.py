@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import profile, revenue
+from ..functions.exact import dround_col
 from ..session import configure
 from ..sources.fixtures import Tables
 from . import sql_queries
@@ -75,6 +76,7 @@ from ..operators import signals as _sig  # noqa: E402
 from ..operators import targets as _tg  # noqa: E402
 from ..operators.features import Snapshot  # noqa: E402
 from ..operators.scoring import ScoringRun  # noqa: E402
+from ..operators.sparse import SparseDesign  # noqa: E402
 
 register("features_subscription",
          lambda t: _feat.subscription_signals(t.active_paid_subscriptions))
@@ -122,8 +124,8 @@ def _lr_coefficients(t):
     tab = _lr_fit(t).where("feature <> 'intercept'")
     pos = tab.where("coefficient > 0").orderBy(F.desc("coefficient"), "feature").limit(5)
     neg = tab.where("coefficient < 0").orderBy("coefficient", "feature").limit(5)
-    return pos.withColumn("direction", F.lit("increases")).unionByName(
-        neg.withColumn("direction", F.lit("decreases")))
+    both = pos.withColumn("direction", F.lit("increases")).unionByName(neg.withColumn("direction", F.lit("decreases")))
+    return both.orderBy(F.desc("abs_coefficient"), "feature")
 
 
 def _lr_scored(t):
@@ -132,6 +134,26 @@ def _lr_scored(t):
     return ScoringRun(t, model=run.fitted(), reference=run).scored_accounts
 
 
+def _design(t):
+    """The session's sparse design of the shared feature table."""
+    run = ScoringRun.shared(t)
+    if not hasattr(run, "sparse_design"):
+        run.sparse_design = SparseDesign(run.features)
+    return run.sparse_design
+
+
+def _lr_gradient(t):
+    """Size of the penalised objective's gradient at the fitted point, per input (0 at the optimum)."""
+    design = _design(t)
+    g = design.gradient(design.fit())
+    return g.select("feature", dround_col(_F.abs("gradient"), 6).alias("abs_gradient"))
+
+
+register("category_dictionary", lambda t: _design(t).dictionary.select(
+    "cat", "value", "idx", "n_train", dround_col(_F.col("mean"), 6).alias("mean"),
+    dround_col(_F.col("std"), 6).alias("std")))
+register("sparse_features", lambda t: _design(t).entries())
+register("lr_gradient", _lr_gradient)
 register("lr_fit", _lr_fit)
 register("lr_coefficients", _lr_coefficients)
 register("lr_scored_accounts", _lr_scored)

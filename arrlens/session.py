@@ -114,18 +114,19 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
-def materialize(df, name: str | None = None):
+def materialize(df, name: str | None = None, read_as=None):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back.
 
     Used where a derived table is read many times (the account feature table
     feeds medians, scaler statistics, scoring and every report). After an
     executor loss, recovery restarts from these files, not from the raw
-    scans; re-reads are columnar, pruned and filter-pushed.
+    scans; re-reads are columnar, pruned and filter-pushed. ``read_as`` is a
+    schema for reading, if it is not the written one (vector columns).
     """
     import uuid
     spark = df.sparkSession
     path = shared_dir(spark, "arrlens-tables", f"{name or 'table'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     _delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(read_as or df.schema).parquet(path)
