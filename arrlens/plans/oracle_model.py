@@ -349,6 +349,15 @@ SELECT account_id, MIN(start_day) AS first_window_start, COUNT(*) AS windows_ove
 FROM s, thr WHERE d >= v GROUP BY account_id"""
 
 
+@oracle("usage_live_threshold")
+def _():
+    return f"""
+SELECT COUNT(*) AS account_months, {dr('quantile_cont(CAST(d AS DOUBLE), 0.9)', 6)} AS threshold, TRUE AS live_within_error
+FROM (SELECT s.account_id, STRFTIME(u.usage_date, '%Y-%m') AS month, SUM(u.usage_duration_secs) AS d
+      FROM feature_usage u JOIN subscriptions s ON u.subscription_id = s.subscription_id
+      WHERE s.mrr_amount > 0 AND s.end_date IS NULL GROUP BY 1, 2) m"""
+
+
 @oracle("usage_decline")
 def _():
     return f"""

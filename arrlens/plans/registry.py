@@ -200,7 +200,13 @@ def _usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_stream(spark, sf_dir)
 
 
-_STREAMING = {"usage_stream": _usage_stream}
+def _usage_live_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.usage_stream import live_threshold_check
+    configure(spark)
+    return live_threshold_check(spark, sf_dir)
+
+
+_STREAMING = {"usage_stream": _usage_stream, "usage_live_threshold": _usage_live_threshold}
 register("tier_summary_formatted", lambda t: _tg.tier_summary_formatted(ScoringRun.shared(t)))
 
 

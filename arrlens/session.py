@@ -106,12 +106,35 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
 
 
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Have a written intermediate table removed when the driver ends."""
+def _path_and_files(spark: SparkSession, path: str):
+    """A path and its file system; None without a classic session."""
     sc = _context(spark)
-    if sc is not None:
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    if sc is None:
+        return None, None
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have a written intermediate table removed when the driver ends."""
+    p, fs = _path_and_files(spark, path)
+    if fs is not None:
+        fs.deleteOnExit(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote."""
+    p, fs = _path_and_files(spark, path)
+    if fs is not None:
+        fs.delete(p, True)
+
+
+def list_paths(spark: SparkSession, glob: str) -> list[str]:
+    """Paths that match a glob; nothing else is listed."""
+    p, fs = _path_and_files(spark, glob)
+    if fs is None:
+        raise RuntimeError("listing folders needs a classic session")
+    return [str(x.getPath().toString()) for x in (fs.globStatus(p) or [])]
 
 
 def materialize(df, name: str | None = None, read_as=None):
@@ -128,5 +151,5 @@ def materialize(df, name: str | None = None, read_as=None):
     spark = df.sparkSession
     path = shared_dir(spark, "arrlens-tables", f"{name or 'table'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    _delete_on_exit(spark, path)
+    delete_on_exit(spark, path)
     return spark.read.schema(read_as or df.schema).parquet(path)

@@ -1,11 +1,14 @@
 """The usage trigger stream against a brute-force recomputation."""
 
+import bisect
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from arrlens.sources.fixtures import Tables
-from arrlens.streaming.usage_stream import monthly_threshold, usage_stream
+from arrlens.streaming.usage_stream import (UsageStore, latest_windows, live_threshold, month_of, month_sketches,
+                                            monthly_threshold, run_usage_trigger, usage_stream)
 
 
 def test_usage_stream_matches_brute_force(spark, sf_dir):
@@ -43,3 +46,93 @@ def test_any_layout_and_order_gives_the_same_rows(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(4, "l_partkey").write.parquet(str(other / "lineitem.parquet"))
     for files in (1, None):
         assert sorted(map(tuple, usage_stream(spark, str(other), max_files_per_trigger=files).collect())) == want
+
+
+def _split_copy(spark, sf_dir, tmp_path, files):
+    import os
+    other = tmp_path / "tables"
+    other.mkdir()
+    for name in ("orders", "customer", "nation", "region", "events"):
+        os.symlink(f"{sf_dir}/{name}.parquet", other / f"{name}.parquet")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(files, "l_partkey").write.parquet(
+        str(other / "lineitem.parquet"))
+    return str(other)
+
+
+def test_compaction_changes_no_row(spark, sf_dir, tmp_path):
+    want = sorted(map(tuple, usage_stream(spark, sf_dir).collect()))
+    other = _split_copy(spark, sf_dir, tmp_path, 4)
+    assert sorted(map(tuple, usage_stream(spark, other, max_files_per_trigger=1, compact_after=1).collect())) == want
+
+
+def _totals(spark, rows):
+    return spark.createDataFrame(rows, "account_id bigint, day int, duration bigint")
+
+
+def _sums(df):
+    out = {}
+    for r in df.collect():
+        out[r.account_id, r.day] = out.get((r.account_id, r.day), 0) + r.duration
+    return out
+
+
+def test_a_batch_reads_its_own_months_only(spark, tmp_path):
+    """Twelve batches over five years of history: what a batch of one month
+    reads depends on that month, not on the rest."""
+    store = UsageStore(spark, str(tmp_path / "daily"), compact_after=3)
+    day = 10_000
+    _, months = store.add(_totals(spark, [(1, day + 30 * k, 5) for k in range(60)]), 0)
+    assert len(months) > 55
+    for b in range(1, 12):
+        added, months = store.add(_totals(spark, [(1, day, b), (2, day, 1)]), b)
+        assert len(months) == 1 and _sums(added) == {(1, day): b, (2, day): 1}
+        part = store.read(months, b)
+        assert all(f"/month={months[0]}/" in f for f in part.inputFiles())
+        assert len({f.rsplit("/", 1)[0] for f in part.inputFiles()}) <= 3 + 2  # open batches and one sum
+        assert _sums(part) == {(1, day): 5 + b * (b + 1) // 2, (2, day): b}
+        store.compact(months, b)
+        assert _sums(store.read(months, b)) == {(1, day): 5 + b * (b + 1) // 2, (2, day): b}
+    assert sum(_sums(store.read(sorted({m + k for m in months for k in range(0, 60)}), 11)).values()) == 5 * 60 + 66 + 11
+
+
+def test_replayed_batches_count_once(spark, tmp_path):
+    """A batch written again, before and after its compaction, and a crash between the
+    sum and the removal of what it replaces."""
+    store = UsageStore(spark, str(tmp_path / "daily"), compact_after=1)
+    rows = [(1, 500, 3), (1, 501, 4)]
+    for b in (0, 1, 1):
+        _, months = store.add(_totals(spark, rows), b)
+    assert _sums(store.read(months, 1)) == {(1, 500): 6, (1, 501): 8}
+    assert store.compact(months, 1) == months
+    store.add(_totals(spark, rows), 1)     # the replay of the compacted batch
+    assert _sums(store.read(months, 1)) == {(1, 500): 6, (1, 501): 8}
+    store.add(_totals(spark, rows), 2)
+    assert _sums(store.read(months, 2)) == {(1, 500): 9, (1, 501): 12}
+    assert store.add(_totals(spark, []), 3)[1] == []
+
+
+def test_live_threshold_rank_error(spark):
+    """Measured on skewed totals with many ties, merged over months."""
+    import random
+    random.seed(5)
+    rows = [(a, 400 + 30 * m, int(random.paretovariate(1.2) * 10)) for m in range(20) for a in range(4000)]
+    totals = _totals(spark, rows).withColumn("month", month_of(F.col("day")))
+    sketches = month_sketches(totals)
+    assert sketches.count() == totals.select("month").distinct().count()
+    values = sorted(r[0] for r in totals.groupBy("month", "account_id").agg(F.sum("duration")).select(
+        F.col("sum(duration)")).collect())
+    for q in (0.5, 0.9, 0.99):
+        r = live_threshold(sketches, q).first()
+        assert r.account_months == len(values)
+        below, upto = bisect.bisect_left(values, r.threshold), bisect.bisect_right(values, r.threshold)
+        error = max(0, below / len(values) - q, q - upto / len(values))
+        assert error < 0.003, (q, error)
+
+
+def test_alerts_follow_the_live_threshold(spark, sf_dir, tmp_path):
+    run = run_usage_trigger(spark, sf_dir, out_dir=str(tmp_path / "run"))
+    alerts = spark.read.parquet(run.alerts)
+    thr = alerts.select("threshold").distinct().collect()
+    assert len(thr) == 1
+    want = latest_windows(spark, run).where(F.col("duration") >= thr[0][0]).count()
+    assert alerts.count() == want > 0
