@@ -85,9 +85,9 @@ def _restrict(df: DataFrame, population: DataFrame | None) -> DataFrame:
     return df.join(population.select("account_id"), "account_id", "left_semi")
 
 
-def subscription_signals(active_paid: DataFrame) -> DataFrame:
+def subscription_signals(active_paid: DataFrame, by=("account_id",)) -> DataFrame:
     """Per-account aggregates over active paid subscriptions."""
-    return active_paid.groupBy("account_id").agg(
+    return active_paid.groupBy(*by).agg(
         F.sum("mrr_amount").alias("total_mrr"),
         F.avg("mrr_amount").alias("avg_mrr"),
         F.max("mrr_amount").alias("max_mrr"),
@@ -100,8 +100,9 @@ def subscription_signals(active_paid: DataFrame) -> DataFrame:
         F.bool_or("auto_renew_flag").alias("auto_renew"))
 
 
-def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Usage of the given subscriptions per (account, feature).
+def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame, by=("account_id",)) -> DataFrame:
+    """Usage of the given subscriptions per (account, feature). Subscriptions with
+    a ``snapshot_date`` see the usage up to it.
 
     Usage rows are near unique per (subscription, feature, month), so nothing
     is gained by summing them before the join: the needed columns join the
@@ -109,11 +110,13 @@ def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame) -> Data
     where a subscription is hot), and the sums are combined in the tasks. Per
     (account, feature) the distinct-feature count becomes a plain count.
     """
-    subs = subscriptions.select("subscription_id", "account_id")
-    return (usage.select("subscription_id", "feature_name", "usage_count", "usage_duration_secs",
-                         "error_count", "is_beta_feature")
-            .join(subs, "subscription_id")
-            .groupBy("account_id", "feature_name")
+    asof = "snapshot_date" in subscriptions.columns
+    subs = subscriptions.select("subscription_id", *by, *(["snapshot_date"] if asof else []))
+    rows = usage.select("subscription_id", "feature_name", "usage_count", "usage_duration_secs",
+                        "error_count", "is_beta_feature", *(["usage_date"] if asof else [])).join(subs, "subscription_id")
+    if asof:
+        rows = rows.where(F.col("usage_date") <= F.col("snapshot_date"))
+    return (rows.groupBy(*by, "feature_name")
             .agg(F.count("usage_count").alias("n_counted"), F.sum("usage_count").alias("usage_count"),
                  F.sum("usage_duration_secs").alias("usage_duration"),
                  F.sum("error_count").alias("errors"), F.count_if("is_beta_feature").alias("beta")))
@@ -128,9 +131,9 @@ def usage_by_account_month(usage: DataFrame, subscriptions: DataFrame) -> DataFr
             .agg(F.sum("usage_duration_secs").alias("duration")))
 
 
-def usage_signals(per_feature: DataFrame) -> DataFrame:
+def usage_signals(per_feature: DataFrame, by=("account_id",)) -> DataFrame:
     """Per-account usage aggregates from the (account, feature) roll-up."""
-    return (per_feature.groupBy("account_id").agg(
+    return (per_feature.groupBy(*by).agg(
         F.sum("usage_count").alias("total_usage_count"),
         F.sum("n_counted").alias("_counted"),
         F.sum("usage_duration").alias("total_usage_duration"),
@@ -141,8 +144,8 @@ def usage_signals(per_feature: DataFrame) -> DataFrame:
         .drop("_counted"))
 
 
-def support_signals(support: DataFrame) -> DataFrame:
-    return support.groupBy("account_id").agg(
+def support_signals(support: DataFrame, by=("account_id",)) -> DataFrame:
+    return support.groupBy(*by).agg(
         F.count("ticket_id").alias("n_tickets"),
         F.avg("satisfaction_score").alias("avg_satisfaction"),
         F.avg("resolution_time_hours").alias("avg_resolution_hours"),

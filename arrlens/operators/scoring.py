@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.exact import dround, dround_col
 from ..sources.fixtures import Tables
 from . import model as M
-from ..session import materialize, session_key
+from . import snapshots
+from ..session import TableScope, materialize, session_key
 from .features import Snapshot, fill_features, raw_features
 from .profile import universe_filter
 from .split import stratified_cuts
@@ -38,8 +39,11 @@ class ScoringRun:
     _shared: dict = {}
 
     def __init__(self, t: Tables, model: M.LinearModel | None = None,
-                 snap: Snapshot = Snapshot(), reference: ScoringRun | None = None):
+                 snap: Snapshot = Snapshot(), reference: ScoringRun | None = None,
+                 raw: DataFrame | None = None):
         self.t = t
+        self.scope = reference.scope if reference is not None else TableScope(t.spark)
+        self._raw = raw
         self.snap = snap
         self.model = model or M.LinearModel()
         self._reference = reference
@@ -50,34 +54,60 @@ class ScoringRun:
 
         Like the analysis' stage chaining through a persisted feature table,
         the feature table, vocabulary and scaler are materialised once and
-        every report reads them. Sources are treated as an immutable
-        snapshot for the life of the session; ``clear_shared`` starts over.
-        Frames given directly (``FrameTables``) are never shared.
+        every report reads them. A manifest of the source files (path, length,
+        time) is part of the key: if a file is added, removed or rewritten, the next report
+        builds anew, and the old run's tables go once no result uses them
+        (see ``TableScope``). Frames given directly (``FrameTables``) are never shared.
         """
         if not t.sf_dir:
             return cls(t, snap=snap)
         key = (session_key(t.spark), t.sf_dir, snap)
-        run = cls._shared.get(key)
-        if run is None:
-            run = cls._shared[key] = cls(Tables(t.spark, t.sf_dir), snap=snap)
-        return run
+        known = cls._shared.get(key)
+        if known is None or known.t.manifest != t.manifest:
+            run = cls(Tables(t.spark, t.sf_dir), snap=snap)
+            run.t.manifest = t.manifest
+            cls._shared[key] = run
+            if known is not None:
+                known.scope.release()
+        return cls._shared[key]
 
     @classmethod
     def clear_shared(cls) -> None:
+        """Start over; the runs' tables go with the last result that uses them."""
+        for run in cls._shared.values():
+            run.scope.release()
         cls._shared.clear()
 
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table of this run."""
+        with self.scope:
+            return materialize(df, name)
+
     # -- training side -------------------------------------------------------
     @cached_property
     def raw_features(self) -> DataFrame:
         """Joined per-account signals for all accounts, checkpointed once; both
         the training table and the universe table are read from it."""
-        return materialize(raw_features(self.t, None, self.snap))
+        if self._raw is not None:
+            return self._raw
+        return self.kept(raw_features(self.t, None, self.snap), "features-raw")
+
+    @cached_property
+    def earlier(self) -> dict[int, ScoringRun]:
+        """Runs as of earlier dates (by lag in days) with this run's vocabulary, scaler
+        and model, all on one feature build."""
+        dates = snapshots.lag_dates(self.t)
+        if not dates:
+            return {}
+        raw = self.kept(snapshots.raw_features(self.t, dates), "features-earlier")
+        return {n: ScoringRun(self.t, model=self.model, reference=self,
+                              raw=raw.where(F.col("snapshot") == n).drop("snapshot")) for n in dates}
 
     @cached_property
     def features(self) -> DataFrame:
         """Filled training table, checkpointed: the vocabulary, the scaler fit
         and every scoring projection read it (fills computed once)."""
-        return materialize(fill_features(self.raw_features))
+        return self.kept(fill_features(self.raw_features), "features")
 
     @cached_property
     def vocab(self) -> dict[str, list[str]]:
@@ -167,7 +197,7 @@ class ScoringRun:
         """Universe rows of the checkpointed raw table, filled with medians
         taken over the universe. Per-account signals do not depend on the
         population, so this equals rebuilding them for the universe's ids."""
-        return materialize(fill_features(self.raw_features.where(universe_filter())))
+        return self.kept(fill_features(self.raw_features.where(universe_filter())), "features-universe")
 
     @cached_property
     def universe_scored(self) -> DataFrame:

@@ -139,6 +139,19 @@ def tier_transitions(prev: ScoringRun, cur: ScoringRun) -> DataFrame:
                      & ~F.coalesce(F.col("prev_band") == "Very High", F.lit(False))).alias("entered_tier1")))
 
 
+def score_history(run: ScoringRun) -> DataFrame:
+    """(snapshot, readiness_band, accounts, avg_score) of the expansion universe as
+    of each earlier date (days before the latest subscription start) and now
+    (0): the accounts that had signed up and not churned by then."""
+    out = None
+    for n, r in sorted({**run.earlier, 0: run}.items(), reverse=True):
+        part = (r.universe_scored.where("readiness_band IS NOT NULL").groupBy("readiness_band")
+                .agg(F.count(F.lit(1)).alias("accounts"), F.avg("expansion_readiness_score").alias("_a"))
+                .select(F.lit(n).alias("snapshot"), "readiness_band", "accounts", dround("_a", 1).alias("avg_score")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def conversion_by_tier(run: ScoringRun) -> DataFrame:
     """Observed upgrade rate per outreach priority (is the model ranking
     correctly? tier 1 should convert well above tier 3)."""
@@ -151,6 +164,22 @@ def conversion_by_tier(run: ScoringRun) -> DataFrame:
             .withColumn("conversion_rate_pct", ratio_round("converted", "labelled", 1, 100)))
 
 
+def tier_conversion_ratio(run: ScoringRun, low: float = 2.0) -> DataFrame:
+    """Conversion rate of tier 1 over tier 3 and whether it reaches ``low`` (the
+    model ranks as it should); null where tier 3 has no conversion."""
+    label = F.col("outreach_priority")
+    c = conversion_by_tier(run)
+
+    def one(band: str, col: str):
+        return F.sum(F.when(label == OUTREACH[band], F.col(col)))
+
+    agg = c.agg(one("Very High", "converted").alias("c1"), one("Very High", "labelled").alias("n1"),
+                one("Medium", "converted").alias("c3"), one("Medium", "labelled").alias("n3"))
+    ratio = ratio_round("c1 * n3", "c3 * n1", 2)
+    return agg.select(ratio_round("c1", "n1", 1, 100).alias("tier1_pct"), ratio_round("c3", "n3", 1, 100).alias("tier3_pct"),
+                      ratio.alias("ratio"), (ratio >= low).alias("ranks_well"))
+
+
 def model_drift(run: ScoringRun, baseline_top: str = "total_usage_duration",
                 min_auc: float = 0.60) -> DataFrame:
     """Retrain signal: hold-out AUC below ``min_auc``, or the top global

@@ -6,7 +6,9 @@ from __future__ import annotations
 from ..functions.exact import dround_sql as dr
 from ..functions.exact import ratio_round_sql as rr
 from ..operators import model as M
+from ..operators import period_kpis as K
 from ..operators import signals as S
+from ..operators.snapshots import LAGS
 from ..operators.targets import KPI_TARGETS, OUTREACH
 from .oracle import ORACLE, oracle, _NRR_AGGS, _NRR_SELECT, PAID, sql_targets_body
 
@@ -41,10 +43,20 @@ def feature_ctes(p: str = "f", universe: bool = False, lag_days: int | None = No
     """CTEs ending in ``{p}_feat``: the filled account feature table."""
     pop_where = "WHERE NOT churn_flag AND plan_tier IN ('Basic', 'Pro')" if universe else ""
     in_pop = f"AND account_id IN (SELECT account_id FROM {p}_pop)" if universe else ""
+    base = "SELECT * FROM accounts"
     if lag_days is None:
         active, ucut, scut = "end_date IS NULL", "", ""
     else:
         cut = f"(SELECT MAX(start_date) - {lag_days} FROM subscriptions)"
+        # accounts of that date: signed up, and churned or not by the last event until then
+        latest = "CAST(datediff('day', DATE '1970-01-01', churn_date) AS HUGEINT) * 1000000000000 + churn_event_id"
+        base = f"""SELECT * FROM (SELECT a.* REPLACE (CASE WHEN e.n_before > 0 THEN e.churned WHEN e.n > 0 THEN FALSE
+                                   ELSE a.churn_flag END AS churn_flag)
+           FROM accounts a LEFT JOIN (
+             SELECT account_id, COUNT(churn_date) AS n, COUNT(*) FILTER (WHERE churn_date <= {cut}) AS n_before,
+                    arg_max(NOT is_reactivation, {latest}) FILTER (WHERE churn_date <= {cut}) AS churned
+             FROM churn_events GROUP BY account_id) e ON a.account_id = e.account_id
+           WHERE a.signup_date <= {cut}) acc"""
         active = f"start_date <= {cut} AND (end_date IS NULL OR end_date > {cut})"
         ucut = f"AND u.usage_date <= {cut}"
         scut = f"AND CAST(submitted_at AS DATE) <= {cut}"
@@ -57,7 +69,7 @@ def feature_ctes(p: str = "f", universe: bool = False, lag_days: int | None = No
         else:
             fill.append(c)
     return f"""
-{p}_pop AS (SELECT * FROM accounts {pop_where}),
+{p}_pop AS ({base} {pop_where}),
 {p}_aps AS (SELECT * FROM subscriptions WHERE mrr_amount > 0 AND {active} {in_pop}),
 {p}_sf AS (
   SELECT account_id, {B('SUM(mrr_amount)')} AS total_mrr, AVG(mrr_amount) AS avg_mrr,
@@ -375,6 +387,72 @@ SELECT account_id, month, duration, prev_month, prev_duration,
 FROM w WHERE rn_desc = 1 AND duration < prev_duration"""
 
 
+@oracle("early_warning")
+def _():
+    return f"""
+WITH aps AS (SELECT * FROM subscriptions WHERE mrr_amount > 0 AND end_date IS NULL),
+m AS (SELECT s.account_id, date_trunc('month', u.usage_date) AS month, {B('SUM(u.usage_duration_secs)')} AS duration
+      FROM feature_usage u JOIN aps s ON u.subscription_id = s.subscription_id GROUP BY 1, 2),
+thr AS (SELECT quantile_cont(CAST(duration AS DOUBLE), 0.9) AS t FROM m),
+since AS (SELECT account_id, MIN(d) AS first FROM (
+            SELECT account_id, date_trunc('month', start_date) AS d FROM aps
+            UNION ALL SELECT account_id, month FROM m) x GROUP BY account_id),
+cal AS (SELECT DISTINCT unnest(generate_series((SELECT MIN(first) FROM since)::TIMESTAMP,
+                                               (SELECT MAX(month) FROM m)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month),
+sp AS (SELECT s.account_id, c.month, COALESCE(m.duration, 0) AS duration
+       FROM since s JOIN cal c ON c.month >= s.first LEFT JOIN m ON m.account_id = s.account_id AND m.month = c.month),
+w AS (SELECT *, lag(duration) OVER (PARTITION BY account_id ORDER BY month) AS prev,
+             row_number() OVER (PARTITION BY account_id ORDER BY month DESC) AS back FROM sp),
+a AS (SELECT account_id, COUNT(*) AS n, MAX(month) AS month, MAX(duration) FILTER (WHERE back = 1) AS duration,
+             MAX(prev) FILTER (WHERE back = 1) AS prev_duration,
+             MIN(back) FILTER (WHERE prev IS NULL OR duration >= prev) - 1 AS months_declining,
+             COALESCE(MIN(back) FILTER (WHERE duration > 0) - 1, COUNT(*)) AS months_silent
+      FROM w GROUP BY account_id),
+r AS (SELECT a.*, t, CASE WHEN months_silent > 0 THEN 'silent'
+                          WHEN months_declining > 0 AND duration < t THEN 'declining' END AS status FROM a, thr)
+SELECT account_id, status, STRFTIME(month, '%Y-%m') AS month, duration, prev_duration,
+       {rr('prev_duration - duration', 'prev_duration', 1, 100)} AS decline_pct,
+       CAST(months_declining AS INTEGER) AS months_declining, CAST(months_silent AS INTEGER) AS months_silent,
+       {dr('t', 6)} AS threshold
+FROM r WHERE status IS NOT NULL"""
+
+
+@oracle("kpi_by_period")
+def _():
+    def part(kind: str, everyone: bool) -> str:
+        period = "STRFTIME(month, '%Y-%m')" if kind == "month" else "concat(year(month), '-Q', quarter(month))"
+        who = "'All'" if everyone else "industry"
+        return (f"SELECT '{kind}' AS period_type, {period} AS period, {who} AS industry, SUM(started) AS started, "
+                f"SUM(upgraded) AS upgraded, SUM(pro) AS pro, SUM(pro_up) AS pro_up, SUM(exp) AS exp, "
+                f"SUM(con) AS con, SUM(churned) AS churned FROM filled GROUP BY 1, 2, 3")
+    rolled = " UNION ALL ".join(part(k, e) for k in ("month", "quarter") for e in (True, False))
+    rows = [("expansion_mrr", "CAST(exp AS DOUBLE)", f"CASE WHEN industry = 'All' THEN {K.MONTHLY_EXPANSION_MRR!r} * k END", ">="),
+            ("contraction_mrr", "CAST(con AS DOUBLE)", f"CASE WHEN industry = 'All' THEN {K.MONTHLY_CONTRACTION_MRR!r} * k END", "<="),
+            ("churned_mrr", "CAST(churned AS DOUBLE)", "NULL", ">="),
+            ("upgrade_conversion_pct", rr("upgraded", "started", 1, 100),
+             "CASE industry WHEN 'HealthTech' THEN 12.0 END", ">="),
+            ("pro_conversion_pct", rr("pro_up", "pro", 1, 100),
+             f"CASE WHEN industry = 'All' AND k = 3 THEN {K.QUARTERLY_PRO_CONVERSION_PCT!r} END", ">=")]
+    out = " UNION ALL ".join(
+        f"SELECT period_type, period, industry, '{n}' AS kpi, {a} AS actual, CAST({g} AS DOUBLE) AS target, "
+        f"{a} {op} CAST({g} AS DOUBLE) AS met FROM p" for n, a, g, op in rows)
+    return f"""
+WITH s AS (SELECT x.*, COALESCE(a.industry, 'unknown') AS industry
+           FROM subscriptions x JOIN accounts a ON a.account_id = x.account_id WHERE mrr_amount > 0),
+ev AS (SELECT industry, date_trunc('month', start_date)::DATE AS month, 1 AS started, CAST(upgrade_flag AS BIGINT) AS upgraded,
+              CAST(plan_tier = 'Pro' AS BIGINT) AS pro, CAST(plan_tier = 'Pro' AND upgrade_flag AS BIGINT) AS pro_up,
+              CASE WHEN upgrade_flag THEN mrr_amount ELSE 0 END AS exp,
+              CASE WHEN downgrade_flag THEN mrr_amount ELSE 0 END AS con, 0 AS churned FROM s
+       UNION ALL SELECT industry, date_trunc('month', end_date)::DATE, 0, 0, 0, 0, 0, 0, mrr_amount FROM s
+       WHERE end_date IS NOT NULL),
+cal AS (SELECT unnest(generate_series((SELECT MIN(month) FROM ev)::TIMESTAMP, (SELECT MAX(month) FROM ev)::TIMESTAMP,
+                                      INTERVAL 1 MONTH))::DATE AS month),
+filled AS (SELECT * FROM ev UNION ALL
+           SELECT i.industry, c.month, 0, 0, 0, 0, 0, 0, 0 FROM (SELECT DISTINCT industry FROM ev) i CROSS JOIN cal c),
+p AS (SELECT *, CASE period_type WHEN 'quarter' THEN 3 ELSE 1 END AS k FROM ({rolled}) r)
+{out}"""
+
+
 # --------------------------------------------------------------------------
 # model
 # --------------------------------------------------------------------------
@@ -670,6 +748,26 @@ def _():
 FROM scored WHERE outreach_priority IS NOT NULL GROUP BY outreach_priority""")
 
 
+@oracle("score_history")
+def _():
+    lags = (*LAGS, 0)
+    ctes = ",\n".join([model_ctes(), universe_ctes()] + [universe_ctes(f"h{n}", lag_days=n) for n in LAGS])
+    return W(ctes, " UNION ALL ".join(
+        f"""SELECT {n} AS snapshot, readiness_band, COUNT(*) AS accounts, {dr('AVG(expansion_readiness_score)', 1)} AS avg_score
+FROM {f'h{n}' if n else 'u'}_scored WHERE readiness_band IS NOT NULL GROUP BY readiness_band""" for n in lags))
+
+
+@oracle("tier_conversion_ratio")
+def _():
+    def one(band, what):
+        return f"COUNT({what}) FILTER (WHERE readiness_band = '{band}')"
+    up = "CASE WHEN has_upgraded THEN 1 END"
+    return _U(f"""SELECT {rr('c1', 'n1', 1, 100)} AS tier1_pct, {rr('c3', 'n3', 1, 100)} AS tier3_pct,
+       {rr('c1 * n3', 'c3 * n1', 2)} AS ratio, {rr('c1 * n3', 'c3 * n1', 2)} >= 2.0 AS ranks_well
+FROM (SELECT {one('Very High', up)} AS c1, {one('Very High', 'has_upgraded')} AS n1,
+             {one('Medium', up)} AS c3, {one('Medium', 'has_upgraded')} AS n3 FROM u_scored) r""")
+
+
 @oracle("kpi_vs_target")
 def _():
     t = KPI_TARGETS

@@ -23,7 +23,10 @@ def register(key: str, fn: Callable[[Tables], DataFrame]) -> None:
 def _wrap(fn: Callable[[Tables], DataFrame]) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return fn(Tables(spark, sf_dir))
+        t = Tables(spark, sf_dir)
+        df = fn(t)
+        # results of the shared run keep its tables alive, should the sources change meanwhile
+        return ScoringRun.shared(t).scope.lend(df) if "manifest" in t.__dict__ else df
     run.__doc__ = fn.__doc__
     return run
 
@@ -74,7 +77,8 @@ from ..operators import features as _feat  # noqa: E402
 from ..operators import model as _model  # noqa: E402
 from ..operators import signals as _sig  # noqa: E402
 from ..operators import targets as _tg  # noqa: E402
-from ..operators.features import Snapshot  # noqa: E402
+from ..operators.early_warning import early_warning  # noqa: E402
+from ..operators.period_kpis import kpi_by_period  # noqa: E402
 from ..operators.scoring import ScoringRun  # noqa: E402
 from ..operators.sparse import SparseDesign  # noqa: E402
 
@@ -97,6 +101,8 @@ register("upgrade_by_usage_quartile",
          lambda t: _sig.upgrade_by_usage_quartile(ScoringRun.shared(t).features))
 register("usage_p90_trigger", lambda t: _sig.usage_p90_trigger(ScoringRun.shared(t).universe_features))
 register("usage_decline", _sig.usage_decline)
+register("early_warning", early_warning)
+register("kpi_by_period", kpi_by_period)
 
 # model ------------------------------------------------------------------------
 register("class_balance", lambda t: ScoringRun.shared(t).features.where("has_upgraded IS NOT NULL")
@@ -183,11 +189,12 @@ register("dual_top_overlap", lambda t: _tg.dual_top_overlap(ScoringRun.shared(t)
 
 def _transitions(t):
     cur = ScoringRun.shared(t)
-    prev = ScoringRun(t, snap=Snapshot(lag_days=180), reference=cur)
-    return _tg.tier_transitions(prev, cur)
+    return _tg.tier_transitions(cur.earlier[180], cur)
 
 
 register("tier_transitions", _transitions)
+register("score_history", lambda t: _tg.score_history(ScoringRun.shared(t)))
+register("tier_conversion_ratio", lambda t: _tg.tier_conversion_ratio(ScoringRun.shared(t)))
 register("conversion_by_tier", lambda t: _tg.conversion_by_tier(ScoringRun.shared(t)))
 register("model_drift", lambda t: _tg.model_drift(ScoringRun.shared(t)))
 register("kpi_vs_target", _tg.kpi_vs_target)
@@ -212,8 +219,7 @@ register("tier_summary_formatted", lambda t: _tg.tier_summary_formatted(ScoringR
 
 def _snapshot_drift(t):
     cur = ScoringRun.shared(t)
-    prev = ScoringRun(t, snap=Snapshot(lag_days=180), reference=cur)
-    return _tg.snapshot_drift(prev, cur)
+    return _tg.snapshot_drift(cur.earlier[180], cur)
 
 
 register("snapshot_drift", _snapshot_drift)

@@ -12,6 +12,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings applied only when the session does not already define them.
 _DEFAULTS = {
@@ -137,6 +138,67 @@ def list_paths(spark: SparkSession, glob: str) -> list[str]:
     return [str(x.getPath().toString()) for x in (fs.globStatus(p) or [])]
 
 
+class TableScope:
+    """Written intermediate tables that live and go together, counted by their users.
+
+    Tables that ``materialize`` writes inside ``with scope:`` belong to it. It starts with one
+    user, its maker; ``acquire`` adds one and ``release`` takes one away, and with the last
+    one the tables are removed. Outside of any scope a table stays until the driver ends,
+    as do those of a scope that nobody released.
+    """
+
+    _open: list[TableScope] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.users = spark, [], 1
+
+    def __enter__(self) -> TableScope:
+        TableScope._open.append(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        TableScope._open.remove(self)
+
+    @classmethod
+    def current(cls) -> TableScope | None:
+        return cls._open[-1] if cls._open else None
+
+    def acquire(self) -> TableScope:
+        self.users += 1
+        return self
+
+    def release(self) -> None:
+        self.users -= 1
+        if self.users == 0:
+            for path in self.paths:
+                delete_path(self.spark, path)
+            self.paths.clear()
+
+    def lend(self, df):
+        """Makes ``df`` a user of the tables for as long as the object lives. Frames derived
+        from it do not count: keep ``df`` while they are in use."""
+        import weakref
+        self.acquire()
+        weakref.finalize(df, self.release).atexit = False
+        return df
+
+
+def manifest(spark: SparkSession, paths: list[str]) -> tuple:
+    """Fingerprint of the files behind ``paths``: their number, bytes, and a sum of
+    hashes of (path, length, modification time). Folders are listed and hashed by
+    Spark, and no listing comes to the driver; paths that are single files are asked
+    for directly. No content is read."""
+    found = [_path_and_files(spark, p) for p in paths]
+    if all(fs is not None for _, fs in found):
+        status = [fs.getFileStatus(p) for p, fs in found]
+        if all(x.isFile() for x in status):
+            return tuple((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in status)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+             .select("path", "length", F.unix_micros("modificationTime").alias("at")))
+    digest = F.sum(F.xxhash64("path", "length", "at").cast("decimal(38,0)"))
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), digest.cast("string")).first())
+
+
 def materialize(df, name: str | None = None, read_as=None):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back.
@@ -152,4 +214,7 @@ def materialize(df, name: str | None = None, read_as=None):
     path = shared_dir(spark, "arrlens-tables", f"{name or 'table'}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     delete_on_exit(spark, path)
+    scope = TableScope.current()
+    if scope is not None:
+        scope.paths.append(path)
     return spark.read.schema(read_as or df.schema).parquet(path)

@@ -40,6 +40,9 @@ def usage_from_lineitem(li: DataFrame) -> DataFrame:
     )
 
 
+SOURCES = ("customer", "nation", "region", "orders", "lineitem", "events")
+
+
 class Tables:
     """Lazy access to driver tables and the business views built on them.
 
@@ -50,6 +53,12 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    @cached_property
+    def manifest(self) -> tuple:
+        """Which files the tables are made of, when this object was first asked."""
+        from ..session import manifest
+        return manifest(self.spark, [f"{self.sf_dir}/{n}.parquet" for n in SOURCES])
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
