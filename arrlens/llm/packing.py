@@ -4,8 +4,10 @@ Pieces are dealt by hash into blocks of bounded size. Each block is evolved by
 several islands (tasks): a solution is a set of bins, crossover injects whole
 well-filled bins of one parent into the other, drops the bins that hold
 duplicates and best-fits the displaced pieces. After an epoch each island's
-elite solution migrates to the next island of its block. The poorly filled
-bins of all blocks are dissolved and packed again, in fewer and fewer blocks.
+elite solution migrates to the next island of its block. Before that, rounds of
+plain best-fit keep what they fill (nearly) completely, and the poorly filled bins of
+all blocks are dissolved and dealt again to fewer blocks: the islands work on what is left,
+where bins can still be saved, and skip blocks that already meet the lower bound of bins.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
-CACHE_CHUNKS = 700_000
+CACHE_BYTES = 160_000_000   # of a Python worker's chunk cache, estimated
+ENTRY_BYTES = 200           # of a cached chunk beside its text and ids
 # a word and its closing marks, which the pre-tokenizer parts (an apostrophe may be of a contraction)
 _MARKED = re.compile(r"(\n?)([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 # white space that does not simply separate two words of one line or two lines
@@ -51,8 +54,10 @@ class _Chunks(dict):
     from the word's and the marks' ids; a word alone is one piece of the
     pre-tokenizer, so the merges are asked at once."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, max_bytes: int = CACHE_BYTES):
         super().__init__()
+        # two generations: a full one becomes the old one, and what is used again moves on
+        self.old, self.held, self.limit = {}, 0, max_bytes // 2
         self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
         self.marks = functools.lru_cache(maxsize=10_000)(self.encode)
 
@@ -64,6 +69,19 @@ class _Chunks(dict):
         return array("I", [t.id for t in tokens]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.new(chunk)
+        self[chunk] = ids
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
+        return ids
+
+    def age(self) -> None:
+        if self.held > self.limit:
+            self.old, self.held = dict(self), 0
+            self.clear()
+
+    def new(self, chunk: str) -> bytes:
         m = _MARKED.fullmatch(chunk)
         if not m:
             ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
@@ -71,7 +89,6 @@ class _Chunks(dict):
             ids = self[m[1] + m[2]] + self.marks(m[3])
         else:
             ids = self.marks("\n") + self.word(m[2]) if m[1] else self.word(" " + m[2])
-        self[chunk] = ids
         return ids
 
 
@@ -82,11 +99,11 @@ class Encoder:
     bounded cache. Any other white space, text beyond Latin-1 and text with a
     special token's string go through the tokenizer whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = _Chunks(self.tokenizer)
+        self.chunks = _Chunks(self.tokenizer, cache_bytes)
 
     def whole(self, text: str) -> bytes:
         return self.chunks.encode(text)
@@ -103,16 +120,15 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text or not self._is_plain(text):
             return self.whole(text)
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+        self.chunks.age()
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, cache_bytes: int) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, cache_bytes)
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
@@ -125,9 +141,9 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [(a, ids[4 * a:4 * b]) for a, b in zip(starts, [*starts[1:], n])]
 
 
-def _tokenise(path: str, capacity: int):
+def _tokenise(path: str, capacity: int, cache_bytes: int, keep_cache: bool):
     def tokenise(batches):
-        encoder = _encoder(path)
+        encoder = _encoder(path, cache_bytes) if keep_cache else Encoder(path, cache_bytes)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -143,9 +159,12 @@ def _tokenise(path: str, capacity: int):
     return tokenise
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of all documents, in one narrow pass."""
-    return id_and_text(docs).mapInArrow(_tokenise(path, capacity),
+def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, cache_bytes: int = CACHE_BYTES,
+              keep_cache: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of all documents, in one narrow
+    pass. A worker's chunk cache holds about ``cache_bytes``; ``keep_cache`` lets the
+    next task of the worker go on with it."""
+    return id_and_text(docs).mapInArrow(_tokenise(path, capacity, cache_bytes, keep_cache),
                                         "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -199,13 +218,55 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths, capacity: int, rn
         displaced += child.items[n]
         child.items[n] = []
     left = Bins(lengths, capacity)
-    for x in child.items:
-        if x:
-            left.open(list(x))
+    for x in refill([x for x in child.items if x], displaced, lengths, capacity, rng):
+        left.open(x)
     left.best_fit(displaced)
     return left.items
 
 
+def refill(bins: list[list[int]], displaced: list[int], lengths, capacity: int, rng: random.Random) -> list[list[int]]:
+    """Each bin in random order gives up one or two of its pieces for one displaced
+    piece, or one for two, where that fills it better; ``displaced`` then holds the
+    pieces given up, which are smaller or fewer and easier to place."""
+    out = [list(x) for x in bins]
+    order = list(range(len(out)))
+    rng.shuffle(order)
+    loose = sorted((lengths[i], i) for i in displaced)
+    for n in order:
+        x = out[n]
+        free = capacity - sum(lengths[i] for i in x)
+        if not free or not loose:
+            continue
+        best = None  # (free room left, pieces out, pieces in)
+        gives = [(i,) for i in x] + [(i, k) for a, i in enumerate(x) for k in x[a + 1:a + 9]]
+        for give in gives[:40]:
+            size = sum(lengths[i] for i in give)
+            at = bisect.bisect_right(loose, (size + free, 1 << 62)) - 1
+            if at >= 0 and loose[at][0] > size and (best is None or size + free - loose[at][0] < best[0]):
+                best = (size + free - loose[at][0], give, (loose[at],))
+            if len(give) == 1:  # two small ones for one; the larger from the middle of what fits
+                for k in range(max(at - 8, 0), at + 1):
+                    rest = size + free - loose[k][0]
+                    other = bisect.bisect_right(loose, (rest, 1 << 62)) - 1
+                    if other == k:
+                        other -= 1
+                    if other >= 0 and loose[k][0] + loose[other][0] > size and (
+                            best is None or rest - loose[other][0] < best[0]):
+                        best = (rest - loose[other][0], give, (loose[k], loose[other]))
+            if best and not best[0]:
+                break
+        if best:
+            _, give, take = best
+            for i in give:
+                x.remove(i)
+                bisect.insort(loose, (lengths[i], i))
+            for entry in take:
+                loose.remove(entry)
+                x.append(entry[1])
+    displaced[:] = [i for _, i in loose]
+    return out
+
+
 def evolve(lengths: list[int], capacity: int, seeds: list[list[list[int]]], rng: random.Random,
            population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
     """The best solution found; ends early at the lower bound of bins."""
@@ -248,31 +309,52 @@ def _island(capacity: int, seed: int):
             if groups:
                 seeds.append(list(groups.values()))
         bins = evolve(lengths, capacity, seeds, random.Random(f"{seed}-{block}-{island}"))
-        where = [0] * len(lengths)
-        fill = [0] * len(lengths)
-        for n, b in enumerate(bins):
-            total = sum(lengths[i] for i in b)
-            for i in b:
-                where[i], fill[i] = n, total
-        squares = fitness(bins, lengths, capacity)[1]
-        m = len(lengths)
-        return pa.table([pa.array([block] * m, pa.int64()), pa.array([island] * m, pa.int32()),
-                         pa.array(items, pa.int64()), pa.array(lengths, pa.int64()), pa.array(where, pa.int32()),
-                         pa.array(fill, pa.int64()), pa.array([len(bins)] * m, pa.int32()),
-                         pa.array([squares] * m, pa.float64())],
-                        ["block", "island", "item", "length", "bin", "fill", "bins", "squares"])
+        return _solution(block, island, items, lengths, bins, capacity)
     return run
 
 
-_SOLUTION = "block long, island int, item long, length long, bin int, fill long, bins int, squares double"
+def _solution(block: int, island: int, items: list[int], lengths: list[int], bins: list[list[int]],
+              capacity: int) -> pa.Table:
+    where, fill = [0] * len(lengths), [0] * len(lengths)
+    for n, b in enumerate(bins):
+        total = sum(lengths[i] for i in b)
+        for i in b:
+            where[i], fill[i] = n, total
+    count, squares = fitness(bins, lengths, capacity)
+    m = len(lengths)
+    return pa.table([pa.array([block] * m, pa.int64()), pa.array([island] * m, pa.int32()),
+                     pa.array(items, pa.int64()), pa.array(lengths, pa.int64()), pa.array(where, pa.int32()),
+                     pa.array(fill, pa.int64()), pa.array([-count] * m, pa.int32()),
+                     pa.array([-(-sum(lengths) // capacity)] * m, pa.int32()), pa.array([squares] * m, pa.float64())],
+                    ["block", "island", "item", "length", "bin", "fill", "bins", "least", "squares"])
+
+
+_SOLUTION = "block long, island int, item long, length long, bin int, fill long, bins int, least int, squares double"
+
+
+def _first_fit(capacity: int):
+    def run(key, tab):
+        tab = tab.sort_by([("length", "descending"), ("item", "ascending")])
+        lengths = tab["length"].to_pylist()
+        bins = Bins(lengths, capacity)
+        bins.best_fit(range(len(lengths)))
+        return _solution(key[0].as_py(), -1, tab["item"].to_pylist(), lengths, bins.items, capacity)
+    return run
 
 
 def solve(items: DataFrame, blocks: int, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS,
           seed: int = 1) -> DataFrame:
-    """(block, item, length, bin, fill): the best island's solution of each block."""
+    """(block, item, length, bin, fill): the best-fit solution of the blocks where
+    it meets the lower bound of bins, the best island's solution of the others.
+    Without islands, the best-fit solution of all."""
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(blocks)))
-    start = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).withColumns(
-        {"own": F.lit(None).cast("int"), "immigrant": F.lit(None).cast("int")})
+    fitted = staged(dealt.groupBy("block").applyInArrow(_first_fit(capacity), _SOLUTION), "packing-fit")
+    cols = ["block", "item", "length", "bin", "fill"]
+    open_blocks = fitted.where("bins > least")
+    if not islands or open_blocks.isEmpty():
+        return fitted.select(*cols)
+    start = open_blocks.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "item",
+                               "length", F.col("bin").alias("own"), F.lit(None).cast("int").alias("immigrant"))
     elite = None
     for epoch in range(epochs):
         if elite is not None:  # the elite of island i goes on there and on island i + 1
@@ -284,14 +366,15 @@ def solve(items: DataFrame, blocks: int, capacity: int, islands: int = ISLANDS,
                        "packing-elite")
     best = elite.groupBy("block").agg(F.max(F.struct(-F.col("bins"), "squares", -F.col("island"))).alias("b"))
     best = best.select("block", (-F.col("b")["col3"]).alias("island"))
-    return elite.join(best, ["block", "island"]).select("block", "item", "length", "bin", "fill")
+    return fitted.where("bins <= least").select(*cols).unionByName(
+        elite.join(best, ["block", "island"]).select(*cols))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS,
          rounds: int = 3) -> DataFrame:
     """``pieces`` with the (round, block, bin) each one is packed into. Full pieces stand alone. Rounds of
-    ``solve`` follow; in all but the last, a block keeps only its bins that are
-    (nearly) full, and the rest is packed again among fewer blocks."""
+    ``solve`` follow; in all but the last, by best-fit alone, a block keeps only its bins
+    that are (nearly) full, and the rest is packed again among fewer blocks."""
     pieces = staged(pieces.withColumn("item", F.monotonically_increasing_id()), "packing-pieces")
     rest = pieces.where(F.col("length") < capacity).select("item", "length")
     done = pieces.where(F.col("length") >= capacity).select("item", F.lit(0).alias("round"), F.col("item").alias("block"),
@@ -303,7 +386,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
             break
         blocks = max(1, -(-n // block_pieces)) if blocks is None or n < block_pieces * blocks else blocks
         last = r == rounds or blocks == 1
-        solved = solve(rest, blocks, capacity, islands, seed=r)
+        solved = solve(rest, blocks, capacity, islands if last else 0, seed=r)
         placed = solved if last else solved.where(F.col("fill") >= capacity - 2)
         done = done.unionByName(placed.select("item", F.lit(r).alias("round"), "block", "bin"))
         if last:
@@ -322,7 +405,8 @@ def sequences(packed: DataFrame) -> DataFrame:
                          (F.sum("length").over(place) - F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
+                   cache_bytes: int = CACHE_BYTES, keep_cache: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset. Null and empty texts are one piece holding the end id; repeated
     rows and rows with null ids are packed like any other (a row, not its id,
@@ -331,7 +415,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return sequences(pack(pieces_of(docs, path, capacity), capacity))
+    return sequences(pack(pieces_of(docs, path, capacity, cache_bytes, keep_cache), capacity))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

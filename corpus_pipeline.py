@@ -33,8 +33,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents as packed sequences of at most 1024 tokens."""
-    return packing.pack_documents(docs)
+    """The kept documents as packed sequences of at most 1024 tokens. The workers also
+    hold what earlier stages loaded, so their tokenizer caches are small and end with the task."""
+    return packing.pack_documents(docs, cache_bytes=24_000_000, keep_cache=False)
 
 
 STAGES = [
