@@ -10,7 +10,7 @@ an unescaped marker is always a real one and the text comes back unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -64,18 +64,18 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("conv_id", F.struct(
-        "turn", "role", "text", F.concat(F.lit(OPEN), role_label(F.col("role")), F.lit(": ")).alias("head"),
-        escape(F.col("text")).alias("body")).alias("t"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END)
-    # running start of every turn, then the assistant turns with their spans
-    starts = F.aggregate("ts", F.array(F.lit(0)).cast("array<int>"),
-                         lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + size(t))))
-    convs = convs.withColumn("starts", starts)
+    rows = rows.select("conv_id", "turn", "role", "text",
+                       F.concat(F.lit(OPEN), role_label(F.col("role")), F.lit(": ")).alias("head"),
+                       escape(F.col("text")).alias("body"))
+    # where each turn starts: a running sum over the rows, which are dealt by conversation only once
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(END)
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
+        "turn", "role", "text", "start", "head", "body"))).alias("ts"))
     spans = F.transform("ts", lambda t, i: F.struct(
         i.alias("context_turns"), t["role"].alias("role"),
-        (F.get(F.col("starts"), i) + F.length(t["head"])).alias("loss_start"), t["body"].alias("reply")))
+        (t["start"] + F.length(t["head"])).alias("loss_start"), t["body"].alias("reply")))
     replies = F.filter(spans, lambda s: s["role"] == "assistant")
     examples = F.transform(replies, lambda s, i: F.struct(
         i.alias("example"), s["context_turns"].alias("context_turns"), s["loss_start"].alias("loss_start"),

@@ -116,7 +116,8 @@ class Model:
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(np.argmax(p))
-        return self.langs[best], float(p[best]), bool(p[best] < self.reject_below)
+        # without one learned subword only the bias speaks
+        return self.langs[best], float(p[best]), bool(p[best] < self.reject_below or not total.any())
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
