@@ -30,6 +30,16 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def in_slices(batches, rows: int = 256):
+    """The batches in parts of few rows, so that a worker holds the Python values of one
+    part at a time; what Arrow no longer needs goes back to the system at the end of the task."""
+    import pyarrow as pa
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int,
                     max_rows: int) -> DataFrame:
     """(text, label) of the labelled documents outside the held-out fold, about

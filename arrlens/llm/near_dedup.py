@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged, table
+from .common import id_and_text, in_slices, staged, table
 
 COORDINATES = 48
 _LOW = 63               # the low bits of a posting name its coordinate
@@ -40,7 +40,7 @@ MIN_COLLISIONS = 24     # P(Bin(48, 0.8) < 24) is about 10^-6
 SIMILARITY = 80         # percent
 SHORT = 6               # members of a posting list that are all paired at once
 HUBS = 4                # members of a longer list that all others are paired with first
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _M = (1 << 64) - 1
 
 
@@ -91,7 +91,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _sign(size: int):
     def sign(batches):
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in in_slices(batches):
             n, flat, offsets = [], [], [0]
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, size, hashes)
@@ -130,7 +130,7 @@ def _compare(size: int, similarity: int):
     def compare(batches):
         hashes = _WordHashes()
         last, y = None, None  # rows of one b follow each other
-        for batch in batches:
+        for batch in in_slices(batches):
             links = []
             for i in range(batch.num_rows):
                 b = batch["b"][i].as_py()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, labelled_sample, table
+from .common import held_out, id_and_text, in_slices, labelled_sample, table
 
 SAMPLE_ROWS = 16_000      # labelled rows the model is fitted on, at most about
 PAIRS_PER_ROW = 12        # good rows that each bad row is compared with, and the reverse
@@ -76,6 +76,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def pair_numbers(n_good: int, n_bad: int, pairs_per_row: int = PAIRS_PER_ROW) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the good and the bad row of each pair. The stride has no factor in common
+    with the number of bad rows, so every row is reached."""
+    k = np.arange(max(n_good, n_bad) * pairs_per_row)
+    stride = next(s for s in range(7919, 7919 + n_bad) if math.gcd(s, n_bad) == 1)
+    return k % n_good, (k * stride + k // n_good) % n_bad
+
+
 def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, l2: float = 1.0) -> Model:
     """Newton steps on the pairs' logistic loss. Every row of either class is
     in ``pairs_per_row`` pairs with evenly spread rows of the other one."""
@@ -85,9 +93,8 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs_per_row: int = PAIRS_P
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     w = np.zeros(x.shape[1])
     if len(good) and len(bad):
-        n = max(len(good), len(bad)) * pairs_per_row
-        k = np.arange(n)
-        d = z[good[k % len(good)]] - z[bad[(k * 7919 + k // len(good)) % len(bad)]]
+        a, b = pair_numbers(len(good), len(bad), pairs_per_row)
+        d = z[good[a]] - z[bad[b]]
         for _ in range(25):
             p = 1 / (1 + np.exp(np.clip(d @ w, -60, 60)))
             g = d.T @ p - l2 * w
@@ -109,7 +116,7 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs_per_row: int = PAIRS_P
 
 
 def _sample_features(batches):
-    for batch in batches:
+    for batch in in_slices(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array([features(t) for t in batch["text"].to_pylist()], pa.list_(pa.float64())), batch["label"]],
             ["x", "label"])
@@ -154,7 +161,7 @@ def _values(model: Model, texts: list) -> np.ndarray:
 
 def _scorer(model: Model):
     def score(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array(_values(model, batch["text"].to_pylist()), pa.float64())],
                 ["doc_id", "held_out", "score"])
@@ -173,7 +180,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def _keeper(model: Model, threshold: float):
     def keep(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             yield batch.filter(pa.array(_values(model, batch["text"].to_pylist()) >= threshold))
     return keep
 

@@ -391,3 +391,13 @@ def test_chat_spans_are_linear_in_turns(spark):
     for e in (r.examples[0], r.examples[777], r.examples[-1]):
         assert r.formatted[e.loss_start:e.loss_end] == e.reply
         assert r.formatted[:e.loss_start].count(C.END) == e.context_turns
+
+
+# -- 6: pairs ----------------------------------------------------------------------------
+@pytest.mark.parametrize("n_good,n_bad", [(20, 1), (1, 2), (20, 7919), (16000, 7919), (300, 2 * 7919), (8000, 8000)])
+def test_every_row_is_in_a_pair(n_good, n_bad):
+    """Also where the number of bad rows is a multiple of the usual stride."""
+    from arrlens.llm import quality as Q
+    good, bad = Q.pair_numbers(n_good, n_bad)
+    assert len(good) == len(bad) == max(n_good, n_bad) * Q.PAIRS_PER_ROW
+    assert len(np.unique(good)) == n_good and len(np.unique(bad)) == n_bad
