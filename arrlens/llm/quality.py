@@ -78,10 +78,11 @@ class Model:
 
 def pair_numbers(n_good: int, n_bad: int, pairs_per_row: int = PAIRS_PER_ROW) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the good and the bad row of each pair. The stride has no factor in common
-    with the number of bad rows, so every row is reached."""
+    with the number of bad rows, so every row is reached; where the pairs would begin
+    to repeat, the bad rows move on by one."""
     k = np.arange(max(n_good, n_bad) * pairs_per_row)
     stride = next(s for s in range(7919, 7919 + n_bad) if math.gcd(s, n_bad) == 1)
-    return k % n_good, (k * stride + k // n_good) % n_bad
+    return k % n_good, (k * stride + k // math.lcm(n_good, n_bad)) % n_bad
 
 
 def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs_per_row: int = PAIRS_PER_ROW, l2: float = 1.0) -> Model:
