@@ -6,8 +6,9 @@ Two portable forms are used instead, each written once as SQL text and used
 both in Spark (``F.expr``) and in the oracle queries:
 
 * ``ratio_round``: round(num * scale / den, digits) half away from zero for
-  integer-valued num/den, computed with one IEEE division and a floor, which
-  is exact while the operands stay below 2**53.
+  integer-valued num/den, computed in doubles with one division and a floor:
+  exact while the scaled operands stay below 2**53, and beyond that no integer
+  product can overflow (the result is a double either way).
 * ``dround``: for general doubles, cast to DECIMAL with six guard digits
   (this absorbs binary noise identically in both engines), round in decimal,
   cast back to DOUBLE.
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 def ratio_round_sql(num: str, den: str, digits: int, scale: int = 1) -> str:
     m = scale * 10 ** digits
     n, d = f"({num})", f"({den})"
+    x = f"((CAST({2 * m} AS DOUBLE) * ABS({n}) + ABS({d})) / (CAST(2 AS DOUBLE) * ABS({d})))"
+    whole = f"(CASE WHEN {x} < 9e15 THEN CAST(FLOOR({x}) AS DOUBLE) ELSE {x} END)"  # larger doubles are whole
     return (f"(CASE WHEN {d} = 0 OR {d} IS NULL OR {n} IS NULL THEN CAST(NULL AS DOUBLE) "
-            f"ELSE CAST(SIGN({n}) * SIGN({d}) * FLOOR((2 * {m} * ABS({n}) + ABS({d})) "
-            f"/ (2 * ABS({d}))) AS DOUBLE) / {10 ** digits} END)")
+            f"ELSE CAST(SIGN({n}) * SIGN({d}) * {whole} AS DOUBLE) / {10 ** digits} END)")
 
 
 def ratio_round(num: str, den: str, digits: int, scale: int = 1) -> Column:

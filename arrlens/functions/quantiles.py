@@ -32,17 +32,20 @@ ORIGIN = 1100 * STEPS   # above every double's exponent
 
 
 def _bucket(x: Column) -> Column:
-    """A whole number that never falls as ``x`` rises."""
-    size = F.floor(F.log2(F.abs(x)) * STEPS) + ORIGIN
+    """A whole number that never falls as ``x`` rises; infinities have buckets of
+    their own beyond all others."""
+    finite = F.floor(F.log2(F.abs(x)) * STEPS) + ORIGIN
+    size = F.when(F.abs(x) == float("inf"), 4 * ORIGIN).otherwise(finite)
     return F.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
                     by: Sequence[str] = (), median: bool = False) -> DataFrame:
-    """Rows (*by, q, value) for each group of ``by`` and each q in ``qs``."""
+    """Rows (*by, q, value) for each group of ``by`` and each q in ``qs``. Nulls
+    and NaN do not count; infinities do, as the least and greatest values."""
     by = list(by)
     x = (F.col(col) if isinstance(col, str) else col).cast("double")
-    base = df.select(*by, x.alias("x")).where(F.col("x").isNotNull())
+    base = df.select(*by, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     ranged = (base.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
               .withColumn("pid", _bucket(F.col("x"))))
 
@@ -73,7 +76,8 @@ def exact_quantiles(df: DataFrame, col: str | Column, qs: Sequence[float],
     if median:
         value = (F.col("lo") + F.col("hi")) / 2
     else:
-        value = F.col("lo") + F.col("d") * (F.col("hi") - F.col("lo"))
+        value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
+            F.col("lo") + F.col("d") * (F.col("hi") - F.col("lo")))
     return picked.select(*by, "q", value.alias("value"))
 
 

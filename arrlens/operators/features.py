@@ -91,7 +91,7 @@ def subscription_signals(active_paid: DataFrame, by=("account_id",)) -> DataFram
         F.sum("mrr_amount").alias("total_mrr"),
         F.avg("mrr_amount").alias("avg_mrr"),
         F.max("mrr_amount").alias("max_mrr"),
-        F.sum("seats").alias("total_seats"),
+        F.coalesce(F.sum("seats"), F.lit(0)).alias("total_seats"),
         F.avg("seats").alias("avg_seats"),
         F.count("subscription_id").alias("n_subscriptions"),
         F.bool_or("upgrade_flag").alias("has_upgraded"),
@@ -117,9 +117,10 @@ def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame, by=("ac
     if asof:
         rows = rows.where(F.col("usage_date") <= F.col("snapshot_date"))
     return (rows.groupBy(*by, "feature_name")
-            .agg(F.count("usage_count").alias("n_counted"), F.sum("usage_count").alias("usage_count"),
-                 F.sum("usage_duration_secs").alias("usage_duration"),
-                 F.sum("error_count").alias("errors"), F.count_if("is_beta_feature").alias("beta")))
+            .agg(F.count("usage_count").alias("n_counted"),   # an empty sum is 0
+                 *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in [
+                     ("usage_count", "usage_count"), ("usage_duration_secs", "usage_duration"),
+                     ("error_count", "errors")]], F.count_if("is_beta_feature").alias("beta")))
 
 
 def usage_by_account_month(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:

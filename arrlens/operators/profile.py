@@ -89,7 +89,8 @@ def date_ranges(t: Tables) -> DataFrame:
 
 
 def account_distribution(t: Tables, dims=("plan_tier", "industry", "referral_source")) -> DataFrame:
-    """Value counts of account dimensions, null values dropped.
+    """Value counts of account dimensions, null values dropped; the most
+    frequent value of a dimension first.
 
     One scan: the dimensions are unpivoted to (dimension, value) rows and
     counted in a single partially-aggregated group-by.
@@ -97,7 +98,8 @@ def account_distribution(t: Tables, dims=("plan_tier", "industry", "referral_sou
     long = t.accounts_core.select("account_id", *dims).unpivot(
         "account_id", list(dims), "dimension", "value")
     return (long.where(F.col("value").isNotNull())
-                .groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n_accounts")))
+                .groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n_accounts"))
+                .orderBy("dimension", F.desc("n_accounts"), "value"))
 
 
 def account_status(t: Tables) -> DataFrame:
@@ -153,11 +155,12 @@ def subscription_summary(t: Tables) -> DataFrame:
 
 
 def avg_mrr_by_tier(t: Tables) -> DataFrame:
-    """Mean MRR per subscription tier, trials included, rounded to dollars."""
+    """Mean MRR per subscription tier, trials included, rounded to dollars, highest first."""
     return (t.subscriptions.where(F.col("plan_tier").isNotNull())
             .groupBy("plan_tier")
             .agg(F.sum("mrr_amount").alias("_s"), F.count("mrr_amount").alias("_n"))
-            .select("plan_tier", ratio_round("_s", "_n", 0).alias("avg_mrr")))
+            .select("plan_tier", ratio_round("_s", "_n", 0).alias("avg_mrr"))
+            .orderBy(F.desc("avg_mrr"), "plan_tier"))
 
 
 def null_audit(df: DataFrame) -> DataFrame:

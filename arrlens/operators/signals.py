@@ -89,12 +89,12 @@ def box_stats(features: DataFrame, metrics=BOX_METRICS) -> DataFrame:
 
 def label_correlation(features: DataFrame, cols=CORRELATION_FEATURES) -> DataFrame:
     """Pearson correlation of each feature with the label (pairwise complete
-    rows), as absolute value, plus its sign."""
+    rows), as absolute value, weakest first, plus its sign."""
     y = F.col(LABEL).cast("double")
     row = features.agg(*[F.corr(_num(c), y).alias(c) for c in cols])
     long = row.unpivot([], list(cols), "feature", "r")
     return long.select("feature", dround("abs(r)", 6).alias("correlation"),
-                       F.signum("r").alias("direction"))
+                       F.signum("r").alias("direction")).orderBy("correlation", "feature")
 
 
 def label_correlation_top(features: DataFrame, k: int = 5, strong: float = 0.1) -> DataFrame:

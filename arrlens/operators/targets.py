@@ -37,7 +37,8 @@ def score_by_plan(run: ScoringRun) -> DataFrame:
     return (run.universe_scored.groupBy("plan_tier")
             .agg(F.count(F.lit(1)).alias("accounts"),
                  F.avg("expansion_readiness_score").alias("_a"))
-            .select("plan_tier", "accounts", dround("_a", 1).alias("avg_score")))
+            .select("plan_tier", "accounts", dround("_a", 1).alias("avg_score"))
+            .orderBy(F.desc("avg_score"), "plan_tier"))
 
 
 def with_uplift(run: ScoringRun) -> DataFrame:

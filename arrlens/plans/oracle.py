@@ -8,6 +8,7 @@ helpers are shared, because both engines must round the same way.
 
 from __future__ import annotations
 
+from ..functions.exact import dround_sql as dr
 from ..functions.exact import ratio_round_sql as rr
 from .oracle_views import with_views
 
@@ -180,7 +181,16 @@ def _():
     return f"SELECT {_NRR_SELECT} FROM (SELECT {_NRR_AGGS} FROM {PAID} s)"
 
 
-ORACLE["sql_nrr"] = ORACLE["nrr"]
+@oracle("sql_nrr")
+def _():
+    """Own formulation: one row per combination of flags, weighted by the flags."""
+    return f"""
+WITH g AS (SELECT CAST(upgrade_flag AS BIGINT) AS up, CAST(churn_flag AS BIGINT) AS ch, CAST(downgrade_flag AS BIGINT) AS dn,
+                  SUM(mrr_amount) AS m FROM subscriptions WHERE mrr_amount > 0 GROUP BY ALL),
+w AS (SELECT {B('SUM(m)')} AS starting_mrr, {B('COALESCE(SUM(m * up), 0)')} AS expansion_mrr,
+             {B('COALESCE(SUM(m * ch), 0)')} AS churned_mrr, {B('COALESCE(SUM(m * dn), 0)')} AS contraction_mrr,
+             {B('SUM(m * (1 + up - ch - dn))')} AS ending_mrr FROM g)
+SELECT *, {dr('ending_mrr * 100.0 / starting_mrr', 1)} AS nrr_pct FROM w"""
 
 
 @oracle("nrr_by_segment")
@@ -328,7 +338,10 @@ WHERE NOT a.churn_flag"""
 
 
 def sql_targets_body(limit: int | None = 20) -> str:
-    num = "(COALESCE(u.duration, 0) + 150 * p.total_seats + p.total_mrr + 1250 * p.n_subscriptions)"
+    # weight in percent over the amount that earns it: 40 / 100000, 30 / 500, 20 / 50000, 10 / 20
+    score = " + ".join(f"CAST({w} AS DECIMAL(6,4)) * CAST({x} AS DECIMAL(24,0))" for w, x in [
+        ("0.0004", "COALESCE(u.duration, 0)"), ("0.06", "p.total_seats"), ("0.0004", "p.total_mrr"),
+        ("0.5", "p.n_subscriptions")])
     tail = f"ORDER BY sql_expansion_score DESC, a.account_id LIMIT {limit}" if limit else ""
     return f"""
 WITH live_paid AS (
@@ -342,7 +355,7 @@ SELECT a.account_id, a.account_name, a.industry, a.plan_tier, a.referral_source,
        COALESCE(u.features, 0) AS unique_features_used,
        COALESCE(k.satisfaction, 0) AS avg_satisfaction,
        COALESCE(k.escalations, 0) AS n_escalations,
-       {rr(num, '2500', 1)} AS sql_expansion_score
+       CAST(ROUND({score}, 1) AS DOUBLE) AS sql_expansion_score
 FROM accounts a
 JOIN live_paid p ON p.account_id = a.account_id
 LEFT JOIN usage_by_account u ON u.account_id = a.account_id
