@@ -13,14 +13,16 @@ probability below 10^-5. So:
   posting list pairs all its members; of the longer ones, a node first takes
   its longest only and meets that list's few hubs. Lists that still hold
   several components then pair their members with hubs of other components,
-  and go on only if they are open afterwards. Pairs are kept from T collisions
+  with fresh hubs as long as a round closes many of them. Pairs are kept from T collisions
   of the whole signatures on, and a link is confirmed on the full shingle sets.
 
 Members of lists that stay open then meet by their shingles themselves: two
 similar sets share one of their rarest n - ceil(0.8 n) + 1 shingles, so a
 passage that many documents share pairs nobody. What follows the first shared
 shingle in either set bounds the intersection, so a pair is made only by
-shingles early enough in both. This last step is exact.
+shingles early enough in both. Sets of which PARITY_BITS parities differ in
+more places than similar sets have unshared shingles are no pair either, so
+that near copies too far apart make none. This last step is exact.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ MIN_COLLISIONS = 24     # P(Bin(48, 0.8) < 24) is about 10^-6
 SIMILARITY = 80         # percent
 SHORT = 6               # members of a posting list that are all paired at once
 HUBS = 4                # members of a longer list that all others are paired with first
+OPEN_SHARE = 0.9        # hub rounds go on while each leaves at most this share of the components
+PARITY_BITS = 1024      # parities of a shingle set: the top bits of a shingle choose one
+BLOCK = 2048            # members of a shingle's list that one key of the pair join holds
 CACHE_WORDS = 150_000
 _M = (1 << 64) - 1
 
@@ -121,11 +126,25 @@ def _sets(size: int):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
                 values = np.concatenate(s) if s else np.empty(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part["node"], part["component"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                    ["node", "component", "shingles"])
+                    [part["node"], part["component"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                     pa.array([parities(x) for x in s], pa.list_(pa.int64()))],
+                    ["node", "component", "shingles", "parities"])
     return sets
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: of each value of the shingles' top bits, whether an odd
+    number of shingles has it. Two sets differ in at least as many shingles as
+    their parities differ in bits."""
+    top = (shingles.view(np.uint64) >> np.uint64(65 - PARITY_BITS.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(top, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, PARITY_BITS // 64)),
+               F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
 def _compare(size: int, similarity: int):
     def compare(batches):
         hashes = _WordHashes()
@@ -165,12 +184,13 @@ def sizes_agree(a: Column, b: Column, similarity: int) -> Column:
     return F.least(a, b) * 100 >= similarity * F.greatest(a, b)
 
 
-def shingle_pairs(members: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``members`` (node, shingles, component) of
+def shingle_pairs(members: DataFrame, similarity: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of ``members`` (node, shingles, parities, component) of
     different components that share a shingle of both prefixes, rarest first.
     The first one that a pair shares has the whole intersection at or after it
     in both sets: rows whose places leave too little room cannot be the first
-    shared shingle of a similar pair."""
+    shared shingle of a similar pair. Nor is a pair similar whose parities
+    differ in too many bits."""
     posted = members.select("node", F.size("shingles").alias("n_shingles"), "component",
                             F.explode("shingles").alias("posting"))
     shared = posted.groupBy("posting").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
@@ -182,15 +202,23 @@ def shingle_pairs(members: DataFrame, similarity: int) -> DataFrame:
     left = (prefix - (F.col("n_shingles") - F.size("own"))).cast("int")
     own = own.where(left > 0).select("node", "n_shingles", "component", F.size("own").alias("n_own"),
                                      F.posexplode(F.slice("own", F.lit(1), left)).alias("at", "p"))
-    own = staged(own.where("p.open").select("node", "n_shingles", "component", "p.posting",
-                                            (F.col("n_own") - F.col("at")).alias("room")), "shingle-prefixes")
-    x = own.select("posting", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx"),
-                   F.col("room").alias("rx"))
-    y = own.select("posting", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"),
-                   F.col("room").alias("ry"))
+    own = own.where("p.open").select("node", "n_shingles", "component", "p.posting",
+                                     (F.col("n_own") - F.col("at")).alias("room"))
+    own = staged(own.join(members.select("node", "parities"), "node"), "shingle-prefixes")
+    # a long list is dealt into blocks, so that no key holds it whole on both sides
+    dealt = own.groupBy("posting").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    own = own.join(dealt.drop("n"), "posting")
+    x = own.select("posting", F.pmod(F.xxhash64("node"), "blocks").alias("block"), F.col("node").alias("x"),
+                   F.col("n_shingles").alias("nx"), F.col("component").alias("cx"), F.col("room").alias("rx"),
+                   F.col("parities").alias("px"))
+    y = own.select("posting", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+                   F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("component").alias("cy"),
+                   F.col("room").alias("ry"), F.col("parities").alias("py"))
     room = F.least("rx", "ry") * (100 + similarity) >= similarity * (F.col("nx") + F.col("ny"))
-    pairs = x.join(y, "posting").where((F.col("cx") < F.col("cy")) & room &
-                                       sizes_agree(F.col("nx"), F.col("ny"), similarity))
+    # J >= s: at most (1 - s) / (1 + s) of the shingles of both are not shared
+    near = _differing("px", "py") * (100 + similarity) <= (100 - similarity) * (F.col("nx") + F.col("ny"))
+    pairs = x.join(y, ["posting", "block"]).where((F.col("cx") < F.col("cy")) & room &
+                                                  sizes_agree(F.col("nx"), F.col("ny"), similarity) & near)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -249,11 +277,12 @@ def _all_pairs(short: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SHORT))).alias("b"))
 
 
-def _hubs(lists: DataFrame, *carried: str) -> DataFrame:
+def _hubs(lists: DataFrame, *carried: str, turn: int = 0) -> DataFrame:
     """(posting, hubs): of each list the members with the least hash under one
-    of several salts, so that lists with many members in common choose alike."""
+    of several salts (others in each turn), so that lists with many members in
+    common choose alike."""
     return lists.groupBy("posting").agg(F.array_distinct(F.array(*[
-        F.min(F.struct(F.xxhash64("node", F.lit(i)), F.struct("node", *carried).alias("hub")))["hub"]
+        F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)), F.struct("node", *carried).alias("hub")))["hub"]
         for i in range(HUBS)])).alias("hubs"))
 
 
@@ -279,10 +308,10 @@ def _open_lists(postings: DataFrame, label: DataFrame | None) -> DataFrame:
     return named.join(several.select("posting"), "posting")
 
 
-def _open_hub_pairs(lists: DataFrame) -> DataFrame:
-    """The members of open lists with those of the list's hubs that are in
-    other components."""
-    pairs = lists.join(_hubs(lists, "component"), "posting").select("node", "component", F.explode("hubs").alias("hub"))
+def _open_hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """The members of open lists with those of the list's hubs of this turn
+    that are in other components."""
+    pairs = lists.join(_hubs(lists, "component", turn=turn), "posting").select("node", "component", F.explode("hubs").alias("hub"))
     return pairs.where("component != hub.component").select(*_ordered("node", "hub.node"))
 
 
@@ -318,19 +347,30 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
     bodies = staged(_bodies(keyed, nodes.join(asked, "node")), "bodies")
 
     links, label = None, None
-    for step in range(3):
-        if step:
-            lists = staged(_open_lists(long, label), "open-lists")
-        if step == 1:
-            pairs = probable(_open_hub_pairs(lists))
-        elif step == 2:
-            rest = bodies.join(lists.select("node", "component").distinct(), "node").select("node", "component", "text")
-            sets = rest.mapInArrow(_sets(shingle_words), "node long, component long, shingles array<long>")
-            pairs = staged(shingle_pairs(staged(sets, "open"), similarity), "likely")
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, label
         found = staged(confirmed(pairs, bodies, shingle_words, similarity), "links")
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             label = components(links)
+
+    def still_open() -> tuple[DataFrame, int]:
+        lists = staged(_open_lists(long, label), "open-lists")
+        return lists, lists.select("component").distinct().count()
+
+    link(pairs)
+    lists, n = still_open()
+    turn, before = 0, None
+    while n and (before is None or n <= OPEN_SHARE * before):
+        turn, before = turn + 1, n
+        link(probable(_open_hub_pairs(lists, turn)))
+        lists, n = still_open()
+    if n:
+        rest = bodies.join(lists.select("node", "component").distinct(), "node").select("node", "component", "text")
+        sets = rest.mapInArrow(_sets(shingle_words),
+                               "node long, component long, shingles array<long>, parities array<long>")
+        link(staged(shingle_pairs(staged(sets, "open"), similarity), "likely"))
     return signed, nodes, label
 
 
@@ -366,15 +406,18 @@ def _classified(docs: DataFrame, shingle_words: int, similarity: int, min_collis
 def keep_first(docs: DataFrame, shingle_words: int = 5, similarity: int = SIMILARITY,
                min_collisions: int = MIN_COLLISIONS) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group: the
-    one with the smallest doc_id, and one of its repeated rows. Rows with null
+    one with the smallest doc_id, and of its repeated rows (one id and text) the one whose other columns
+    come first as JSON. Rows with null
     ids are kept where their whole group has none, one of each text; so are
     all texts without words."""
-    kept = _classified(docs, shingle_words, similarity, min_collisions).where("kept").select(
-        F.col("doc_id").alias("__kept"), F.col("text_key").alias("__kept_key")).distinct()
-    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) &
-                     (F.col("__key") == F.col("__kept_key")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    kept = _classified(docs, shingle_words, similarity, min_collisions).where("kept").select("doc_id", "text_key").distinct()
+    # the row as one column, so that no column of the caller's meets one of these names
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"),
+                       F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("key"), F.struct("*").alias("row"),
+                       F.to_json(F.struct(F.col("text").isNull(), *rest)).alias("rank"))
+    own = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["key"] == kept["text_key"]), "left_semi")
+    return own.groupBy("id", "key").agg(F.min_by("row", "rank").alias("row")).select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
