@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,30 @@ SHARE = 0.2     # of the best fused ratio that a path must reach
 ARTICLE_WEIGHT, MARKED_WEIGHT = 1.5, 0.5
 
 
+class _Path:
+    """A path of element names from the root. Equal paths are one object, which
+    knows its parent and depth and the path of the ``article`` around it, so that
+    deep pages need no more memory than they have elements."""
+    __slots__ = ("parent", "tag", "depth", "story", "below")
+
+    def __init__(self, parent, tag):
+        self.parent, self.tag, self.below = parent, tag, {}
+        self.depth = parent.depth + 1 if parent else 0
+        self.story = self if tag == "article" else parent.story if parent else None
+
+    def child(self, tag: str, name: str) -> "_Path":
+        path = self.below.get((tag, name))
+        if path is None:
+            path = self.below[tag, name] = _Path(self, tag)
+        return path
+
+    def up_to(self, depth: int) -> "_Path":
+        path = self
+        while path.depth > depth:
+            path = path.parent
+        return path
+
+
 class _Node:
     __slots__ = ("tag", "path", "boiler", "article", "suspect")
 
@@ -156,7 +181,8 @@ def _settle(blocks: list[_Block], suspects: list[_Suspect], outside: set[str]) -
 
 def blocks_of(page: str) -> list[_Block]:
     """Every non-empty text block in page order. Inline tags do not end a block."""
-    root = _Node("", (), False, False, None)
+    root = _Node("", _Path(None, ""), False, False, None)
+    opened = Counter()  # elements of each tag on the stack
     stack, out, parts = [root], [], []
     suspects, outside = [], set()  # marked elements, story tags outside of them
     link, linked = 0, 0  # depth of the stack where a link was opened, characters in links
@@ -171,8 +197,11 @@ def blocks_of(page: str) -> list[_Block]:
         linked = 0
 
     def pop_to(tags, limits) -> bool:
+        if not any(opened[t] for t in tags):
+            return False
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(n.tag for n in stack[i:])
                 del stack[i:]
                 return True
             if stack[i].tag in limits:
@@ -200,12 +229,11 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         flush()
         if closing:
-            if any(n.tag == tag for n in stack):
-                pop_to((tag,), ())
+            pop_to((tag,), ())
             link = link if len(stack) >= link else 0
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         if tag in SIBLINGS:
             while pop_to(SIBLINGS[tag], LIMITS[tag]):
                 pass
@@ -214,31 +242,28 @@ def blocks_of(page: str) -> list[_Block]:
         top = stack[-1]
         link = link if len(stack) >= link else 0
         boiler, some, sure, talk, name = _is_boiler(tag, attributes or "", top.article)
-        path, suspect = (*top.path, f"{tag}.{name}" if name else tag), top.suspect
+        path, suspect = top.path.child(tag, name), top.suspect
         if tag in ("main", "h1") or tag == "article" and not sure:
             if suspect and not (boiler or top.boiler):
                 suspect.story = True
             if not (suspect or boiler or top.boiler):
                 outside.add(tag)
         if some and tag != "article":
-            suspect = _Suspect(suspect, len(path), sure, talk)
+            suspect = _Suspect(suspect, path.depth, sure, talk)
             suspects.append(suspect)
+        opened[tag] += 1
         stack.append(_Node(tag, path, top.boiler or boiler, top.article or tag in ("article", "main"), suspect))
     flush()
     _settle(out, suspects, outside)
     return out
 
 
-def _tag(path: tuple) -> str:
-    return path[-1].split(".")[0] if path else ""
-
-
 def select(blocks: list[_Block]) -> list[str]:
     """Texts of the content blocks by smoothed and fused path ratios."""
     live = [b for b in blocks if not b.boiler]
     if not live:
         return []
-    sums: dict[tuple, list[float]] = {}  # text, punctuation, blocks, text in links, weights
+    sums: dict[_Path, list[float]] = {}  # text, punctuation, blocks, text in links, weights
     for b in live:
         own = sums.setdefault(b.path, [0, 0, 0, 0, 0.0])
         own[0] += len(b.text)
@@ -260,27 +285,46 @@ def select(blocks: list[_Block]) -> list[str]:
         fused[p] *= (1 - own[3] / own[0]) * own[4] / own[2]
     best = max(fused.values())
     chosen = {p for p in paths if fused[p] >= SHARE * best}
-    linked = {p for p in paths if 2 * sums[p][3] > sums[p][0] and _tag(p) not in HEADINGS}
-    containers = {p[:-1] if _tag(p) in ("p", "li", "pre", "blockquote") else p for p in chosen if _tag(p) not in HEADINGS}
+    linked = {p for p in paths if 2 * sums[p][3] > sums[p][0] and p.tag not in HEADINGS}
+    containers = {p.parent if p.tag in ("p", "li", "pre", "blockquote") else p for p in chosen if p.tag not in HEADINGS}
+    # a list of links belongs to the article around it whose chosen prose is longer than all of its links
+    prose, links = Counter(), Counter()
+    for p in paths:
+        if p.story and p in chosen and p not in linked and p.tag not in HEADINGS:
+            prose[p.story] += sums[p][0]
+        if p.story:
+            links[p.story] += sums[p][3]
+    stories = {p for p in prose if prose[p] > links[p]}
+    nearest: dict[_Path, int] = {}  # depth of the innermost container but html and body, 0: none
+
+    def container_depth(path: _Path) -> int:
+        way = []
+        while path not in nearest and path.depth:
+            if path in containers and path.tag not in ("body", "html"):
+                nearest[path] = path.depth
+            else:
+                way.append(path)
+                path = path.parent
+        depth = nearest.get(path, 0)
+        nearest.update(dict.fromkeys(way, depth))
+        return depth
 
     def wanted(path, marked) -> bool:
         if path in chosen:
             return True
-        if path in linked:
+        if path in linked and path.story not in stories:
             return False
-        for n in range(marked, len(path) + 1):  # a marked part of a container must be chosen itself
-            c = path[:n]
-            if c in containers:
-                page_wide = not c or _tag(c) in ("body", "html")
-                if not page_wide or len(path) <= n + 1 and path and _tag(path) != "div":
-                    return True
-        return False
+        # a marked part of a container must be chosen itself
+        if container_depth(path) >= max(marked, 1):
+            return True
+        page_wide = [c for c in (path, path.parent) if c and c in containers and c.depth >= marked]
+        return bool(page_wide) and path.depth > 0 and path.tag != "div"
 
     keep, below = [], None
     for b in reversed(live):  # a heading stays with the kept block that it heads
-        heads = _tag(b.path) in HEADINGS and below is not None and below[:len(b.path) - 1] == b.path[:-1]
+        heads = b.path.tag in HEADINGS and below is not None and b.path.parent is below.up_to(b.path.depth - 1)
         keep.append(heads or wanted(b.path, b.marked))
-        if _tag(b.path) not in HEADINGS or keep[-1]:
+        if b.path.tag not in HEADINGS or keep[-1]:
             below = b.path if keep[-1] else None
     return [b.text for b, kept in zip(live, reversed(keep)) if kept]
 

@@ -1,10 +1,12 @@
 """Secret scan with structural confirmation.
 
-Base kinds (assign, access, hex) are plain patterns. On top of them, candidates
-that look encoded are decoded and parsed before they are reported: signed-token
-headers (jwt), PEM bodies (pem), DER keys and certificates in base64 or hex
-(der) and length-prefixed SSH blobs (ssh). A candidate that does not parse is
-not reported; base spans always stay.
+Base kinds (assign, access, hex) are plain patterns. On top of them, every run
+of base64, base64url (also over wrapped lines) or hex is decoded and parsed
+before it is reported: signed-token headers (jwt), PEM bodies (pem), DER private
+keys (der) and length-prefixed SSH blobs (ssh), each also one level deeper, as
+in base64 of a PEM. Public keys and certificates parse too, but their structure
+tells them from private keys and they are no secrets. A candidate that does not
+parse is not reported; base spans always stay.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,12 @@ JWT = re.compile(r"e(?:(?<![A-Za-z0-9_-]e)|(?<=\\[nr]e))[A-Za-z0-9_-]{9,}\.[A-Za
 PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})(?=-----)")
 BASE64_DER = re.compile(r"M(?:(?<![A-Za-z0-9+/]M)|(?<=\\[nr]M))[A-Za-z0-9+/]{30,}={0,2}")
 SSH = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:AAAA|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{20,}={0,2}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+WRAP = re.compile(r"(?:\r\n|[\r\n]|(?:\\+r)?\\+n|\\+r)(?:[ \t>|]*)")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{48,}(?![0-9A-Za-z])")
+PUBLIC_LINE = re.compile(r"(?:ssh|ecdsa|sk)-[a-z0-9@.-]{2,60}[ \t]+\Z")
+QUOTED = re.compile(r"^[ \t>|]+")
 # JSON escapes of the characters that an armoured body holds
 ESCAPED = re.compile(r"\\+(?:([nr])|(/)|u00(0[adAD]|2[bBfF]|3[aAdD]))")
 MAGIC = b"openssh-key-v1\0"
@@ -44,33 +53,35 @@ def _decode64(s: str) -> bytes | None:
         return None
 
 
-def der_is_whole(data: bytes) -> bool:
-    """A SEQUENCE that fills ``data`` exactly, whose elements' nested lengths add up."""
-    def elements(lo: int, hi: int) -> list[tuple[int, int, int]] | None:
-        out = []
-        while lo < hi:
-            if hi - lo < 2:
-                return None
-            tag, n, p = data[lo], data[lo + 1], lo + 2
-            if n & 0x80:
-                width = n & 0x7F
-                if not 1 <= width <= 4 or p + width > hi or data[p] == 0:
-                    return None
-                n, p = int.from_bytes(data[p:p + width], "big"), p + width
-            if p + n > hi:
+def _elements(data: bytes, lo: int, hi: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER elements that fill data[lo:hi] exactly."""
+    out = []
+    while lo < hi:
+        if hi - lo < 2:
+            return None
+        tag, n, p = data[lo], data[lo + 1], lo + 2
+        if n & 0x80:
+            width = n & 0x7F
+            if not 1 <= width <= 4 or p + width > hi or data[p] == 0:
                 return None
-            out.append((tag, p, p + n))
-            lo = p + n
-        return out
+            n, p = int.from_bytes(data[p:p + width], "big"), p + width
+        if p + n > hi:
+            return None
+        out.append((tag, p, p + n))
+        lo = p + n
+    return out
 
-    todo = elements(0, len(data))
+
+def der_is_whole(data: bytes) -> bool:
+    """A SEQUENCE that fills ``data`` exactly, whose elements' nested lengths add up."""
+    todo = _elements(data, 0, len(data))
     if not todo or len(todo) != 1 or todo[0][0] != 0x30 or todo[0][2] - todo[0][1] < 6:
         return False
     leaves = 0
     while todo:
         tag, lo, hi = todo.pop()
         if tag & 0x20:  # constructed
-            inner = elements(lo, hi)
+            inner = _elements(data, lo, hi)
             if inner is None:
                 return False
             todo += inner
@@ -81,6 +92,37 @@ def der_is_whole(data: bytes) -> bool:
     return leaves >= 2
 
 
+INTEGER, OCTETS, OID, SEQUENCE = 2, 4, 6, 0x30  # DER tags
+
+
+def der_is_private(data: bytes) -> bool:
+    """A whole DER structure of a private key. A small version number comes
+    first, and then either integers only (RSA, DSA), an octet string (EC), an
+    algorithm and an octet string (PKCS #8) or, with version 3, a PKCS #12
+    bundle; or else an algorithm with parameters and an octet string (encrypted
+    PKCS #8). Certificates, requests and public keys have none of these forms."""
+    if len(data) < 2 or data[0] != SEQUENCE or not der_is_whole(data):
+        return False
+    (_, lo, hi), = _elements(data, 0, len(data))
+    parts = _elements(data, lo, hi)
+    tags = [t for t, _, _ in parts]
+
+    def inner(i: int) -> list[int]:
+        return [t for t, _, _ in _elements(data, *parts[i][1:])] if tags[i] == SEQUENCE else []
+
+    if len(parts) == 2 and tags[1] == OCTETS:
+        return inner(0) == [OID, SEQUENCE] or tags[0] == INTEGER and data[parts[0][1]:parts[0][2]] == b"\1"
+    if tags[0] != INTEGER or parts[0][2] - parts[0][1] != 1 or len(parts) < 2:
+        return False
+    version = data[parts[0][1]]
+    if version == 3:
+        return inner(1)[:1] == [OID]
+    if version > 1 or len(parts) < 3:
+        return False
+    return (set(tags) == {INTEGER} or tags[1] == OCTETS and tags[2] in (0xA0, 0xA1) or
+            inner(1)[:1] == [OID] and tags[2] == OCTETS)
+
+
 def ssh_is_whole(data: bytes) -> bool:
     """Length-prefixed strings that fill the blob, the first one a key type or
     the header of a private-key file."""
@@ -130,11 +172,71 @@ def _unescaped(body: str) -> str:
 
 def _pem_is_key(label: str, body: str) -> bool:
     body = _unescaped(body)
-    lines = [x for x in re.split(r"[\r\n]", body) if ":" not in x]  # without encryption headers
+    # without encryption headers and marks of quotation
+    lines = [QUOTED.sub("", x) for x in re.split(r"[\r\n]", body) if ":" not in x]
     data = _decode64("".join("".join(lines).split()))
     if not data:
         return False
-    return der_is_whole(data) or ssh_is_whole(data) or ("ENCRYPTED" in label + body and len(data) >= 32)
+    return (der_is_private(data) or data.startswith(MAGIC) and ssh_is_whole(data) or
+            "ENCRYPTED" in label + body and len(data) >= 32)
+
+
+def decoded_kind(data: bytes | None, deeper: bool = True) -> int | None:
+    """The kind of secret that decoded bytes are, or that the text which they
+    hold is or armours, one level deeper; None for anything else."""
+    if not data:
+        return None
+    if der_is_private(data):
+        return 5
+    if data.startswith(MAGIC):
+        return 6 if ssh_is_whole(data) else None
+    if not deeper or not data.isascii():
+        return None
+    text = data.decode("ascii")
+    if "-----BEGIN " in text and any(_pem_is_key(label, body) for _, _, label, body in pem_bodies(text)):
+        return 4
+    text = "".join(text.split())
+    if JWT.fullmatch(text):
+        return 3 if jwt_is_signed_token(text) else None
+    if LINE.fullmatch(text):
+        kind = decoded_kind(_decode64(text), False)
+        return kind or (decoded_kind(bytes.fromhex(text), False) if HEX_RUN.fullmatch(text) and len(text) % 2 == 0 else None)
+    return None
+
+
+def encoded_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base64 or base64url runs that decode to a
+    secret: lines of one width and a shorter last one as a whole, without that
+    last one, or each by itself. Every line is read a fixed number of times."""
+    out, at = [], 0
+    while m := RUN.search(text, at):
+        start = m.start()
+        if start and text[start - 1] == "\\" and m[0][0] in "nr":  # the end of a JSON escape
+            start += 1
+        lines = [(start, m.end())]
+        width = m.end() - start
+        while text[lines[-1][1] - 1] != "=" and lines[-1][1] - lines[-1][0] == width:
+            gap = WRAP.match(text, lines[-1][1])
+            line = LINE.match(text, gap.end()) if gap else None
+            if line is None or line.end() - line.start() > width:
+                break
+            lines.append(line.span())
+        at = lines[-1][1]
+        whole = range(len(lines), max(len(lines) - 2, 0), -1)
+        for n in whole:
+            kind = decoded_kind(_decode64("".join(text[a:b] for a, b in lines[:n])))
+            if kind is not None:
+                out.append((start, kind, lines[n - 1][1]))
+                break
+        else:
+            if len(lines) > 1:
+                for a, b in lines:
+                    if b - a >= 32 and (kind := decoded_kind(_decode64(text[a:b]))) is not None:
+                        out.append((a, kind, b))
+    for m in HEX_RUN.finditer(text):
+        if len(m[0]) % 2 == 0 and (kind := decoded_kind(bytes.fromhex(m[0]))) is not None:
+            out.append((m.start(), kind, m.end()))
+    return out
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -145,7 +247,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     runs = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     out += runs
     for start, _, end in runs:
-        if text.startswith("30", start) and (end - start) % 2 == 0 and der_is_whole(bytes.fromhex(text[start:end])):
+        if text.startswith("30", start) and (end - start) % 2 == 0 and der_is_private(bytes.fromhex(text[start:end])):
             out.append((start, 5, end))
     out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if jwt_is_signed_token(m[0])] if "." in text else []
     inside = []
@@ -154,11 +256,20 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
             if _pem_is_key(label, body):
                 out.append((start, 4, end))
                 inside.append((start, end))
-    for pattern, kind, whole in ((BASE64_DER, 5, der_is_whole), (SSH, 6, ssh_is_whole)):
+    found = []
+    for pattern, kind, whole in ((BASE64_DER, 5, der_is_private), (SSH, 6, ssh_is_whole)):
         for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b in inside) and (data := _decode64(m[0])) and whole(data):
-                out.append((m.start(), kind, m.end()))
-    return sorted(out)
+            if (data := _decode64(m[0])) and whole(data) and not (
+                    kind == 6 and PUBLIC_LINE.search(text, max(0, m.start() - 72), m.start())):
+                found.append((m.start(), kind, m.end()))
+    found += encoded_spans(text)
+    inside.sort()
+    before = [a for a, _ in inside]
+    for span in found:
+        i = bisect_right(before, span[0]) - 1
+        if i < 0 or span[0] >= inside[i][1]:
+            out.append(span)
+    return sorted(set(out))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
