@@ -8,14 +8,19 @@ decide, and one more shard takes slots only into itself.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import delete_on_exit, shared_dir
 from .common import id_and_text, table
 
 SLOTS = 4096
-SUBSLOTS = 16       # a slot's rows are numbered in so many independent groups
+SUBSLOTS = 256      # a slot's rows are numbered in so many independent groups
 SHARDS = 40
+COPIES = 65_536      # rows that one element of a list of copies is expanded into
 
 
 def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
@@ -99,32 +104,66 @@ def sized_rows(docs: DataFrame) -> DataFrame:
                        virtual_slot(F.col("doc_id")).alias("virtual_slot"))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slot_map: DataFrame | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, slot_map: DataFrame | None = None,
+           grown_map: DataFrame | None = None) -> DataFrame:
     """One row per document row with its shard, its place ``slot`` there
     (gapless from 0, ordered by virtual slot) and the shard it has with one
     more (``grown_shard``), by ``slot_map`` if it is given (its shards numbered
-    below ``shards``), else by version 1. Null texts have no bytes; null ids share virtual
-    slot 0; repeated rows are placed one after the other; an empty table gives
-    no rows; other columns are ignored. Texts are never shuffled; rows are
-    numbered in SLOTS x SUBSLOTS groups, so no task holds a whole shard."""
+    below ``shards``), else by version 1, and by ``grown_map`` or else the next
+    version. Null texts have no bytes; null ids share virtual slot 0; repeated
+    rows are placed one after the other; an empty table gives no rows; other
+    columns are ignored. Texts are never shuffled; equal rows are counted before
+    the shuffle and written out again after it, the others are numbered in
+    SLOTS x SUBSLOTS groups, so no task holds a whole shard or a hot id."""
     spark = docs.sparkSession
     old = first_map(spark, shards) if slot_map is None else slot_map
-    new = grow(old, shards).select("virtual_slot", F.col("shard").alias("grown_shard"))
+    new = (grow(old, shards) if grown_map is None else grown_map).select(
+        "virtual_slot", F.col("shard").alias("grown_shard"))
     maps = F.broadcast(old.join(new, "virtual_slot"))  # SLOTS rows
-    rows = sized_rows(docs).withColumn("sub", (F.col("text_crc32") % SUBSLOTS).cast("int"))
-    counts = rows.groupBy("virtual_slot", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    rows = sized_rows(docs).groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("sub", (F.col("text_crc32") % SUBSLOTS).cast("int"))
+    counts = rows.groupBy("virtual_slot", "sub").agg(
+        F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("bytes"))
     # at most SLOTS x SUBSLOTS rows: the first place of each group in its shard
     order = Window.partitionBy("shard").orderBy("virtual_slot", "sub")
     first = counts.join(maps, "virtual_slot").withColumn("first", F.sum("n").over(order) - F.col("n"))
     first = first.withColumn("slot_bytes", F.sum("bytes").over(Window.partitionBy("virtual_slot")))
     place = Window.partitionBy("virtual_slot", "sub").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("rank", F.row_number().over(place))
+    numbered = rows.withColumn("before", F.sum("copies").over(place) - F.col("copies"))
     out = numbered.join(first.drop("n", "bytes"), ["virtual_slot", "sub"])
+    # copies in parts, so that no list of them is long
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    out = out.withColumn("copy", F.explode(F.sequence("part", F.least(F.col("part") + COPIES, "copies") - 1)))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard",
+        (F.col("first") + F.col("before") + F.col("copy")).cast("long").alias("slot"), "grown_shard",
         "virtual_slot", "slot_bytes", "version")
 
 
+def stored_versions(spark: SparkSession, path: str, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The map for ``shards`` shards and the next version with one more, both as
+    stored under ``path``; what is not there yet is made from the version before
+    it and stored first."""
+    try:
+        latest = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        save_map(first_map(spark, shards), path)
+        latest = 1
+    now = load_map(spark, path, latest)
+    held = now.agg(F.countDistinct("shard")).first()[0]
+    if held == shards + 1 and latest > 1:  # the edit was stored by an earlier call
+        now, latest = load_map(spark, path, latest - 1), latest - 1
+    elif held != shards:
+        raise ValueError(f"the stored map has {held} shards, not {shards}")
+    else:
+        save_map(grow(now, shards), path)
+    return now, load_map(spark, path, latest + 1)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(table(spark, sf_dir, "documents"))
+    path = shared_dir(spark, "arrlens-tables", f"slot-maps-{uuid.uuid4().hex[:12]}")
+    delete_on_exit(spark, path)
+    now, grown = stored_versions(spark, path, SHARDS)
+    return assign(table(spark, sf_dir, "documents"), SHARDS, now, grown)

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from arrlens.llm import html_extract, near_dedup, secret_scan
+from arrlens.llm import html_extract, near_dedup, secret_scan, sharding
 
 
 def tlv(tag, *parts):
@@ -173,3 +173,35 @@ def test_keep_first_keeps_columns_of_any_name_and_one_known_row(spark):
     got = near_dedup.keep_first(docs)
     assert got.schema.names == docs.schema.names
     assert sorted((r["doc_id"], r["__key"], r["__kept"]) for r in got.collect()) == [(1, "a", 6), (3, "z", 9)]
+
+
+def test_slot_maps_are_stored_edited_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "maps")
+    now, grown = sharding.stored_versions(spark, path, 7)
+    assert sorted(p.name for p in (tmp_path / "maps").iterdir() if p.name.startswith("version")) == ["version=1", "version=2"]
+    old = {r["virtual_slot"]: r["shard"] for r in now.collect()}
+    new = {r["virtual_slot"]: r["shard"] for r in grown.collect()}
+    assert len(old) == len(new) == sharding.SLOTS and max(new.values()) == 7
+    assert all(new[s] in (old[s], 7) for s in old) and {r["version"] for r in grown.collect()} == {2}
+    again, grown_again = sharding.stored_versions(spark, path, 7)  # nothing is written twice
+    assert {r["virtual_slot"]: r["shard"] for r in again.collect()} == old
+    assert {r["virtual_slot"]: r["shard"] for r in grown_again.collect()} == new
+    with pytest.raises(ValueError):
+        sharding.stored_versions(spark, path, 3)
+    eight, nine = sharding.stored_versions(spark, path, 8)  # the next edit starts from the stored one
+    assert {r["virtual_slot"]: r["shard"] for r in eight.collect()} == new
+    assert {r["version"] for r in nine.collect()} == {3}
+
+
+def test_hot_rows_are_counted_before_they_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    hot = spark.range(1000).selectExpr("cast(5 as long) doc_id", "'same text' text", "id as size", "'x' sub", "'y' copies")
+    null = spark.range(300).selectExpr("cast(null as long) doc_id", "concat('text ', id % 100) text", "id as size", "'x' sub", "'y' copies")
+    rest = spark.range(200).selectExpr("id + 10 doc_id", "concat('t', id) text", "id as size", "'x' sub", "'y' copies")
+    got = sharding.assign(hot.union(null).union(rest), 3).collect()
+    assert len(got) == 1500
+    for shard in range(3):
+        places = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert places == list(range(len(places)))
+    assert sum(r["doc_id"] == 5 for r in got) == 1000 and sum(r["doc_id"] is None for r in got) == 300
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
