@@ -22,6 +22,9 @@ USAGE_COLS = ["total_usage_count", "avg_usage_count", "total_usage_duration",
               "unique_features_used", "total_errors", "beta_feature_usage"]
 SUPPORT_COLS = ["n_tickets", "avg_satisfaction", "avg_resolution_hours", "n_escalations",
                 "n_urgent"]
+SUB_INPUTS = ["mrr_amount", "seats", "upgrade_flag", "downgrade_flag", "billing_frequency", "auto_renew_flag"]
+USAGE_INPUTS = ["feature_name", "usage_count", "usage_duration_secs", "error_count", "is_beta_feature"]
+SUPPORT_INPUTS = ["ticket_id", "satisfaction_score", "resolution_time_hours", "escalation_flag", "priority"]
 ZERO_FILL = ["total_usage_count", "unique_features_used", "total_errors", "beta_feature_usage",
              "n_tickets", "n_escalations", "n_urgent"]
 MEDIAN_FILL = ["avg_satisfaction", "avg_resolution_hours"]
@@ -100,9 +103,17 @@ def subscription_signals(active_paid: DataFrame, by=("account_id",)) -> DataFram
         F.bool_or("auto_renew_flag").alias("auto_renew"))
 
 
-def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame, by=("account_id",)) -> DataFrame:
-    """Usage of the given subscriptions per (account, feature). Subscriptions with
-    a ``snapshot_date`` see the usage up to it.
+def usage_sums(rows: DataFrame, by=("account_id",)) -> DataFrame:
+    """Sums of usage rows per (account, feature); an empty sum is 0."""
+    return (rows.groupBy(*by, "feature_name")
+            .agg(F.count("usage_count").alias("n_counted"),
+                 *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in [
+                     ("usage_count", "usage_count"), ("usage_duration_secs", "usage_duration"),
+                     ("error_count", "errors")]], F.count_if("is_beta_feature").alias("beta")))
+
+
+def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Usage of the given subscriptions per (account, feature).
 
     Usage rows are near unique per (subscription, feature, month), so nothing
     is gained by summing them before the join: the needed columns join the
@@ -110,17 +121,8 @@ def usage_by_account_feature(usage: DataFrame, subscriptions: DataFrame, by=("ac
     where a subscription is hot), and the sums are combined in the tasks. Per
     (account, feature) the distinct-feature count becomes a plain count.
     """
-    asof = "snapshot_date" in subscriptions.columns
-    subs = subscriptions.select("subscription_id", *by, *(["snapshot_date"] if asof else []))
-    rows = usage.select("subscription_id", "feature_name", "usage_count", "usage_duration_secs",
-                        "error_count", "is_beta_feature", *(["usage_date"] if asof else [])).join(subs, "subscription_id")
-    if asof:
-        rows = rows.where(F.col("usage_date") <= F.col("snapshot_date"))
-    return (rows.groupBy(*by, "feature_name")
-            .agg(F.count("usage_count").alias("n_counted"),   # an empty sum is 0
-                 *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in [
-                     ("usage_count", "usage_count"), ("usage_duration_secs", "usage_duration"),
-                     ("error_count", "errors")]], F.count_if("is_beta_feature").alias("beta")))
+    subs = subscriptions.select("subscription_id", "account_id")
+    return usage_sums(usage.select("subscription_id", *USAGE_INPUTS).join(subs, "subscription_id"))
 
 
 def usage_by_account_month(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:

@@ -3,18 +3,20 @@
 Every record has a validity interval: a subscription from its start to its
 end, an account from its signup on, with a status that holds from one churn or
 reactivation event to the next; usage and tickets count from their day on. Each record
-is copied to the snapshot dates inside its interval (an as-of join against a handful of
-literal dates, without a shuffle), and all further grouping carries the snapshot
-as a key. So the tables are read, joined and shuffled once for all dates.
+is dealt to its account's task once and copied there to the snapshot dates inside its
+interval (an as-of join against a handful of literal dates), and all further grouping
+carries the snapshot as a key. So the tables are read, joined and shuffled once for all dates.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from ..sources.fixtures import Tables
 from . import features as FE
 
@@ -67,16 +69,34 @@ def accounts_asof(t: Tables, dates: dict[int, dt.date]) -> DataFrame:
             .where(F.col("signup_date") <= F.col("snapshot_date")))
 
 
+def holds_at(d) -> Column:
+    """Whether the interval from ``valid_from`` up to, not including, ``valid_to`` (null: open) holds date ``d``."""
+    return (F.col("valid_from") <= d) & (F.col("valid_to").isNull() | (F.col("valid_to") > d))
+
+
+def dealt_and_copied(df: DataFrame, dates: dict[int, dt.date]) -> DataFrame:
+    """The rows with ``valid_from`` and ``valid_to`` at each date that they hold.
+    They are dealt by account as they are and copied after that, so that neither the
+    shuffle nor a sum before it grows with the number of dates; the sums by
+    snapshot and account that follow need no further shuffle."""
+    some = reduce(lambda a, b: a | b, [holds_at(F.lit(d)) for d in dates.values()])
+    return copied(dealt(df.where(some), "account_id"), dates, holds_at)
+
+
 def raw_features(t: Tables, dates: dict[int, dt.date]) -> DataFrame:
     """The raw feature table of every date, with its number in ``snapshot``."""
     by = ["snapshot", "account_id"]
     last = F.lit(max(dates.values()))
-    paid = t.subscriptions.where((F.col("mrr_amount") > 0) & (F.col("start_date") <= last))
-    active = copied(paid, dates, lambda d: (F.col("start_date") <= d) &
-                    (F.col("end_date").isNull() | (F.col("end_date") > d)))
-    usage = FE.usage_by_account_feature(t.feature_usage.where(F.col("usage_date") <= last), active, by)
-    support = copied(t.support.where(F.to_date("submitted_at") <= last), dates,
-                     lambda d: F.to_date("submitted_at") <= d)
+    paid = t.subscriptions.where((F.col("mrr_amount") > 0) & (F.col("start_date") <= last)).withColumns(
+        {"valid_from": F.col("start_date"), "valid_to": F.col("end_date")})
+    active = dealt_and_copied(paid.select("account_id", "subscription_id", "valid_from", "valid_to", *FE.SUB_INPUTS), dates)
+    used = (t.feature_usage.where(F.col("usage_date") <= last).select("subscription_id", "usage_date", *FE.USAGE_INPUTS)
+            .join(paid.select("subscription_id", "account_id", "valid_from", "valid_to"), "subscription_id")
+            .withColumn("valid_from", F.greatest("valid_from", "usage_date")))
+    usage = FE.usage_sums(dealt_and_copied(used.select("account_id", "valid_from", "valid_to", *FE.USAGE_INPUTS), dates), by)
+    tickets = t.support.where(F.to_date("submitted_at") <= last).withColumns(
+        {"valid_from": F.to_date("submitted_at"), "valid_to": F.lit(None).cast("date")})
+    support = dealt_and_copied(tickets.select("account_id", "valid_from", "valid_to", *FE.SUPPORT_INPUTS), dates)
     return (accounts_asof(t, dates)
             .join(FE.subscription_signals(active, by), by, "left")
             .join(FE.usage_signals(usage, by), by, "left")

@@ -116,6 +116,12 @@ def _path_and_files(spark: SparkSession, path: str):
     return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+def dealt(df, key: str):
+    """``df`` dealt by ``key`` over all ``spark.sql.shuffle.partitions``, which adaptive
+    execution does not merge into few: for steps whose tasks hold much more than they read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     """Have a written intermediate table removed when the driver ends."""
     p, fs = _path_and_files(spark, path)

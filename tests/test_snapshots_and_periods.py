@@ -67,6 +67,26 @@ def test_one_pass_equals_separate_builds(spark):
         assert r.has_upgraded == (any(s[9] for s in live) if live else None)
 
 
+def test_rows_are_dealt_before_they_are_copied(spark):
+    """What is shuffled does not grow with the number of dates: usage rows travel to their
+    account as they are, and no sum by snapshot or feature is shuffled after that but for the joined tables."""
+    import re
+    subs = [subscription(1, 1, "2024-01-05", "2024-02-10"), subscription(2, 1, "2024-02-01"), subscription(3, 2, "2024-03-01")]
+    use = [usage(f"u{k}", 1 + k % 3, str(d("2024-01-06") + dt.timedelta(days=k)), k) for k in range(90)]
+    t = tables(spark, [account(1), account(2)], subs, use)
+    dates = {n: d("2024-01-01") + dt.timedelta(days=n) for n in range(100)}   # more than a word has bits
+    df = snapshots.raw_features(t, dates)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*feature_name", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(account_id#\d+L?, \d+\), REPARTITION_BY_NUM", plan)) == 3
+    got = {(r.snapshot, r.account_id): (r.total_usage_duration, r.unique_features_used, r.n_subscriptions) for r in df.collect()}
+    assert len(got) == 200
+    for (n, a), row in got.items():
+        live = {s[0] for s in subs if s[1] == a and s[2] <= dates[n] and (s[3] is None or s[3] > dates[n])}
+        seen = [u for u in use if u[1] in live and u[2] <= dates[n]]
+        assert row == (sum(u[5] for u in seen) if seen else None, 1 if seen else None, len(live) or None)
+
+
 def test_snapshots_share_one_build(spark, sf_dir):
     run = ScoringRun(Tables(spark, sf_dir))
     assert set(run.earlier) == set(snapshots.LAGS)
