@@ -22,19 +22,20 @@ import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import dround_col
 from ..functions.quantiles import exact_quantiles
 from ..operators.features import usage_by_account_month
-from ..session import configure, delete_on_exit, delete_path, list_paths, shared_dir
+from ..session import configure, dealt, delete_on_exit, delete_path, list_paths, shared_dir
 from ..sources.fixtures import Tables, usage_from_lineitem
 
 WINDOW_DAYS = 30
 COMPACT_AFTER = 8      # batches of a month that are kept apart
 SKETCH_K = 2000        # size of a sketch; the rank error stays well below MAX_RANK_ERROR
 MAX_RANK_ERROR = 0.01
+BLOCK_DAYS = 32        # starts of an account that are compared between batches at once
 
 
 def monthly_threshold(t: Tables, q: float = 0.9) -> DataFrame:
@@ -63,21 +64,36 @@ def daily_totals(usage: DataFrame, mapping: DataFrame) -> DataFrame:
     before the join, so a hot subscription collapses in the tasks."""
     per_sub = (usage.groupBy("subscription_id", F.unix_date("usage_date").alias("day"))
                .agg(F.sum("usage_duration_secs").alias("duration")))
-    return (per_sub.join(mapping, "subscription_id")
+    return (dealt(per_sub, "subscription_id").join(mapping, "subscription_id")
             .groupBy("account_id", "day").agg(F.sum("duration").alias("duration")))
 
 
 def rolling_windows(updated: DataFrame, stored: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """(account_id, start, duration) of the windows that hold an updated day,
-    from all stored totals of the days that such windows can reach."""
+    """(account_id, start, until, duration): the windows that start on ``start`` to
+    ``until`` hold ``duration``; all windows that hold an updated day, from all stored
+    totals of the days that such windows can reach.
+
+    A day's total enters with the window that starts ``days`` - 1 earlier and leaves with the one
+    that starts a day later. The running sum over both changes in order of the
+    starts is the windows' sum, so a stored day costs two rows, however long the windows are."""
     span = updated.groupBy("account_id").agg((F.min("day") - (days - 1)).alias("lo"), F.max("day").alias("hi"))
-    daily = (stored.join(span, "account_id")
-             .where(F.col("day").between(F.col("lo"), F.col("hi") + (days - 1)))
-             .groupBy("account_id", "lo", "hi", "day").agg(F.sum("duration").alias("duration")))
-    starts = F.sequence(F.greatest("lo", F.col("day") - (days - 1)), F.least("hi", F.col("day")))
-    return (daily.where(F.greatest("lo", F.col("day") - (days - 1)) <= F.least("hi", F.col("day")))
-            .select("account_id", "duration", F.explode(starts).alias("start"))
-            .groupBy("account_id", "start").agg(F.sum("duration").alias("duration")))
+    daily = (dealt(stored.select("account_id", "day", "duration"), "account_id").join(span, "account_id")
+             .where(F.col("day").between(F.col("lo"), F.col("hi") + (days - 1))))
+    enters = F.struct(F.greatest("lo", F.col("day") - (days - 1)).alias("start"), F.col("duration").alias("change"),
+                      F.lit(1).alias("held"))
+    leaves = F.struct((F.col("day") + 1).alias("start"), (-F.col("duration")).alias("change"), F.lit(-1).alias("held"))
+    changes = daily.select("account_id", "hi", F.explode(F.array(enters, leaves)).alias("c")).select(
+        "account_id", "hi", "c.*").where(F.col("start") <= F.col("hi"))
+    by_start = Window.partitionBy("account_id").orderBy("start")
+    sums = changes.select("account_id", "start", (F.coalesce(F.lead("start").over(by_start), F.col("hi") + 1) - 1).alias("until"),
+                          F.sum("change").over(by_start).alias("duration"),   # of all changes up to this start
+                          F.sum("held").over(by_start).alias("held"))
+    return sums.where("held > 0 AND until >= start").drop("held")
+
+
+def each_start(runs: DataFrame, *also: str) -> DataFrame:
+    """(account_id, start, duration): one row per window of the runs of equal ones."""
+    return runs.select("account_id", F.explode(F.sequence("start", "until")).alias("start"), "duration", *also)
 
 
 def month_of(day: Column) -> Column:
@@ -157,8 +173,8 @@ class UsageStore:
 
 @dataclass
 class TriggerRun:
-    """Paths of a run: rebuilt windows by batch (the latest batch holds a window's
-    valid sum), live alerts by batch, one sketch per month, the store."""
+    """Paths of a run: rebuilt windows by batch, in runs of equal sums (the latest batch
+    holds a window's valid sum), live alerts by batch, one sketch per month, the store."""
 
     windows: str
     alerts: str
@@ -208,8 +224,8 @@ def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = No
         (month_sketches(stored.where(F.col("month").isin(months))).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(run.sketches))
         threshold = live_threshold(session.read.parquet(run.sketches), q).select("threshold").scalar()
-        windows = session.read.schema("account_id bigint, start int, duration bigint").parquet(path)
-        (windows.where(F.col("duration") >= threshold).withColumn("threshold", threshold)
+        windows = session.read.schema("account_id bigint, start int, until int, duration bigint").parquet(path)
+        (each_start(windows.where(F.col("duration") >= threshold)).withColumn("threshold", threshold)
          .write.mode("overwrite").parquet(f"{run.alerts}/batch_id={batch_id}"))
         store.compact(months, batch_id)
 
@@ -222,10 +238,32 @@ def run_usage_trigger(spark: SparkSession, sf_dir: str, out_dir: str | None = No
     return run
 
 
+def latest_runs(spark: SparkSession, run: TriggerRun) -> DataFrame:
+    """(account_id, start, until, duration): every window's valid sum, in runs of
+    equal ones that follow each other. Runs are cut at multiples of BLOCK_DAYS; only
+    in blocks that several batches wrote is the latest one looked up for each start."""
+    runs = spark.read.schema("account_id bigint, start int, until int, duration bigint, batch_id bigint").parquet(run.windows)
+    first = F.col("block") * BLOCK_DAYS
+    pieces = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK_DAYS).cast("int"),
+                                                           F.floor(F.col("until") / BLOCK_DAYS).cast("int"))))
+    pieces = pieces.select("account_id", "block", F.struct(
+        "batch_id", F.greatest("start", first).alias("start"), F.least("until", first + (BLOCK_DAYS - 1)).alias("until"),
+        "duration").alias("piece"))
+    blocks = pieces.groupBy("account_id", "block").agg(
+        F.collect_list("piece").alias("pieces"), (F.min("piece.batch_id") < F.max("piece.batch_id")).alias("several"))
+
+    def valid(at: Column) -> Column:
+        last = F.array_max(F.filter("pieces", lambda p: (p["start"] <= at) & (at <= p["until"])))  # batch_id comes first
+        return F.struct(last["batch_id"].alias("batch_id"), at.alias("start"), at.alias("until"), last["duration"].alias("duration"))
+
+    latest = F.filter(F.transform(F.sequence(first, first + (BLOCK_DAYS - 1)), valid), lambda p: p["batch_id"].isNotNull())
+    return (blocks.select("account_id", F.explode(F.when(F.col("several"), latest).otherwise(F.col("pieces"))).alias("p"))
+            .select("account_id", "p.start", "p.until", "p.duration"))
+
+
 def latest_windows(spark: SparkSession, run: TriggerRun) -> DataFrame:
     """(account_id, start, duration): every window's valid sum."""
-    windows = spark.read.schema("account_id bigint, start int, duration bigint, batch_id bigint").parquet(run.windows)
-    return windows.groupBy("account_id", "start").agg(F.max_by("duration", "batch_id").alias("duration"))
+    return each_start(latest_runs(spark, run))
 
 
 def usage_stream(spark: SparkSession, sf_dir: str, q: float = 0.9, max_files_per_trigger: int | None = None,
@@ -236,9 +274,9 @@ def usage_stream(spark: SparkSession, sf_dir: str, q: float = 0.9, max_files_per
     run = run_usage_trigger(spark, sf_dir, q=q, max_files_per_trigger=max_files_per_trigger,
                             compact_after=compact_after)
     threshold = monthly_threshold(Tables(spark, sf_dir), q).scalar()
-    return (latest_windows(spark, run).where(F.col("duration") >= threshold).groupBy("account_id")
+    return (latest_runs(spark, run).where(F.col("duration") >= threshold).groupBy("account_id")
             .agg(F.date_from_unix_date(F.min("start")).alias("first_window_start"),
-                 F.count(F.lit(1)).alias("windows_over"), F.max("duration").alias("peak_usage_duration"))
+                 F.sum(F.col("until") - F.col("start") + 1).alias("windows_over"), F.max("duration").alias("peak_usage_duration"))
             .withColumn("threshold", dround_col(threshold, 6)))
 
 

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from arrlens.sources.fixtures import Tables
-from arrlens.streaming.usage_stream import (UsageStore, latest_windows, live_threshold, month_of, month_sketches,
-                                            monthly_threshold, run_usage_trigger, usage_stream)
+from arrlens.streaming.usage_stream import (TriggerRun, UsageStore, each_start, latest_runs, latest_windows, live_threshold,
+                                            month_of, month_sketches, monthly_threshold, rolling_windows,
+                                            run_usage_trigger, usage_stream)
 
 
 def test_usage_stream_matches_brute_force(spark, sf_dir):
@@ -136,3 +137,46 @@ def test_alerts_follow_the_live_threshold(spark, sf_dir, tmp_path):
     assert len(thr) == 1
     want = latest_windows(spark, run).where(F.col("duration") >= thr[0][0]).count()
     assert alerts.count() == want > 0
+
+
+def _brute_windows(rows, days=30):
+    out = {}
+    for acct, day, dur in rows:
+        for s in range(day - days + 1, day + 1):
+            out[acct, s] = out.get((acct, s), 0) + dur
+    return out
+
+
+def _windows(df):
+    rows = [((r.account_id, r.start), r.duration) for r in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+def test_windows_come_in_runs_of_equal_sums(spark):
+    """At most two rows per stored day, whatever the window's length; sums of 0 and
+    days that cancel out are windows too, empty stretches are none."""
+    rows = [(1, 100, 5), (1, 100, 2), (1, 103, 0), (1, 400, 7), (2, 100, 0), (3, 90, 4), (3, 91, -4), (3, 150, 1)]
+    totals = _totals(spark, rows)
+    runs = rolling_windows(totals, totals)
+    assert runs.columns == ["account_id", "start", "until", "duration"]
+    assert runs.count() <= 2 * len(rows)
+    assert _windows(each_start(runs)) == _brute_windows(rows)
+    wide = rolling_windows(totals, totals, 3000)
+    assert wide.count() <= 2 * len(rows) and _windows(each_start(wide)) == _brute_windows(rows, 3000)
+    # only the span of the updated days, with the totals that reach into it
+    part = _windows(each_start(rolling_windows(_totals(spark, [(1, 103, 0)]), totals)))
+    assert part == {k: v for k, v in _brute_windows(rows).items() if k[0] == 1 and 74 <= k[1] <= 103}
+
+
+def test_latest_batch_decides_inside_its_span_only(spark, tmp_path):
+    import random
+    random.seed(3)
+    run, known = TriggerRun(str(tmp_path / "w"), "", "", None), []
+    for b in range(4):
+        new = [(random.randint(1, 3), random.randint(-40, 300), random.randint(0, 9)) for _ in range(6)]
+        known += new
+        rolling_windows(_totals(spark, new), _totals(spark, known)).write.parquet(f"{run.windows}/batch_id={b}")
+    want = _brute_windows(known)
+    assert _windows(latest_windows(spark, run)) == want
+    assert latest_runs(spark, run).selectExpr("sum(until - start + 1)").first()[0] == len(want)
