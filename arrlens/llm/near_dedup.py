@@ -311,8 +311,9 @@ def _open_lists(postings: DataFrame, label: DataFrame | None) -> DataFrame:
 def _open_hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """The members of open lists with those of the list's hubs of this turn
     that are in other components."""
-    pairs = lists.join(_hubs(lists, "component", turn=turn), "posting").select("node", "component", F.explode("hubs").alias("hub"))
-    return pairs.where("component != hub.component").select(*_ordered("node", "hub.node"))
+    met = lists.join(_hubs(lists, "component", turn=turn), "posting")
+    others = F.filter("hubs", lambda h: h["component"] != F.col("component"))   # before a row is made of any
+    return met.select("node", F.explode(others).alias("hub")).select(*_ordered("node", "hub.node"))
 
 
 def _bodies(keyed: DataFrame, nodes: DataFrame) -> DataFrame:

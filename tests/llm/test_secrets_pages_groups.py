@@ -205,3 +205,15 @@ def test_hot_rows_are_counted_before_they_are_dealt(spark, monkeypatch):
         assert places == list(range(len(places)))
     assert sum(r["doc_id"] == 5 for r in got) == 1000 and sum(r["doc_id"] is None for r in got) == 300
     assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+
+
+def test_no_row_is_made_of_hubs_in_the_own_component(spark):
+    """A large group of copies that is one component already meets only the hubs of others."""
+    from arrlens.llm.near_dedup import _hubs, _open_hub_pairs
+    rows = [(p, n, 0 if n < 300 else n) for p in range(5) for n in range(p, 303)]
+    lists = spark.createDataFrame(rows, "posting long, node long, component long")
+    got = _open_hub_pairs(lists, 1)
+    hubs = {r.posting: r.hubs for r in _hubs(lists, "component", turn=1).collect()}
+    want = sorted((min(n, h.node), max(n, h.node)) for p, n, c in rows for h in hubs[p] if h.component != c)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "explode(filter(hubs" in got._jdf.queryExecution().optimizedPlan().toString()
