@@ -11,10 +11,13 @@ probability below 10^-5. So:
   posted for the join;
 * merging: what is already in one component is not paired again. Each short
   posting list pairs all its members; of the longer ones, a node first takes
-  its longest only and meets that list's few hubs. Lists that still hold
-  several components then pair their members with hubs of other components,
-  with fresh hubs as long as a round closes many of them. Pairs are kept from T collisions
-  of the whole signatures on, and a link is confirmed on the full shingle sets.
+  its longest only and meets that list's few hubs, the members whose values
+  most others share: they lie in the middle of a group, and most of it links to
+  them. Of the lists that still hold several components, a node then takes one
+  a round, the shortest first, and meets its hubs of other components, as long
+  as a round closes some of them. So a round makes at most HUBS pairs of a node.
+  Pairs are kept from T collisions of the whole signatures on, and a link is
+  confirmed on the full shingle sets.
 
 Members of lists that stay open then meet by their shingles themselves: two
 similar sets share one of their rarest n - ceil(0.8 n) + 1 shingles, so a
@@ -22,7 +25,9 @@ passage that many documents share pairs nobody. What follows the first shared
 shingle in either set bounds the intersection, so a pair is made only by
 shingles early enough in both. Sets of which PARITY_BITS parities differ in
 more places than similar sets have unshared shingles are no pair either, so
-that near copies too far apart make none. This last step is exact.
+that near copies too far apart make none. Texts of one of these pairs are compared
+for each two components first, and of the others if that did not join them. This
+last step is exact.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ MIN_COLLISIONS = 24     # P(Bin(48, 0.8) < 24) is about 10^-6
 SIMILARITY = 80         # percent
 SHORT = 6               # members of a posting list that are all paired at once
 HUBS = 4                # members of a longer list that all others are paired with first
-OPEN_SHARE = 0.9        # hub rounds go on while each leaves at most this share of the components
+OPEN_SHARE = 0.98       # hub rounds go on while each leaves at most this share of the components
 PARITY_BITS = 1024      # parities of a shingle set: the top bits of a shingle choose one
 BLOCK = 2048            # members of a shingle's list that one key of the pair join holds
 CACHE_WORDS = 150_000
@@ -170,14 +175,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def prefix_postings(nodes: DataFrame, min_collisions: int = MIN_COLLISIONS) -> DataFrame:
-    """(node, posting): the rarest m - T + 1 of the m values that a node shares."""
+    """(node, weight, posting): the rarest m - T + 1 of the m values that a node
+    shares. ``weight``: how often others share them, largest in the middle of a group."""
     posted = nodes.select("node", F.explode("signature").alias("posting"))
     shared = posted.groupBy("posting").agg(F.count("*").alias("n")).where("n > 1")
     own = posted.join(shared, "posting").groupBy("node").agg(
         F.collect_list(F.struct("n", "posting")).alias("own"))  # at most K entries
     own = own.where(F.size("own") >= min_collisions)
     first = F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (min_collisions - 1))
-    return own.select("node", F.explode(first).alias("p")).select("node", "p.posting")
+    weight = F.aggregate("own", F.lit(0).cast("long"), lambda total, e: total + e["n"])
+    return own.select("node", weight.alias("weight"), F.explode(first).alias("p")).select("node", "weight", "p.posting")
 
 
 def sizes_agree(a: Column, b: Column, similarity: int) -> Column:
@@ -278,12 +285,14 @@ def _all_pairs(short: DataFrame) -> DataFrame:
 
 
 def _hubs(lists: DataFrame, *carried: str, turn: int = 0) -> DataFrame:
-    """(posting, hubs): of each list the members with the least hash under one
-    of several salts (others in each turn), so that lists with many members in
-    common choose alike."""
-    return lists.groupBy("posting").agg(F.array_distinct(F.array(*[
-        F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)), F.struct("node", *carried).alias("hub")))["hub"]
-        for i in range(HUBS)])).alias("hubs"))
+    """(posting, hubs): each list is dealt into parts by a hash of the node (other
+    ones in each turn), and of each part the member of most ``weight`` (if lists have
+    it) is a hub, so that lists with many members in common choose alike."""
+    weight = F.col("weight") if "weight" in lists.columns else F.lit(0)
+    at = F.xxhash64("node", F.lit(turn))
+    rank = F.struct(weight.alias("weight"), at.alias("at"), F.struct("node", *carried).alias("hub"))
+    return lists.groupBy("posting").agg(F.array_compact(F.array(*[
+        F.max(F.when(F.pmod(at, F.lit(HUBS)) == i, rank))["hub"] for i in range(HUBS)])).alias("hubs"))
 
 
 def _ordered(node: str, hub: str) -> list[Column]:
@@ -298,24 +307,47 @@ def _hub_pairs(long: DataFrame) -> DataFrame:
 
 
 def _open_lists(postings: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(posting, node, component) of the lists that hold several components."""
+    """The postings of the lists that hold several components, with the node's ``component``."""
     if label is None:
-        named = postings.select("posting", "node", F.col("node").alias("component"))
+        named = postings.withColumn("component", F.col("node"))
     else:
-        named = postings.join(label, "node", "left").select(
-            "posting", "node", F.coalesce("component", "node").alias("component"))
+        named = postings.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return named.join(several.select("posting"), "posting")
 
 
-def _open_hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """The members of open lists with those of the list's hubs of this turn
-    that are in other components."""
-    met = lists.join(_hubs(lists, "component", turn=turn), "posting")
+def _one_list_each(lists: DataFrame, turn: int) -> DataFrame:
+    """(node, component, posting): of the open lists of each node, at most K, the
+    shortest in the first turn, the next one in the next (at the end the longest)."""
+    own = lists.groupBy("node", "component").agg(F.array_sort(F.collect_list(F.struct("n", "posting"))).alias("own"))
+    return own.select("node", "component", F.element_at("own", F.least(F.lit(turn), F.size("own")))["posting"].alias("posting"))
+
+
+def _open_hub_pairs(lists: DataFrame, turn: int, asking: DataFrame | None = None) -> DataFrame:
+    """The members of open lists (or only the postings ``asking``) with those of the
+    list's hubs of this turn that are in other components."""
+    met = (lists if asking is None else asking).join(_hubs(lists, "component", turn=turn), "posting")
     others = F.filter("hubs", lambda h: h["component"] != F.col("component"))   # before a row is made of any
     return met.select("node", F.explode(others).alias("hub")).select(*_ordered("node", "hub.node"))
 
 
+def _between(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(a, b, ca, cb): the pairs of different components."""
+    if label is None:
+        return pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    out = pairs
+    for x in ("a", "b"):
+        own = label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        out = out.join(own, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return out.where("ca != cb").select("a", "b", "ca", "cb")
+
+
+def _one_pair_each(pairs: DataFrame) -> DataFrame:
+    """One of the pairs of each two components."""
+    two = pairs.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
+    return two.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+
 def _bodies(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given classes, from one document of each."""
     none = F.lit(-2 ** 63)
@@ -365,13 +397,16 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
     turn, before = 0, None
     while n and (before is None or n <= OPEN_SHARE * before):
         turn, before = turn + 1, n
-        link(probable(_open_hub_pairs(lists, turn)))
+        link(probable(_open_hub_pairs(lists, turn, _one_list_each(lists, turn))))
         lists, n = still_open()
     if n:
         rest = bodies.join(lists.select("node", "component").distinct(), "node").select("node", "component", "text")
         sets = rest.mapInArrow(_sets(shingle_words),
                                "node long, component long, shingles array<long>, parities array<long>")
-        link(staged(shingle_pairs(staged(sets, "open"), similarity), "likely"))
+        near = staged(shingle_pairs(staged(sets, "open"), similarity), "likely")
+        first = staged(_one_pair_each(_between(near, label)), "likely")
+        link(first)
+        link(staged(_between(near.join(first, ["a", "b"], "left_anti"), label).select("a", "b"), "likely"))
     return signed, nodes, label
 
 

@@ -217,3 +217,34 @@ def test_no_row_is_made_of_hubs_in_the_own_component(spark):
     want = sorted((min(n, h.node), max(n, h.node)) for p, n, c in rows for h in hubs[p] if h.component != c)
     assert sorted(map(tuple, got.collect())) == want
     assert "explode(filter(hubs" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_large_near_group_grow_with_its_members(spark, monkeypatch):
+    """A node meets the hubs of one list a round, not of all its lists, and hubs lie where most of the
+    group links to them: few pairs of each member, however large the group."""
+    hashes, asked = near_dedup._WordHashes(), []
+    for name in ("likely", "confirmed"):
+        def counted(pairs, *args, own=getattr(near_dedup, name)):
+            pairs = near_dedup.staged(pairs, "counted")
+            asked[-1] += pairs.count()
+            return own(pairs, *args)
+        monkeypatch.setattr(near_dedup, name, counted)
+    for n in (250, 1000):
+        asked.append(0)
+        group = near_group(n, seed=3)
+        docs = spark.createDataFrame(group, "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 2).collect()}
+        plain = [set(near_dedup.shingle_set(t, 2, hashes).tolist()) for _, t in group]
+        want = list(range(n))
+
+        def root(i):
+            while want[i] != i:
+                i = want[i]
+            return i
+        for a in range(n):
+            for b in range(a + 1, n):
+                if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b]):
+                    x, y = sorted((root(a), root(b)))
+                    want[y] = x
+        assert got == {i: root(i) for i in range(n)}
+        assert asked[-1] <= 20 * n
