@@ -15,11 +15,13 @@ from __future__ import annotations
 import bisect
 import functools
 import random
-import re
+import string
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,10 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
-CACHE_BYTES = 160_000_000   # of a Python worker's chunk cache, estimated
+CACHE_BYTES = 240_000_000   # of a Python worker's chunk cache, estimated
 ENTRY_BYTES = 200           # of a cached chunk beside its text and ids
-# a word and its closing marks, which the pre-tokenizer parts (an apostrophe may be of a contraction)
-_MARKED = re.compile(r"(\n?)([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+SLICE_CHARS = 4_000_000     # of texts whose chunks are looked up together
+_MARKS = "".join(c for c in string.punctuation if c != "'")
 # white space that does not simply separate two words of one line or two lines
 _ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 
@@ -49,10 +51,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """Ids of chunks, each with the space that stands before it (a chunk that
-    starts with a newline has none). Words with closing marks are put together
-    from the word's and the marks' ids; a word alone is one piece of the
-    pre-tokenizer, so the merges are asked at once."""
+    """Ids of chunks without closing marks, each with the space that stands before
+    it (a chunk that starts with a newline has none). A word alone is one piece of
+    the pre-tokenizer, so the merges are asked at once."""
 
     def __init__(self, tokenizer, max_bytes: int = CACHE_BYTES):
         super().__init__()
@@ -65,13 +66,16 @@ class _Chunks(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, text: str) -> bytes:
-        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
+        if text.isascii():
+            letters = text.replace(" ", self.letters[32])
+        else:
+            letters = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.new(chunk)
+            ids = self.word(" " + chunk) if chunk.isalpha() else self.new(chunk)
         self[chunk] = ids
         self.held += len(chunk) + len(ids) + ENTRY_BYTES
         return ids
@@ -82,22 +86,25 @@ class _Chunks(dict):
             self.clear()
 
     def new(self, chunk: str) -> bytes:
-        m = _MARKED.fullmatch(chunk)
-        if not m:
-            ids = self.encode(chunk if chunk[:1] == "\n" else " " + chunk)
-        elif m[3]:
-            ids = self[m[1] + m[2]] + self.marks(m[3])
-        else:
-            ids = self.marks("\n") + self.word(m[2]) if m[1] else self.word(" " + m[2])
-        return ids
+        if chunk[:1] == "\n":
+            return self.marks("\n") + self.word(chunk[1:]) if chunk[1:].isalpha() else self.encode(chunk)
+        return self.encode(" " + chunk)
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk: of what ends in a letter or digit and of the marks after
+        it, which the pre-tokenizer parts (an apostrophe may be of a contraction)."""
+        self.age()
+        marks = self.marks
+        return [self[chunk] if bare is chunk or not bare[-1:].isalnum() else self[bare] + marks(chunk[len(bare):])
+                for chunk, bare in zip(chunks, [c.rstrip(_MARKS) for c in chunks])]
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes. The byte-level
-    BPE splits text before every single space and around every single newline,
-    so such chunks are encoded on their own, once each while they are kept in a
-    bounded cache. Any other white space, text beyond Latin-1 and text with a
-    special token's string go through the tokenizer whole."""
+    BPE splits text before every single space and around every single newline.
+    The distinct chunks of many texts are looked up once, in a bounded cache,
+    and put together by their numbers. Any other white space, text beyond
+    Latin-1 and text with a special token's string go through the tokenizer whole."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
@@ -118,11 +125,35 @@ class Encoder:
         return True
 
     def encode(self, text: str) -> bytes:
-        if not text or not self._is_plain(text):
-            return self.whole(text)
-        self.chunks.age()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None if t and self._is_plain(t) else self.whole(t) for t in texts]
+        plain = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain]) if plain else []):
+            out[i] = ids
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        parts = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        bounds = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        number = coded.indices.to_numpy().copy()
+        chunks = coded.dictionary.to_pylist()
+        # the first chunk of a text has no space before it
+        number[bounds[:-1]] = np.arange(len(chunks), len(chunks) + len(texts))
+        ids = self.chunks.of(chunks) + [self.whole(t.replace("\n", " ").split(" ", 1)[0]) for t in texts]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(n) - n
+        own = n[number]
+        ends = np.cumsum(own)
+        # ids of all chunks in order: each chunk's run of places in ``flat``
+        places = np.repeat(start[number] - (ends - own), own)
+        places += np.arange(len(places))
+        cuts = np.concatenate([[0], ends[bounds[1:] - 1]]).tolist()
+        joined = flat[places].tobytes()
+        return [joined[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -141,16 +172,27 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [(a, ids[4 * a:4 * b]) for a, b in zip(starts, [*starts[1:], n])]
 
 
+def _slices(batch: pa.RecordBatch):
+    """Parts of the batch with at least one text and else at most SLICE_CHARS characters."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.utf8_length(batch["text"]).to_pylist()):
+        if i > begin and held + n > SLICE_CHARS:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _tokenise(path: str, capacity: int, cache_bytes: int, keep_cache: bool):
     def tokenise(batches):
         encoder = _encoder(path, cache_bytes) if keep_cache else Encoder(path, cache_bytes)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _slices(batch):
                 rows = []
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    for k, (start, piece) in enumerate(cut(encoder.encode(text) + end, capacity)):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode_all(part["text"].to_pylist())):
+                    for k, (start, piece) in enumerate(cut(ids + end, capacity)):
                         rows.append((doc_id, k, start, len(piece) // 4, zlib.crc32(piece)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], t) for i, t in

@@ -401,3 +401,24 @@ def test_every_row_is_in_a_pair(n_good, n_bad):
     good, bad = Q.pair_numbers(n_good, n_bad)
     assert len(good) == len(bad) == max(n_good, n_bad) * Q.PAIRS_PER_ROW
     assert len(np.unique(good)) == n_good and len(np.unique(bad)) == n_bad
+
+
+# -- tokenising for packing ---------------------------------------------------------------
+def test_a_word_is_encoded_once_whatever_marks_close_it():
+    import public_tokenizers
+    e = P.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"first straightforward{m} end" for m in ["", ",", ".", "!?", ").", "_", "'s,", "',", "«,", "²;"]]
+    texts += ["x\nstraightforward, y", "", "straightforward", "\n", "two  spaces, here", "a, b ", "don't, l_m. 3,"]
+    assert e.encode_all(texts) == [e.whole(t) for t in texts] == [e.encode(t) for t in texts]
+    closed = [c for c in e.chunks if c.startswith("straightforward") and not set(c) & set("'\u00ab\u00b2")]
+    assert closed == ["straightforward"]
+
+
+def test_slices_hold_every_text_once(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(P, "SLICE_CHARS", 10)
+    for lengths in ([], [3], [50], [0, 0, 0], [4, 4, 4, 50, 1, 9, 1, 0]):
+        batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in lengths], pa.string())], ["text"])
+        parts = [p["text"].to_pylist() for p in P._slices(batch)]
+        assert [t for p in parts for t in p] == ["x" * n for n in lengths]
+        assert all(p and (len(p) == 1 or sum(map(len, p)) <= 10) for p in parts)
