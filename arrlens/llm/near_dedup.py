@@ -9,6 +9,9 @@ probability below 10^-5. So:
 * prefix: two classes with T collisions share one of their first m - T + 1
   values in rarest-first order (m: number of shared values), so only those are
   posted for the join;
+* partners: of a longer posting list, only members stay that collide T times with
+  a member of another component, tested list by list on seven bits of each value. So
+  no text or shingle is read or moved for members that are there by chance;
 * merging: what is already in one component is not paired again. Each short
   posting list pairs all its members; of the longer ones, a node first takes
   its longest only and meets that list's few hubs, the members whose values
@@ -33,12 +36,14 @@ last step is exact.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import TableScope, shuffles_freed
 from .common import id_and_text, in_slices, staged, table
 
 COORDINATES = 48
@@ -50,6 +55,7 @@ HUBS = 4                # members of a longer list that all others are paired wi
 OPEN_SHARE = 0.98       # hub rounds go on while each leaves at most this share of the components
 PARITY_BITS = 1024      # parities of a shingle set: the top bits of a shingle choose one
 BLOCK = 2048            # members of a shingle's list that one key of the pair join holds
+TESTED = 4096           # members of a posting list up to which each is asked for a partner
 CACHE_WORDS = 150_000
 _M = (1 << 64) - 1
 
@@ -229,14 +235,16 @@ def shingle_pairs(members: DataFrame, similarity: int, block: int = BLOCK) -> Da
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, min_collisions: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) with sets of like size and at least T collisions of
-    their whole signatures, counted on seven bits of each value (which can
-    only count too many)."""
-    bits = F.transform("signature", lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(127)).cast("tinyint"))
-    own = nodes.select("node", "n_shingles", bits.alias("bits"))
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("sa")), "a") \
-        .join(own.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("sb")), "b")
+def codes(signature: str) -> Column:
+    """Seven bits of each value: they can only count too many collisions."""
+    return F.transform(signature, lambda v: F.shiftright(v, 6).bitwiseAND(F.lit(127)).cast("tinyint"))
+
+
+def likely(pairs: DataFrame, members: DataFrame, min_collisions: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of ``members`` (node, n_shingles, codes) with sets of like
+    size and at least T collisions of their whole signatures."""
+    both = pairs.join(members.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("codes").alias("sa")), "a") \
+        .join(members.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("codes").alias("sb")), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     return both.where(sizes_agree(F.col("na"), F.col("nb"), similarity) & (same >= min_collisions)).select("a", "b")
 
@@ -284,6 +292,72 @@ def _all_pairs(short: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.slice("nodes", F.col("i") + 2, F.lit(SHORT))).alias("b"))
 
 
+def have_partner(sizes: np.ndarray, component: np.ndarray, own: np.ndarray, min_collisions: int,
+                 similarity: int) -> np.ndarray:
+    """Of each member of one list, whether another one of another component has a set
+    of like size and at least T of the same codes (``own``: a row of each member)."""
+    out = np.zeros(len(sizes), dtype=bool)
+    by_place = np.ascontiguousarray(own.T)
+    left, mine = np.arange(len(sizes)), by_place
+    for at in range(0, len(sizes), 64):     # who has found a partner is not compared with further members
+        part = slice(at, at + 64)
+        same = np.zeros((len(sizes[part]), len(left)), dtype=np.uint8)
+        for code, others in zip(by_place[:, part], mine):
+            same += code[:, None] == others[None, :]
+        y, x = np.nonzero(same >= min_collisions)
+        y, x = y + at, left[x]
+        agree = np.minimum(sizes[x], sizes[y]) * 100 >= similarity * np.maximum(sizes[x], sizes[y])
+        out[x[agree & (component[x] != component[y])]] = True
+        if out[left].any():
+            left = left[~out[left]]
+            mine = np.ascontiguousarray(by_place[:, left])
+        if not len(left):
+            break
+    return out
+
+
+def _test_partners(min_collisions: int, similarity: int, tested: int):
+    def test(batches):
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                rest = new if rest is None else pa.concat_tables([rest, new])
+            if rest is None or not rest.num_rows:
+                continue
+            posting = rest["posting"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], posting[1:] != posting[:-1]]))
+            ends = np.append(starts[1:], len(posting))
+            if batch is not None and rest["n"][int(starts[-1])].as_py() <= tested:
+                starts, ends = starts[:-1], ends[:-1]   # the last list may go on in the next batch
+            if not len(starts):
+                continue
+            done = rest.slice(0, int(ends[-1])).combine_chunks()
+            rest = rest.slice(int(ends[-1]))
+            n, sizes, component = (done[c].to_numpy() for c in ("n", "n_shingles", "component"))
+            own = done["codes"].combine_chunks().flatten().to_numpy().reshape(len(n), COORDINATES)
+            stay = np.ones(len(n), dtype=bool)
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if n[a] <= tested:
+                    stay[a:b] = have_partner(sizes[a:b], component[a:b], own[a:b], min_collisions, similarity)
+            yield from done.select(["posting", "node", "weight", "n", "component"]).filter(pa.array(stay)).to_batches()
+        pa.default_memory_pool().release_unused()
+    return test
+
+
+def with_partners(lists: DataFrame, members: DataFrame, min_collisions: int, similarity: int,
+                  tested: int = TESTED) -> DataFrame:
+    """The postings of ``lists`` (posting, node, weight, n, component) whose node has a
+    partner in the list: a member of another component with a set of like size and at least
+    T collisions. A similar pair shares a list, so both of it stay there. Lists of more than
+    ``tested`` members stay whole, dealt in parts, so that no task holds one."""
+    rows = lists.join(members, "node").select("posting", "node", "weight", "n", "component", "n_shingles", "codes")
+    part = F.when(F.col("n") > tested, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tested))).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("part", part).repartition("posting", "part").sortWithinPartitions("posting").drop("part")
+    return rows.mapInArrow(_test_partners(min_collisions, similarity, tested),
+                           "posting long, node long, weight long, n long, component long")
+
+
 def _hubs(lists: DataFrame, *carried: str, turn: int = 0) -> DataFrame:
     """(posting, hubs): each list is dealt into parts by a hash of the node (other
     ones in each turn), and of each part the member of most ``weight`` (if lists have
@@ -359,23 +433,43 @@ def _bodies(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMILARITY,
                     min_collisions: int = MIN_COLLISIONS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(signed documents, classes, components of the classes that have links)."""
-    keyed = _keyed(docs)
-    signed = staged(keyed.mapInArrow(
-        _sign(shingle_words), "doc_id long, text_key string, n_shingles long, signature array<long>"), "signed")
-    nodes = staged(signed.groupBy("text_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
-        F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    postings = staged(prefix_postings(nodes.where("n_shingles > 0"), min_collisions), "prefixes")
-    members = nodes.join(postings.select("node").distinct(), "node")
-    members = staged(members, "members")
+    """(signed documents, classes, components of the classes that have links). Signatures,
+    postings and texts go when they are not needed any more, as do the shuffle files of each step."""
+    spark, keyed = docs.sparkSession, _keyed(docs)
+    whole, working = TableScope(spark), TableScope(spark)
+    with shuffles_freed(spark):
+        with whole:
+            signed = staged(keyed.mapInArrow(
+                _sign(shingle_words), "doc_id long, text_key string, n_shingles long, signature array<long>"), "signed")
+            nodes = staged(signed.groupBy("text_key").agg(
+                F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+                F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()), "classes")
+        with working:
+            postings = staged(prefix_postings(nodes.where("n_shingles > 0"), min_collisions), "prefixes")
+            members = staged(nodes.join(postings.select("node").distinct(), "node")
+                             .select("node", "n_shingles", codes("signature").alias("codes")), "members")
+        signed = staged(signed.drop("signature"), "documents")
+        nodes = staged(nodes.drop("signature"), "classes")
+        whole.release()
+        with working:
+            label = _linked(keyed, nodes, postings, members, shingle_words, similarity, min_collisions)
+        label = label if label is None else staged(label, "labels")
+        working.release()
+    return signed, nodes, label
+
+
+def _linked(keyed: DataFrame, nodes: DataFrame, postings: DataFrame, members: DataFrame, shingle_words: int,
+            similarity: int, min_collisions: int) -> DataFrame | None:
+    """(node, component) of the classes that have links, None if there are none."""
     short, long = _by_length(postings)
+    alone = with_partners(long.withColumn("component", F.col("node")), members, min_collisions, similarity)
+    few, long = _by_length(staged(alone.select("node", "weight", "posting"), "long-lists"))
     long = staged(long, "long-lists")
 
     def probable(pairs: DataFrame) -> DataFrame:
         return staged(likely(pairs.distinct(), members, min_collisions, similarity), "likely")
 
-    pairs = probable(_all_pairs(short).union(_hub_pairs(long)))
+    pairs = probable(_all_pairs(short).union(_all_pairs(few)).union(_hub_pairs(long)))
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     bodies = staged(_bodies(keyed, nodes.join(asked, "node")), "bodies")
 
@@ -389,7 +483,7 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
             label = components(links)
 
     def still_open() -> tuple[DataFrame, int]:
-        lists = staged(_open_lists(long, label), "open-lists")
+        lists = staged(with_partners(_open_lists(long, label), members, min_collisions, similarity), "open-lists")
         return lists, lists.select("component").distinct().count()
 
     link(pairs)
@@ -407,7 +501,7 @@ def find_components(docs: DataFrame, shingle_words: int, similarity: int = SIMIL
         first = staged(_one_pair_each(_between(near, label)), "likely")
         link(first)
         link(staged(_between(near.join(first, ["a", "b"], "left_anti"), label).select("a", "b"), "likely"))
-    return signed, nodes, label
+    return label
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = SIMILARITY,
@@ -420,7 +514,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     repeated rows give repeated results, and null ids count only where a
     component has no other (then it is null and its rows are kept). An empty
     table gives no rows; other columns are ignored. Texts are read whole.
-    Memory per task is bounded by one document."""
+    Memory per task is bounded by one document and the codes of one list of TESTED members."""
     return _classified(docs, shingle_words, similarity, min_collisions).drop("text_key")
 
 

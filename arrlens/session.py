@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,22 @@ def dealt(df, key: str):
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends (Spark 4.1), not when
+    the driver happens to collect garbage; unless the session has its own setting. For
+    steps that execute no frame twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    if own is None:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     """Have a written intermediate table removed when the driver ends."""
     p, fs = _path_and_files(spark, path)
